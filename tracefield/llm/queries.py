@@ -12,7 +12,12 @@ from . import packing, token_files
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Rows that an Arrow batch takes to a Python worker; long texts make wide rows.
+BATCH_ROWS = 1000
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
