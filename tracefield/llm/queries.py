@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, media, packing, secret_scan, token_files
+from . import decontaminate, language_id, media, near_dup, packing, secret_scan, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Rows that an Arrow batch takes to a Python worker; long texts make wide rows.
@@ -23,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_documents(spark, sf_dir), 0.85)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -46,6 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_token_files": op5_token_files,
         "op6_media_columns": op6_media_columns,
         "op7_secret_scan": op7_secret_scan,
