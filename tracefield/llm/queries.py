@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm_score, media, near_dup, packing, secret_scan, token_files
+from . import decontaminate, language_id, lm_score, media, near_dup, packing, secret_scan, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Rows that an Arrow batch takes to a Python worker; long texts make wide rows.
@@ -23,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_url_filter": op2_url_filter,
         "op3_context_mixing": op3_context_mixing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_token_files": op5_token_files,
