@@ -39,3 +39,8 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the JVM collect what nothing refers to any more, so that Spark's cleaner deletes the shuffle files of written tables."""
+    spark.sparkContext._jvm.System.gc()
