@@ -111,15 +111,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes have equal hashes wherever they stand."""
-    power, inverse = _power(len(data) + 1)
-    total = np.empty(len(data) + 1, dtype=_U)
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of ``values`` (64 bits each); equal runs have equal hashes wherever they stand."""
+    power, inverse = _power(len(values) + 1)
+    total = np.empty(len(values) + 1, dtype=_U)
     total[0] = 0
-    np.cumsum(_SYMBOL[data] * power[: len(data)], out=total[1:])
+    np.cumsum(values * power[: len(values)], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    return run_hashes(_SYMBOL[data], starts, ends)
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` successive values (len(h) - n + 1 of them, none if there are fewer)."""
     m = len(h) - n + 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm_score, media, near_dup, packing, secret_scan, token_files, url_filter
+from . import decontaminate, language_id, lm_score, media, near_dup, packing, secret_scan, substring_dedup, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Rows that an Arrow batch takes to a Python worker; long texts make wide rows.
@@ -47,6 +47,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op5_token_files": op5_token_files,
         "op6_media_columns": op6_media_columns,
         "op7_secret_scan": op7_secret_scan,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
