@@ -250,6 +250,24 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "family")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined (no text or no letter in it); all columns stay."""
-    return docs.filter(F.col("text").rlike(r"\p{L}"))
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """``docs`` without the rows whose language is undetermined or less sure than ``least``; all columns stay.
+
+    The machines are fitted on the labelled rows of ``docs`` itself; without
+    any, nothing can be told and only rows without a letter go.
+    """
+    model = fit(docs)
+    if not model.families:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for a, b in B.slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                langs, scores, _ = model.predict(part.column(at))
+                yield part.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores)]))
+
+    return docs.mapInArrow(run, docs.schema)
