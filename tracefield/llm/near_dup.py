@@ -8,11 +8,13 @@
    that its similarity reaches the threshold falls below ``MISS``.
 4. Survivors are verified exactly on the full sets, and links join components.
 
-What is wanted is the components, not all pairs. So rounds go from the best
-survivor of each member to all of them, and pairs within one component are
-skipped: copies by the thousand are joined by as many links as there are
-copies. After the last round every surviving pair of every bucket has been
-verified or lies within a component. Buckets larger than a block are dealt
+What is wanted is the components, not all pairs. So a first round verifies the
+best survivor of each member only: copies by the thousand are joined by as many
+links as there are copies. A second round takes the buckets that still hold
+several components, with the members' texts, and goes there through all
+surviving pairs across components, joining components as it finds links; only
+these links leave the task. After it every surviving pair of every bucket has
+been verified or lies within a component. Buckets larger than a block are dealt
 over blocks; members outside a bucket's main component are then taken to its
 other blocks too.
 """
@@ -25,11 +27,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..storage import save
+from ..storage import release, save
 from . import bytesops as B
 
 WORDS = 5
@@ -38,10 +40,10 @@ BANDS, ROWS = 25, 5
 MISS = 1e-5
 #: Hashes compared at a time.
 STEP = 25
-#: Members of a bucket that are compared in one task at a time.
-BLOCK = 2048
-#: Survivors of each member that a round verifies.
-ROUNDS = (1, 8, 1 << 30)
+#: Members of a bucket that are compared in one task at a time, and their shingles.
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
+#: Bytes of text after which a task goes through the buckets it holds.
+HELD = 16 << 20
 SHINGLED = "doc_id long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>"
 
 
@@ -194,42 +196,98 @@ def bucket_pairs(group: np.ndarray, comp: np.ndarray, probe: np.ndarray, band: n
     return a, b, m
 
 
-def candidate_pairs(members: DataFrame, threshold: float, most: int) -> DataFrame:
-    """Distinct surviving pairs (a < b) of ``members`` (key, band, block, doc, comp, probe, signature), with their matches."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (equal key and block, which follow each other) of a moderate size."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + len(batch), size + batch.nbytes
+        if rows < 4 * BLOCK and size < HELD:
+            continue
+        table = pa.Table.from_batches(held)
+        key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
+        inside = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]))
+        if not len(inside):
+            continue
+        cut = int(inside[-1]) + 1  # the last group may go on
+        yield table.slice(0, cut)
+        held = [pa.Table.combine_chunks(table.slice(cut)).to_batches()[0]]
+        rows, size = len(held[0]), held[0].nbytes
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_of(table: pa.Table, threshold: float, most: int):
+    """The docs and components of a table of whole groups, and its surviving pairs."""
+    key, block, doc, comp = (table.column(c).to_numpy() for c in ("key", "block", "doc", "comp"))
+    data, _ = B.buffer(table.column("signature"))
+    group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+    probe = table.column("probe").to_numpy().astype(bool)
+    return doc, comp, bucket_pairs(group, comp, probe, table.column("band").to_numpy(), data.reshape(len(key), BANDS * ROWS), threshold, most)
+
+
+_MEMBER = ("key", "band", "block", "doc", "comp", "probe", "signature")
+
+
+def _dealt(members: DataFrame, *more: str) -> DataFrame:
+    return members.select(*_MEMBER, *more).repartition("key", "block").sortWithinPartitions("key", "block", "doc")
+
+
+def best_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """For each doc of ``members`` (key, band, block, doc, comp, probe, signature) its best surviving pair (a < b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(table: pa.Table) -> pa.RecordBatch:
-            key, block, doc, comp = (table.column(c).to_numpy() for c in ("key", "block", "doc", "comp"))
-            band = table.column("band").to_numpy()
-            probe = table.column("probe").to_numpy().astype(bool)
-            data, _ = B.buffer(table.column("signature"))
-            sig = data.reshape(len(key), BANDS * ROWS)
-            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-            a, b, m = bucket_pairs(group, comp, probe, band, sig, threshold, most)
+        for table in _whole_groups(batches):
+            doc, _, (a, b, m) = _pairs_of(table, threshold, 1)
             x, y = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(m)], names=["a", "b", "matches"])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(m)], names=["a", "b", "matches"])
 
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows < 4 * BLOCK:
-                continue
-            table = pa.Table.from_batches(held)
-            key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
-            inside = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]))
-            if not len(inside):
-                continue
-            cut = int(inside[-1]) + 1  # the last group may go on
-            yield out(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-            rows -= cut
-        if rows:
-            yield out(pa.Table.from_batches(held))
-
-    dealt = members.select("key", "band", "block", "doc", "comp", "probe", "signature").repartition("key", "block").sortWithinPartitions("key", "block", "doc")
-    return dealt.mapInArrow(run, "a long, b long, matches long").groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    pairs = _dealt(members).mapInArrow(run, "a long, b long, matches long")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
+    return best.select("a", "b")
+
+
+def block_links(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components within each block of ``members`` (as above, and text).
+
+    Pairs are taken by their matches; a pair whose components have met is not
+    verified, so that a block gives fewer links than it has members.
+    """
+    percent = round(100 * threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            doc, comp, (a, b, m) = _pairs_of(table, threshold, 1 << 30)
+            left, right = [], []
+            if len(a):
+                used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                text = table.column("text").combine_chunks().take(pa.array(used))
+                parts = [shingles(*B.buffer(text.slice(x, y - x))) for x, y in B.slices(text)]
+                sets = [v[first[k] : first[k + 1]] for v, first in parts for k in range(len(first) - 1)]
+                root: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while root.setdefault(x, x) != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                order = np.argsort(-m, kind="stable")
+                for i, j, x, y in zip(a[order].tolist(), b[order].tolist(), at[: len(a)][order].tolist(), at[len(a) :][order].tolist()):
+                    p, q = find(int(comp[i])), find(int(comp[j]))
+                    if p != q:
+                        one, other = sets[x], sets[y]
+                        if 100 * min(len(one), len(other)) < percent * max(len(one), len(other)):
+                            continue
+                        both = len(np.intersect1d(one, other, assume_unique=True))
+                        if 100 * both >= percent * (len(one) + len(other) - both):
+                            root[max(p, q)] = min(p, q)
+                            left.append(int(doc[i]))
+                            right.append(int(doc[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return _dealt(members, "text").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -266,10 +324,8 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _with_components(members: DataFrame, links: DataFrame | None) -> DataFrame:
+def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with the component of each doc."""
-    if links is None:
-        return members.withColumn("comp", F.col("doc"))
     comps = connected_components(links)
     return members.join(comps, members["doc"] == comps["vertex"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("vertex", "component")
 
@@ -287,37 +343,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     filled = table.filter("n_shingles > 0 and doc_id is not null")
     classes = save(filled.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc")), "classes")
     # By document and not by class: the copies of one text don't meet in one task.
-    reps = save(filled.select("doc_id", "signature", "bands").join(classes.select(F.col("doc").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc"), "signatures")
+    reps = save(filled.select("doc_id", "n_shingles", "signature", "bands").join(classes.select(F.col("doc").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc"), "signatures")
 
-    rows = reps.select("doc", F.posexplode("bands").alias("band", "key"))
-    sizes = rows.groupBy("key", "band").agg(F.count("*").alias("size")).filter("size > 1")
-    members = rows.join(sizes, ["key", "band"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
-    members = save(members.withColumn("block", F.pmod(F.xxhash64("doc", "band"), F.col("blocks"))).select("key", "band", "doc", "blocks", "block"), "buckets")
+    rows = reps.select("doc", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    sizes = rows.groupBy("key", "band").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass")).filter("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") / BLOCK_SHINGLES)).cast("long")
+    members = rows.join(sizes.select("key", "band", blocks.alias("blocks")), ["key", "band"])
+    members = save(members.select("key", "band", "doc", "blocks", F.pmod(F.xxhash64("doc", "band"), F.col("blocks")).alias("block")), "buckets")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
     texts = save(texts, "texts")
     signature = reps.select("doc", "signature")
 
-    links, tried = None, None
+    first = members.withColumn("comp", F.col("doc")).withColumn("probe", F.lit(0)).join(signature, "doc")
+    links = save(verify(save(best_pairs(first, threshold), "pairs"), texts, threshold), "links")
+    release(docs.sparkSession)
     wide = members.filter("blocks > 1").limit(1).count() > 0
-    for most, across in [(n, False) for n in ROUNDS] + [(ROUNDS[-1], True)] * wide:
-        now = _with_components(members, links)
-        if links is not None:  # buckets of one component are done with
-            now = save(now, "members")
-            open_ = now.groupBy("key", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "band")
-            now = now.join(open_, ["key", "band"])
-        now = now.withColumn("probe", F.lit(0))
+    content = signature.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    for across in (False, True)[: 1 + wide]:
+        now = save(_with_components(members, links), "members")
+        open_ = now.groupBy("key", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "band")
+        now = now.join(open_, ["key", "band"]).withColumn("probe", F.lit(0))  # buckets of one component are done with
         if across:
             now = _probes(now.filter("blocks > 1"))
-        pairs = candidate_pairs(now.join(signature, "doc"), threshold, most)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if most == 1:  # over all its buckets
-            best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")
-            pairs = pairs.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-        pairs = save(pairs.select("a", "b"), "pairs")
-        new = save(verify(pairs, texts, threshold), "links")
-        links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = links.unionByName(save(block_links(now.join(content, "doc"), threshold), "links"))
 
     known = connected_components(links)
     of = classes.join(known, classes["doc"] == known["vertex"], "left").select("h1", "h2", "n_shingles", F.coalesce("component", "doc").alias("component"))
