@@ -9,7 +9,7 @@ clat and clon, and speed_inv where speeds are asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -115,7 +115,11 @@ def mean_path(samples: DataFrame, requests: DataFrame, metric: str = "planar", d
 
     Trips without a sample there end the path at once, as the shortest trip does.
     """
-    trips = three_point_trips(samples, requests, metric)
+    return mean_path_of(samples, three_point_trips(samples, requests, metric), digits)
+
+
+def mean_path_of(samples: DataFrame, trips: DataFrame, digits: int = 6) -> DataFrame:
+    """The mean path of trips (qid, trip_id, i1, i2)."""
     # `sequence` would count downwards where the end comes first.
     empty = trips.filter(F.col("i1") + STRIDE >= F.col("i2")).select("qid").distinct()
     rows = trips.join(empty, "qid", "left_anti").select("qid", "trip_id", F.posexplode(F.sequence(F.col("i1") + STRIDE, F.col("i2") - 1, F.lit(STRIDE).cast("long"))).alias("pos", "idx"))
@@ -130,8 +134,6 @@ def speed_rank(samples: DataFrame, requests: DataFrame, metric: str = "planar")
     # A histogram first: speeds repeat, and no list of all samples is made.
     counts = found.select("qid", moving.alias("v")).groupBy("qid", "v").agg(F.count("*").alias("n"))
     by = counts.groupBy("qid").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("n_moving"))
-    from pyspark.sql import Window
-
     upto = F.sum("n").over(Window.partitionBy("qid").orderBy("v"))
     ordered = counts.filter("v is not null").withColumn("upto", upto).join(by, "qid").join(requests.select("qid", "ranking"), "qid")
     rank = F.least((F.col("ranking") * F.col("n_moving")).cast("long"), F.col("n_moving") - 1)
@@ -197,12 +199,17 @@ def mean_along_history(samples: DataFrame, paths: DataFrame, metric: str = "plan
     eleventh stays just below 1. Between two samples the share itself is what
     is left over from whole steps, in units of the way.
     """
+    return mean_of_shares(samples, history_trips(samples, paths, metric), digits)
+
+
+def mean_of_shares(samples: DataFrame, trips: DataFrame, digits: int = 6) -> DataFrame:
+    """The same for trips (qid, trip_id, i1, i2)."""
     # Ten additions of 0.1.
     shares, s = [], 0.0
     while s < 1.0:
         shares.append(s)
         s += 0.1
-    trips = history_trips(samples, paths, metric).withColumn("begin", F.col("i1") + 2).filter("i2 > begin")
+    trips = trips.withColumn("begin", F.col("i1") + 2).filter("i2 > begin")
     length = (F.col("i2") - F.col("begin")).cast("double")
     rows = trips.select("qid", "trip_id", "begin", "i2", F.posexplode(F.array(*(F.lit(x) for x in shares))).alias("pos", "share"))
     ends = samples.groupBy("trip_id").agg(F.max("idx").alias("end"))
