@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm_score, media, near_dup, packing, secret_scan, substring_dedup, token_files, url_filter
+from . import decontaminate, language_id, lm_score, media, near_dup, packing, secret_scan, sql, substring_dedup, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Rows that an Arrow batch takes to a Python worker; long texts make wide rows.
@@ -75,4 +75,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that have one; the others (machines, models, files, tokens) are tested against brute force."""
+    return {
+        "op4_minhash_near_dedup": sql.near_dup(85),
+        "op7_secret_scan": sql.secret_scan(),
+        "op8_substring_dedup": sql.substring_dedup(),
+    }
