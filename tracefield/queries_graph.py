@@ -139,8 +139,8 @@ def reverse_bidirection_edges(spark, sf_dir):
 
 
 _MERGES = """, m AS (SELECT b.id, CASE WHEN b.k % 4 = 1 THEN b.id ELSE a.id END AS to_ FROM g b LEFT JOIN g a ON a.c = b.c AND a.k = b.k - 1),
-chain(id, at) AS (SELECT id, to_ FROM m UNION SELECT c.id, m.to_ FROM chain c JOIN m ON m.id = c.at),
-ends AS (SELECT c.id, c.at AS target FROM chain c JOIN m ON m.id = c.at WHERE m.to_ = m.id)"""
+chain(id, last_) AS (SELECT id, to_ FROM m UNION SELECT c.id, m.to_ FROM chain c JOIN m ON m.id = c.last_),
+ends AS (SELECT c.id, c.last_ AS target FROM chain c JOIN m ON m.id = c.last_ WHERE m.to_ = m.id)"""
 
 
 def _merges(v: DataFrame) -> DataFrame:
