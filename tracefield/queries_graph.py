@@ -170,7 +170,7 @@ def graph_union(spark, sf_dir):
     return graph.graph_union(e.filter("score < 2"), e.filter("score >= 1"))
 
 
-@query(G + """SELECT 'vertex' AS kind, id AS a, CAST(NULL AS BIGINT) AS b, '"' || id || '":[' || printf('%.6f', lat) || ',' || printf('%.6f', lon) || ']' AS text FROM v UNION ALL SELECT 'edge', src, dst, '["' || src || '","' || dst || '"]' FROM e WHERE src <> dst""")
+@query(G + """SELECT 'vertex' AS kind, id AS a, CAST(-1 AS BIGINT) AS b, '"' || id || '":[' || printf('%.6f', lat) || ',' || printf('%.6f', lon) || ']' AS text FROM v UNION ALL SELECT 'edge', src, dst, '["' || src || '","' || dst || '"]' FROM e WHERE src <> dst""")
 def graph_json(spark, sf_dir):
     """The members of the graph's JSON form."""
     return graphs.graph_rows(*road_graph(spark, sf_dir))
@@ -204,14 +204,14 @@ def nearest_edge(spark, sf_dir):
 
 @query(G + """, t AS (SELECT nb.id, count(*) AS n, max(other) AS from_ FROM nb GROUP BY nb.id HAVING count(*) = 1),
 d AS (SELECT t.id, x.c, x.lat AS lat1, x.lon AS lon1, y.lat AS lat0, y.lon AS lon0 FROM t JOIN v x ON x.id = t.id JOIN v y ON y.id = t.from_),
-q AS (SELECT a.id AS src, b.id AS dst, a.lat0 AS x0, a.lon0 AS y0, a.lat1 AS x1, a.lon1 AS y1, b.lat1 AS x2, b.lon1 AS y2, b.lat0 AS x3, b.lon0 AS y3, a.lat1 AS la FROM d a JOIN d b ON a.c = b.c AND a.id <> b.id WHERE abs(a.lat1 - b.lat1) <= 0.002e0 AND abs(a.lon1 - b.lon1) <= 0.002e0 / cos(radians(a.lat1))),
+q AS (SELECT a.id AS src, b.id AS dst, a.lat0 AS x0, a.lon0 AS y0, a.lat1 AS x1, a.lon1 AS y1, b.lat1 AS x2, b.lon1 AS y2, b.lat0 AS x3, b.lon0 AS y3, a.lat1 AS la FROM d a JOIN d b ON a.c = b.c AND a.id <> b.id WHERE abs(a.lat1 - b.lat1) <= 0.0035e0 AND abs(a.lon1 - b.lon1) <= 0.0035e0 / cos(radians(a.lat1))),
 n1 AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow((y1 - y0) * cos(radians(40e0)), 2)) AS m1, sqrt(pow(x2 - x1, 2) + pow((y2 - y1) * cos(radians(40e0)), 2)) AS m2, sqrt(pow(x3 - x2, 2) + pow((y3 - y2) * cos(radians(40e0)), 2)) AS m3 FROM q),
 k AS (SELECT src, dst, sqrt(pow(x1 - x2, 2) + pow((y1 - y2) * cos(x1 / 360e0 * (3.1415926e0 * 2e0)), 2)) AS distance FROM n1 WHERE sqrt(pow((x1 - x0) / m1 - (x2 - x1) / m2, 2) + pow((y1 - y0) / m1 - (y2 - y1) / m2, 2)) < 1.4 AND sqrt(pow((x2 - x1) / m2 - (x3 - x2) / m3, 2) + pow((y2 - y1) / m2 - (y3 - y2) / m3, 2)) < 1.4)
 SELECT src, dst, round(distance, 8) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(distance, 12), dst) AS r FROM k) t WHERE r = 1""")
 def dead_end_links(spark, sf_dir):
     """For each dead end the nearest one straight ahead."""
     v, e = road_graph(spark, sf_dir)
-    return graph.dead_end_links(v, e, 0.002).select("src", "dst", F.round("distance", 8).alias("distance"))
+    return graph.dead_end_links(v, e, 0.0035).select("src", "dst", F.round("distance", 8).alias("distance"))
 
 
 @query(G + ", p AS (SELECT a.src AS start, a.src AS s1, a.dst AS s2, b.dst AS s3, c.dst AS s4 FROM u a JOIN u b ON b.src = a.dst AND b.dst <> a.src JOIN u c ON c.src = b.dst AND c.dst <> b.src JOIN v ON v.id = a.src WHERE v.k = 1) SELECT start, [s1, s2, s3, s4] AS path FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY s1, s2, s3, s4) AS r FROM p) t WHERE r <= 41")
@@ -226,3 +226,25 @@ def kmeans_fixed_iter(spark, sf_dir):
     """Four centres of all samples."""
     points = samples(spark, sf_dir).select((F.col("trip_id") * 1_000_000 + F.col("idx")).alias("pid"), "lat", "lon")
     return cluster.kmeans(points, 4, 10).select("cluster", "n", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("distance", 9).alias("distance"))
+
+
+@query()
+def explore_invariants(spark, sf_dir):
+    """Nodes of a short exploration of the crossing from its four arms: each tree's size, and whether what must hold of every node does."""
+    from .operators.trace import TraceDataset
+    from .plans.explore import Forest
+    from .queries import dense
+    from .operators.grid import with_cells
+    from .sources.config import Config, Entrance
+    from .storage import save
+
+    arms = [(42.3490, -71.1, 0.0), (42.35, -71.1010, 90.0), (42.3510, -71.1, 180.0), (42.35, -71.0990, 270.0)]
+    config = Config([Entrance(a, b, i, h) for i, (a, b, h) in enumerate(arms)], region=(42.345, -71.105, 42.355, -71.095), least_trips=2)
+    forest = Forest(TraceDataset(save(with_cells(dense(spark, sf_dir)), "samples")), config)
+    forest.explore(rounds=4)
+    nodes = forest.table()
+    parents = nodes.select("tree", F.col("node").alias("parent"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col("depth").alias("pdepth"))
+    rows = nodes.join(parents, ["tree", "parent"])
+    away = F.sqrt(F.pow(F.col("lat") - F.col("plat"), 2) + F.pow((F.col("lon") - F.col("plon")) * F.cos(F.radians("plat")), 2))
+    ok = (F.col("node") == F.col("parent")) | ((F.col("parent") < F.col("node")) & (F.col("depth") == F.col("pdepth") + 1) & (F.abs(away - 0.000075) < 1e-9))
+    return rows.groupBy("tree").agg(F.count("*").alias("n_nodes"), F.bool_and(ok).alias("grown_by_steps"), F.bool_and(~F.col("outside") | F.col("removed")).alias("inside"))

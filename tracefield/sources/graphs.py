@@ -51,8 +51,8 @@ def _small(rows: DataFrame) -> None:
 
 
 def graph_rows(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """The members of the JSON form: kind (vertex or edge), a, b and text; self-loops are left out."""
-    v = vertices.select(F.lit("vertex").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":['), _text("lat"), F.lit(","), _text("lon"), F.lit("]")).alias("text"))
+    """The members of the JSON form: kind (vertex or edge), a, b (-1 for a vertex) and text; self-loops are left out."""
+    v = vertices.select(F.lit("vertex").alias("kind"), F.col("id").alias("a"), F.lit(-1).cast("long").alias("b"), F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":['), _text("lat"), F.lit(","), _text("lon"), F.lit("]")).alias("text"))
     e = edges.filter("src <> dst").select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.concat(F.lit('["'), F.col("src").cast("string"), F.lit('","'), F.col("dst").cast("string"), F.lit('"]')).alias("text"))
     return v.unionByName(e)
 
