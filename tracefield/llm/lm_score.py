@@ -1,7 +1,7 @@
 """Language-model scores by logistic context mixing.
 
 The model predicts a text bit by bit, from the high bit of each byte down. For
-contexts of the last 0 to 6 bytes it holds hashed tables of bit counts. Their
+contexts of the last 0 to 5 bytes it holds hashed tables of bit counts. Their
 predictions, as logits, are added up under weights that a gate chooses (by bit
 and by how much the two longest contexts have seen); a last stage refines the
 sum by what such predictions were worth in the corpus. A text is closed by one
@@ -37,7 +37,7 @@ from ..storage import save
 from . import bytesops as B
 
 #: Bytes of context of each predictor, and bits of its table (a counter for each hashed context and node of a byte's bits).
-CONTEXT = (0, 1, 2, 3, 4, 6)
+CONTEXT = (0, 1, 2, 3, 4, 5)
 TABLE_BITS = (8, 16, 20, 21, 21, 21)
 ORDERS = len(CONTEXT)
 FIRST = tuple(int(x) for x in np.cumsum([0, *(1 << b for b in TABLE_BITS)]))
@@ -50,9 +50,9 @@ SETS = LEVELS * LEVELS * 8
 #: Buckets of a prediction in the refining table.
 BUCKETS = 24
 #: Share of a Newton step (by each weight alone) that a step takes; steps in a slice.
-RATE, STEPS = 0.15, 6
-#: Bytes of text that are predicted at a time.
-SLICE = 1 << 21
+RATE, STEPS = 0.15, 16
+#: Bytes of text whose symbols are sorted at a time, and whose distinct symbols in context are gone through at a time.
+SLICE, GROUP = 1 << 21, 12 << 20
 #: Tokens whose counts are broadcast.
 FREQUENT = 1 << 19
 #: Counters in a block of a table on its way between tasks.
@@ -60,21 +60,47 @@ BLOCK = 1 << 14
 END_TOKEN = np.uint64(0xE0F0E0F0E0F0E0F1)
 
 
-def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (context of PAD bytes, symbol) keys of all rows' symbols, end symbols included, and each symbol's key number."""
+def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key (context of PAD bytes, symbol) of every symbol of all rows, end symbols included and last, and its row."""
     rows = len(offsets) - 1
-    row = B.rows_of(offsets)
+    row = B.rows_of(offsets).astype(np.int32)
     text = np.zeros(len(data) + rows * (PAD + 1), np.uint64)
-    place = np.arange(len(data)) + row * (PAD + 1) + PAD
+    place = np.arange(len(data)) + row * np.int64(PAD + 1) + PAD
     ends = offsets[1:] + np.arange(rows) * (PAD + 1) + PAD
     text[place] = data
     text[ends] = END
     key = text.copy()
     for k in range(1, PAD + 1):
         key[k:] |= text[:-k] << np.uint64(8 * k)
-    where = np.concatenate([place, ends])
-    codes, keys = pd.factorize(key[where])
-    return keys, codes
+    return key[np.concatenate([place, ends])], np.concatenate([row, np.arange(rows, dtype=np.int32)])
+
+
+def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all rows' symbols, and how often each occurs."""
+    return np.unique(symbols(data, offsets)[0], return_counts=True)
+
+
+def grouped_events(column: Iterator[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``events`` of groups of successive slices, for a column that comes in parts: in larger groups fewer keys come again."""
+    held, size = [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, times = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[first], np.add.reduceat(times[order], first)
+
+    for part in column:
+        for a, b in B.slices(part, SLICE):
+            data, offsets = B.buffer(part.slice(a, b - a))
+            held.append(events(data, offsets))
+            size += len(data)
+            if size > GROUP:
+                yield merged()
+                held, size = [], 0
+    if held:
+        yield merged()
 
 
 def cells(keys: np.ndarray) -> list[np.ndarray]:
@@ -276,17 +302,15 @@ def count_contexts(training: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ones = np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32)
-        for batch in batches:
-            for a, b in B.slices(batch.column(0), SLICE):
-                keys, codes = events(*B.buffer(batch.column(0).slice(a, b - a)))
-                times = np.bincount(codes, minlength=len(keys)).astype(np.int32)
-                symbol, hashes = (keys & np.uint64(255)).astype(np.int64), cells(keys)
-                for bit in range(8):
-                    node, one = (256 + symbol) >> (8 - bit), (symbol >> (7 - bit)) & 1 == 1
-                    for k in range(ORDERS):
-                        at = cell(hashes[k], k, node)
-                        np.add.at(seen, at, times)
-                        np.add.at(ones, at[one], times[one])
+        for keys, times in grouped_events(x.column(0) for x in batches):
+            times = times.astype(np.int32)
+            symbol, hashes = (keys & np.uint64(255)).astype(np.int64), cells(keys)
+            for bit in range(8):
+                node, one = (256 + symbol) >> (8 - bit), (symbol >> (7 - bit)) & 1 == 1
+                for k in range(ORDERS):
+                    at = cell(hashes[k], k, node)
+                    np.add.at(seen, at, times)
+                    np.add.at(ones, at[one], times[one])
         yield _tagged(_blocks(seen, "seen"))
         yield _tagged(_blocks(ones, "ones"))
 
@@ -301,14 +325,12 @@ def fit_mixer(training: DataFrame, table) -> Mixer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, bits, k = Mixer.new(), 0.0, 0
-        for batch in batches:
-            for a, b in B.slices(batch.column(0), SLICE):
-                keys, codes = events(*B.buffer(batch.column(0).slice(a, b - a)))
-                times = np.bincount(codes, minlength=len(keys)).astype(np.float32)
-                for part in range(STEPS):
-                    learn(table.value, mixer, keys[part::STEPS], times[part::STEPS], k > 0 or part >= STEPS // 2)
-                bits += 8.0 * float(times.sum())
-                k += 1
+        for keys, times in grouped_events(x.column(0) for x in batches):
+            times = times.astype(np.float32)
+            for part in range(STEPS):
+                learn(table.value, mixer, keys[part::STEPS], times[part::STEPS], k > 0 or part >= STEPS // 2)
+            bits += 8.0 * float(times.sum())
+            k += 1
         if k:
             yield _tagged(_blocks(np.append(mixer.weights.ravel() * bits, bits), "weights"))
             yield _tagged(_blocks(mixer.refined.ravel(), "refined"))
@@ -359,37 +381,59 @@ def score(docs: DataFrame) -> DataFrame:
     table = spark.sparkContext.broadcast(count_contexts(training))
     mixer = spark.sparkContext.broadcast(fit_mixer(training, table))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def token_columns(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        """n_tokens, known, base, rare and times of the rows of a slice."""
         names, counts = top.value
-        row = TaskContext.get().partitionId() << 36
+        k = len(offsets) - 1
+        h, first = tokens(data, offsets)
+        h = np.concatenate([h, np.full(k, END_TOKEN)])
+        owner = np.concatenate([B.rows_of(first), np.arange(k)])
+        codes, values = pd.factorize(h)
+        at = np.searchsorted(names, values)
+        at[at == len(names)] = 0
+        hit = names[at] == values if len(names) else np.zeros(len(values), bool)
+        c = np.where(hit, counts[at] if len(names) else 0, 0)
+        log = np.where(hit, np.log10(c + 0.1) - mass[1], 0.0)
+        known = np.bincount(owner, hit[codes], k).astype(np.int64)
+        base = np.bincount(owner, log[codes], k)
+        rest = np.flatnonzero(~hit[codes])
+        pairs = pd.DataFrame({"o": owner[rest], "h": h[rest].view(np.int64)}).groupby(["o", "h"], sort=True).size()
+        o = pairs.index.get_level_values(0).to_numpy() if len(pairs) else np.zeros(0, np.int64)
+        cut = np.searchsorted(o, np.arange(k + 1)).astype(np.int32)
+        rare = pa.ListArray.from_arrays(pa.array(cut), pa.array(pairs.index.get_level_values(1).to_numpy().astype(np.int64) if len(pairs) else np.zeros(0, np.int64)))
+        times = pa.ListArray.from_arrays(pa.array(cut), pa.array(pairs.to_numpy().astype(np.int64)))
+        return [pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), rare, times]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, held, size = TaskContext.get().partitionId() << 36, [], 0
+
+        def scored_slices() -> Iterator[pa.RecordBatch]:
+            nonlocal row
+            keys = np.unique(np.concatenate([x[2] for x in held]))
+            cost = bits_of(table.value, mixer.value, keys)
+            for ids, columns, own, reps, rows in held:
+                k = len(ids)
+                bits = np.bincount(rows, np.repeat(cost[np.searchsorted(keys, own)], reps), k)
+                n, known, base, rare, times = columns
+                out = [pa.array(np.arange(row, row + k)), ids, n, known, base, pa.array(-bits * np.log10(2)), pa.array(bits), rare, times]
+                row += k
+                yield pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "n_tokens", "known", "base", "score", "bits", "rare", "times"])
+
         for batch in batches:
-            for a, b in B.slices(batch.column(1), SLICE >> 1):
+            for a, b in ((x, min(x + (1 << 16), b)) for a, b in B.slices(batch.column(1), SLICE) for x in range(a, b, 1 << 16)):
                 data, offsets = B.buffer(batch.column(1).slice(a, b - a))
-                k = b - a
-                keys, codes = events(data, offsets)
-                cost = bits_of(table.value, mixer.value, keys)[codes]
-                ends = np.cumsum(np.append(0.0, cost[: len(data)]))
-                bits = ends[offsets[1:]] - ends[offsets[:-1]] + cost[len(data) :]
-                h, first = tokens(data, offsets)
-                h = np.concatenate([h, np.full(k, END_TOKEN)])
-                owner = np.concatenate([B.rows_of(first), np.arange(k)])
-                codes, values = pd.factorize(h)
-                at = np.searchsorted(names, values)
-                at[at == len(names)] = 0
-                hit = names[at] == values if len(names) else np.zeros(len(values), bool)
-                c = np.where(hit, counts[at] if len(names) else 0, 0)
-                log = np.where(hit, np.log10(c + 0.1) - mass[1], 0.0)
-                known = np.bincount(owner, hit[codes], k).astype(np.int64)
-                base = np.bincount(owner, log[codes], k)
-                rest = np.flatnonzero(~hit[codes])
-                pairs = pd.DataFrame({"o": owner[rest], "h": h[rest].view(np.int64)}).groupby(["o", "h"], sort=True).size()
-                o = pairs.index.get_level_values(0).to_numpy() if len(pairs) else np.zeros(0, np.int64)
-                cut = np.searchsorted(o, np.arange(k + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(cut), pa.array(pairs.index.get_level_values(1).to_numpy().astype(np.int64) if len(pairs) else np.zeros(0, np.int64)))
-                times = pa.ListArray.from_arrays(pa.array(cut), pa.array(pairs.to_numpy().astype(np.int64)))
-                columns = [pa.array(np.arange(row, row + k)), batch.column(0).slice(a, k), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(-bits * np.log10(2)), pa.array(bits), rare, times]
-                row += k
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "base", "score", "bits", "rare", "times"])
+                keys, rows = symbols(data, offsets)
+                # A key has 48 bits; with its row below it, plain sorting brings both in order.
+                both = np.sort(keys << np.uint64(16) | rows.astype(np.uint64))
+                keys = both >> np.uint64(16)
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                held.append((batch.column(0).slice(a, b - a), token_columns(data, offsets), keys[first], np.diff(np.append(first, len(keys))), (both & np.uint64(0xFFFF)).astype(np.int32)))
+                size += len(data)
+                if size > GROUP:
+                    yield from scored_slices()
+                    held, size = [], 0
+        if held:
+            yield from scored_slices()
 
     scored = save(docs.mapInArrow(run, SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
