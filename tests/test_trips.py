@@ -7,10 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-
 from tracefield.operators import cluster, graph, grid, prep, raster, similarity, trace
 from tracefield.plans import components
-from tracefield.plans.explore import Forest, close_merges, forest_graph, smoothed, tops
+from tracefield.plans.explore import Forest, Node, close_merges, forest_graph, smoothed, tops
 from tracefield.sources import config, graphs, trips
 
 LINES = "1,42.354546,-71.109656,1\n2,42.364546,-71.099656,2\n3,42.374546,-71.089656,3\n4,42.384546,-71.079656,4\n"
@@ -177,3 +176,34 @@ def test_exploration_follows_the_road(spark, straight, tmp_path):
     assert again.load(f"{tmp_path}/forest") and again.rounds == 5 and again.trees[0][-1] == nodes[-1]
     v, e = forest_graph(close_merges(forest.table()))
     assert v.count() == 6 and e.count() == 5
+
+
+def test_a_branch_is_seen_from_the_side_and_taken_up(spark, tmp_path):
+    """Half of the trips leave the road to the east at 0.0025 degrees; the road's tree is planted past the fork."""
+    rows = []
+    for t in range(12):
+        for i in range(600):
+            lat, lon = 42.0 + i * 1e-5, -71.0 + t * 1e-6
+            if t % 2 and i > 250:
+                lat, lon = 42.0025 + (i - 250) * 0.7e-5, lon + (i - 250) * 0.5e-5
+            rows.append((t, i, lat, lon))
+    samples = grid.with_cells(spark.createDataFrame(rows, "trip_id long, idx int, lat double, lon double"))
+    forest = Forest(trace.TraceDataset(samples), config.Config(region=(41.9, -71.1, 42.1, -70.9)))
+    forest.trees = [[Node(0, k, max(0, k - 1), 42.0010 + k * 7.5e-5, -71.0, 0, k) for k in range(36)]]
+    forest._look_aside([forest.trees[0][24 + 8]])
+    assert forest.branches and all(b.state == "active" and b.shape[-1][1] > -71.0 for b in forest.branches)
+    forest.branches = forest.branches[:1]
+    forest.branches[0].wait = 10
+    ends = forest._take_up()
+    assert len(ends) == 1 and forest.branches[0].state == "taken" and not ends[0].dead
+    forest.save(f"file://{tmp_path}/b")
+    again = Forest(trace.TraceDataset(samples), config.Config())
+    assert again.load(f"file://{tmp_path}/b") and again.branches == forest.branches
+
+
+def test_links_between_roads(spark, straight):
+    asked = spark.createDataFrame([(0, 42.0005, -71.0, 42.001, -71.0, 42.0015, -71.0), (1, 42.0005, -71.0, 42.5, -71.0, 42.6, -71.0)], "qid int, lat1 double, lon1 double, lat2 double, lon2 double, lat3 double, lon3 double")
+    fast = straight.withColumn("speed_inv", F.lit(0.2))
+    got = {r["qid"]: r for r in trace.connected_roads(fast, asked).collect()}
+    assert not got[0]["slow"] and got[0]["connected"] and got[0]["n_trips"] >= 3
+    assert got[1]["connected"] == got[1]["slow"]

@@ -267,6 +267,27 @@ def connected(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     return counts.select("qid", "n_a", "n_b", "dir_ab", "dir_ba", ok.alias("connected"))
 
 
+def mph(speed_inv):
+    """Miles an hour of an inverse speed in seconds for 5 metres."""
+    return F.lit(5.0) / speed_inv * 3.6 / 1.6
+
+
+def connected_roads(samples: DataFrame, triples: DataFrame, radius: float = 0.00005) -> DataFrame:
+    """Whether trips confirm a link over three points (qid, lat1..lon3): slow places are linked, as are places with few trips; others need three trips between the first two points, one way or over all three.
+
+    qid, slow, n_a, n_trips and connected.
+    """
+    at = lambda k: triples.select(F.struct("qid", F.lit(k).alias("k")).alias("qid"), F.col(f"lat{k}").alias("lat"), F.col(f"lon{k}").alias("lon"), F.lit(0.0003).alias("radius"), F.lit(0.2).alias("ranking"))
+    speeds = speed_rank(samples, at(1).unionByName(at(2)).unionByName(at(3))).groupBy("qid.qid").agg(F.bool_and(mph(F.col("speed")) < 40).alias("slow"))
+    pairs = p2p(samples, triples.select("qid", "lat1", "lon1", "lat2", "lon2", F.lit(radius).alias("radius"))).select("qid", "n_a", (F.col("dir_ab") + F.col("dir_ba")).alias("direct"))
+    way = lambda side, order: triples.select(F.struct("qid", F.lit(side).alias("side")).alias("qid"), *(F.col(f"{c}{k}").alias(f"{c}{i}") for i, k in enumerate(order, 1) for c in ("lat", "lon")), *(F.lit(radius).alias(f"r{i}") for i in (1, 2, 3)), F.lit(-1.0).alias("d1"), F.lit(-1.0).alias("d2"))
+    three = three_point(samples, way(1, (1, 2, 3)).unionByName(way(2, (3, 2, 1)))).groupBy("qid.qid").agg(F.max("n_trips").alias("over"))
+    rows = speeds.join(pairs, "qid").join(three, "qid")
+    n = F.greatest("direct", "over")
+    ok = F.col("slow") | (F.col("n_a") < 5) | ((F.col("direct") >= 3) & (n > 2))
+    return rows.select("qid", "slow", "n_a", n.alias("n_trips"), ok.alias("connected"))
+
+
 class TraceDataset:
     """Indexed samples, up to a greatest trip id, and the queries on them."""
 

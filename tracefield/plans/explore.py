@@ -14,11 +14,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import raster, similarity, trace
+from ..operators.cluster import lateral_peaks
 from ..sources.config import Config
 from ..sources.graphs import read_checkpoint, write_checkpoint
 from ..storage import save
@@ -29,12 +31,19 @@ BORDER = 0.00025
 NEAR_NODE, BOX = 0.00015, (0.0003, 0.0005)
 ALIKE, ALIKE_FAR, OVERLAP = 0.00006, 0.00025, 0.7
 ROUNDS, CHECKPOINT = 500_000, 1_000
-#: Bytes a node takes on the driver, about; an exploration has no more nodes than rounds times entrances.
+# Radii tried for a history, the first that gives three neighbouring directions is taken.
+NOISE = (0.00005, 0.00007, 0.00009, 0.00011, 0.00013, 0.00015)
+# Lateral profiles (ancestors they come from, radii, spacing, places on either side, places around the
+# middle that count as the road itself), the least share of a branch's peak, its longest gap, and its reach.
+LATERAL, LATERAL_RADIUS, LATERAL_END, LATERAL_STEP, HALF, OWN = ((18, 12), (24, 18), (29, 18)), 0.0001, 0.00002, 0.000015, 35, 10
+BRANCH_SHARE, BRANCH_GAP, BRANCH_REACH, BRANCH_WAIT = 0.05, 0.0005, 0.00015, 5
 BINS = geo.BINS
 KERNEL = (0.214607, 0.189879, 0.131514, 0.071303)
 
 NODES = "tree int, node int, parent int, lat double, lon double, direction int, depth int, scores array<double>, merged_tree int, merged_node int, kind int, references int, removed boolean, dead boolean, outside boolean, init double"
 
+BRANCHES = "tree int, start int, seen int, wait int, shape array<array<double>>, state string"
+
 
 @dataclass
 class Node:
@@ -61,6 +70,41 @@ class Node:
         return tuple(getattr(self, c.split()[0]) for c in NODES.split(", "))
 
 
+@dataclass
+class Branch:
+    """A way off a road that was seen from the side, to be taken up once its tree is deeper than ``wait``: the shape from ``start`` on."""
+
+    tree: int
+    start: int
+    seen: int
+    wait: int
+    shape: list[tuple[float, float]]
+    state: str = "active"
+
+
+def thinned(path: list["Node"], noise: float) -> list[tuple[float, float, float, float]]:
+    """The path query (lat, lon, radius, distance to the next newer point) of a node and its ancestors.
+
+    Points whose circle would overlap the one before are left out; the oldest
+    always stays, in place of the one before it.
+    """
+    along = [0.0]
+    for x, y in zip(path, path[1:]):
+        along.append(along[-1] + math.hypot(x.lat - y.lat, (x.lon - y.lon) * math.cos(math.radians(x.lat))))
+    out, last = [(path[0].lat, path[0].lon, NODE_RADIUS, STEP)], 0
+    for i, x in enumerate(path[1:], 1):
+        d = along[i] - along[last]
+        r = max(NODE_RADIUS, noise)
+        if d != 0 and out[-1][2] + r > d:
+            if i < len(path) - 1:
+                continue
+            if len(out) > 1:
+                out.pop()
+        out.append((x.lat, x.lon, r, d))
+        last = i
+    return out
+
+
 def smoothed(scores: list[float]) -> list[float]:
     """The masked circular smoothing of one vector of scores."""
     v, n = [max(0.0, x) for x in scores], len(scores)
@@ -92,6 +136,7 @@ class Forest:
         self.data, self.config = dataset, config
         self.spark: SparkSession = dataset.samples.sparkSession
         self.trees: list[list[Node]] = []
+        self.branches: list[Branch] = []
         self.rounds = 0
 
     # --- state ---------------------------------------------------------------------------------
@@ -128,11 +173,12 @@ class Forest:
         return self.spark.createDataFrame([n.row() for t in self.trees for n in t], NODES)
 
     def save(self, folder: str) -> None:
-        write_checkpoint({"nodes": self.table()}, folder, self.rounds)
+        rows = [(b.tree, b.start, b.seen, b.wait, [list(p) for p in b.shape], b.state) for b in self.branches]
+        write_checkpoint({"nodes": self.table(), "branches": self.spark.createDataFrame(rows, BRANCHES)}, folder, self.rounds)
 
     def load(self, folder: str) -> bool:
         """Take up the newest checkpoint; False if there is none."""
-        found = read_checkpoint(self.spark, folder, ["nodes"])
+        found = read_checkpoint(self.spark, folder, ["nodes", "branches"])
         if found is None:
             return False
         self.rounds, tables = found[0], found[1]
@@ -141,43 +187,41 @@ class Forest:
         for r in tables["nodes"].orderBy("tree", "node").toLocalIterator():
             trees.setdefault(r["tree"], []).append(Node(**{c: list(r[c]) if c == "scores" else r[c] for c in names}))
         self.trees = [trees[k] for k in sorted(trees)]
+        self.branches = [Branch(r["tree"], r["start"], r["seen"], r["wait"], [tuple(p) for p in r["shape"]], r["state"]) for r in tables["branches"].orderBy("wait", "tree", "seen").toLocalIterator()]
         return True
 
     # --- queries of a frontier ---------------------------------------------------------------------
 
-    def _history(self, n: Node) -> list[tuple[float, float, float, float]]:
-        """The path query of a node: lat, lon, radius and distance to the next, newest first, of nodes that are a step apart."""
-        points, last = [], None
-        for x in self.path(n, 2 * self.config.history_length + 1):
-            if last is None or math.hypot(x.lat - last.lat, (x.lon - last.lon) * math.cos(math.radians(x.lat))) >= NODE_STEP * 1.5 or len(points) == 1 and x.parent == x.node:
-                points.append(x)
-                last = x
-        out = []
-        for k, x in enumerate(points):
-            y = points[k - 1] if k else None
-            d = STEP if y is None else math.hypot(x.lat - y.lat, (x.lon - y.lon) * math.cos(math.radians(x.lat)))
-            out.append((x.lat, x.lon, NODE_RADIUS, d))
-        return out
-
     def _score(self, nodes: list[Node]) -> None:
-        """Direction scores of nodes, by their histories; roots, which have none, by trips from the node to each probe."""
+        """Direction scores of nodes, by their histories; roots, which have none, by trips from the node to each probe.
+
+        All radii are asked in one job; each node takes the first that finds
+        three neighbouring directions, or else the last.
+        """
         paths, roots = [], []
         for k, n in enumerate(nodes):
-            h = self._history(n)
+            h = self.path(n, 2 * self.config.history_length + 1)
             (paths if len(h) > 1 else roots).append((k, h))
         counts: dict[int, list[int]] = {k: [0] * BINS for k in range(len(nodes))}
         if paths:
-            rows = [(k, [dict(zip(("lat", "lon", "radius", "dist"), p)) for p in h]) for k, h in paths]
+            rows = [(k * len(NOISE) + j, [dict(zip(("lat", "lon", "radius", "dist"), p)) for p in thinned(h, r)]) for k, h in paths for j, r in enumerate(NOISE)]
             asked = self.spark.createDataFrame(rows, "qid int, path array<struct<lat:double,lon:double,radius:double,dist:double>>")
+            found: dict[int, list[int]] = {}
             for r in self.data.direction_scores(asked).filter("n_trips > 0").toLocalIterator():
-                counts[r["qid"]][r["bin"]] = r["n_trips"]
+                found.setdefault(r["qid"], [0] * BINS)[r["bin"]] = r["n_trips"]
+            for k, _ in paths:
+                for j in range(len(NOISE)):
+                    counts[k] = found.get(k * len(NOISE) + j, [0] * BINS)
+                    above = [c >= self.config.least_trips and c > 1 for c in counts[k]]
+                    if any(above[i] and above[i - 1] and above[i - 2] for i in range(BINS)):
+                        break
         if roots:
             rows = []
             for k, h in roots:
-                lat, lon, radius, _ = h[0]
+                lat, lon = h[0].lat, h[0].lon
                 for b in range(BINS):
                     a = math.radians(b * geo.BIN_DEGREES)
-                    rows.append((k * BINS + b, lat, lon, radius, lat + STEP * math.cos(a), lon + STEP * math.sin(a) / math.cos(math.radians(lat)), RANGE, -1.0))
+                    rows.append((k * BINS + b, lat, lon, NODE_RADIUS, lat + STEP * math.cos(a), lon + STEP * math.sin(a) / math.cos(math.radians(lat)), RANGE, -1.0))
             legs = self.spark.createDataFrame(rows, "qid int, lat1 double, lon1 double, r1 double, lat2 double, lon2 double, r2 double, dist double")
             for r in trace.match(self.data.samples, legs, ["qid"], self.data.metric).groupBy("qid").agg(F.count("*").alias("n")).toLocalIterator():
                 counts[r["qid"] // BINS][r["qid"] % BINS] = r["n"]
@@ -194,6 +238,87 @@ class Forest:
                 v = [x if min((i - at) % BINS, (at - i) % BINS) <= 2 else 0.0 for i, x in enumerate(v)]
             n.scores = v
 
+    def _covered(self, lat: float, lon: float, tree: int) -> bool:
+        """Whether a segment of a tree passes a place."""
+        k = math.cos(math.radians(lat))
+        for x in self.trees[tree]:
+            y = self.trees[tree][x.parent]
+            dx, dy = x.lat - y.lat, (x.lon - y.lon) * k
+            px, py = lat - y.lat, (lon - y.lon) * k
+            length = dx * dx + dy * dy
+            t = min(1.0, max(0.0, (px * dx + py * dy) / length)) if length else 0.0
+            if math.hypot(px - t * dx, py - t * dy) <= BRANCH_REACH:
+                return True
+        return False
+
+    def _look_aside(self, new: list[Node]) -> None:
+        """Profiles across the way at new nodes far enough along; a peak beside the road makes a branch, with the mean path of the trips that go there."""
+        asked, places = [], {}
+        for k, n in enumerate(new):
+            up = self.path(n, LATERAL[-1][0] + 1)
+            if len(up) <= LATERAL[-1][0]:
+                continue
+            heading = n.direction * geo.BIN_DEGREES
+            for j, (old, mid) in enumerate(LATERAL):
+                for i in range(-HALF, HALF + 1):
+                    a = math.radians(heading + (120.0 if i > 0 else -120.0))
+                    d = abs(i) * LATERAL_STEP
+                    lat, lon = n.lat + d * math.cos(a), n.lon + d * math.sin(a) / math.cos(math.radians(n.lat))
+                    places[k, i] = (lat, lon)
+                    asked.append(((k * len(LATERAL) + j) * 1000 + i + HALF, up[old].lat, up[old].lon, up[mid].lat, up[mid].lon, lat, lon, LATERAL_RADIUS, LATERAL_RADIUS, LATERAL_END, -1.0, -1.0))
+        if not asked:
+            return
+        schema = "qid int, lat1 double, lon1 double, lat2 double, lon2 double, lat3 double, lon3 double, r1 double, r2 double, r3 double, d1 double, d2 double"
+        profiles: dict[int, list[float]] = {}
+        for r in self.data.three_point(self.spark.createDataFrame(asked, schema)).filter("n_trips > 0").toLocalIterator():
+            if r["n_trips"] >= self.config.least_trips_branch:
+                profiles.setdefault(r["qid"] // 1000 // len(LATERAL), [0.0] * (2 * HALF + 1))[r["qid"] % 1000] += r["n_trips"] / len(LATERAL)
+        shapes, waiting = [], []
+        for k, v in profiles.items():
+            n, up = new[k], self.path(new[k], LATERAL[-1][0] + 1)
+            found = [p for p in lateral_peaks(np.array(v))[0] if 0 <= p <= 2 * HALF]
+            top = max((v[p] for p in found), default=0.0)
+            for p in found:
+                if abs(p - HALF) > OWN and v[p] >= BRANCH_SHARE * top and not self._covered(*places[k, p - HALF], n.tree):
+                    shapes.append((len(shapes), up[18].lat, up[18].lon, up[12].lat, up[12].lon, *places[k, p - HALF], LATERAL_RADIUS, LATERAL_RADIUS, NODE_RADIUS, -1.0, -1.0))
+                    waiting.append((n, up[12], places[k, p - HALF]))
+        if not shapes:
+            return
+        drawn: dict[int, list] = {}
+        for r in self.data.mean_path(self.spark.createDataFrame(shapes, schema)).orderBy("qid", "pos").toLocalIterator():
+            drawn.setdefault(r["qid"], []).append((r["lat"], r["lon"]))
+        for k, (n, start, place) in enumerate(waiting):
+            shape = [(start.lat, start.lon), *drawn.get(k, []), place]
+            if all(math.hypot(a[0] - b[0], (a[1] - b[1]) * math.cos(math.radians(a[0]))) <= BRANCH_GAP for a, b in zip(shape, shape[1:])):
+                depth = max(x.depth for x in self.trees[n.tree])
+                wait = max([depth + BRANCH_WAIT, *(b.wait + 2 for b in self.branches if b.tree == n.tree and b.seen == n.parent)])
+                self.branches.append(Branch(n.tree, start.node, n.node, wait, shape))
+
+    def _take_up(self) -> list[Node]:
+        """The last waiting branch of each tree that is deep enough, as nodes along its shape; the ends, to be scored."""
+        ends = []
+        for t in self.trees:
+            depth = max(x.depth for x in t)
+            due = [b for b in self.branches if b.tree == t[0].tree and b.state == "active" and b.wait < depth]
+            if not due:
+                continue
+            branch = due[-1]
+            if self._covered(*branch.shape[-1], branch.tree):
+                branch.state = "covered"
+                continue
+            parent = t[branch.start]
+            for a, b in zip(branch.shape, branch.shape[1:]):
+                east = (b[1] - a[1]) * math.cos(math.radians(a[0]))
+                direction = int(math.degrees(math.atan2(east, b[0] - a[0])) % 360 / geo.BIN_DEGREES)
+                n = Node(parent.tree, len(t), parent.node, *b, direction, parent.depth + 1, dead=True)
+                parent.references += 1
+                t.append(n)
+                parent = n
+            parent.dead = False
+            branch.state = "taken"
+            ends.append(parent)
+        return ends
+
     def _similar(self, new: list[Node]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """For new nodes the nearest earlier node that runs alike, and how that was found: 1 by trips, 2 and 3 by traffic."""
         fresh = {(n.tree, n.node) for n in new}
@@ -278,8 +403,10 @@ class Forest:
                 parent.scores[(k + i) % BINS] = -1.0
             t.append(n)
             new.append(n)
+        new += self._take_up()
         if new:
             self._score(new)
+            self._look_aside(new)
             for (tree, node), (to_tree, to_node, kind) in self._similar(new).items():
                 n, x = self.trees[tree][node], self.trees[to_tree][to_node]
                 x.scores = [y if y > z and z > -0.5 else z for y, z in zip(n.scores, x.scores)]
