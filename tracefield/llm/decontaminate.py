@@ -189,6 +189,6 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns stay."""
+    """``docs`` without the documents that hold an item; all columns stay. Rows without a doc_id can't be told apart and stay."""
     held = find_items(docs, benchmark, rate).select("doc_id").distinct()
     return docs.join(held, "doc_id", "left_anti").select(*docs.columns)

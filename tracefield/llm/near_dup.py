@@ -384,8 +384,9 @@ def _probes(members: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One document of each group of near-duplicates; all columns stay. Of rows that repeat a doc_id one stays."""
+    """One document of each group of near-duplicates; all columns stay. Of rows that repeat a doc_id one stays; rows without a doc_id all stay."""
     kept = near_duplicates(docs, threshold).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    one = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
