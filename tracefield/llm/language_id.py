@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 
 #: Labelled rows of each language that the fit takes at most (those with the least hash of doc_id).
-SAMPLE = 300
+SAMPLE = 160
 #: Hashed features.
 BITS = 13
 ORDERS = (1, 2, 3, 4)
@@ -195,11 +195,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     x = np.zeros((len(y), len(ORDERS) << BITS), np.float32)
     for row, (i, v) in enumerate(r for lang in langs for r in held[lang]):
         x[row, i] = v
-    used = np.flatnonzero((x > 0).sum(0) > 1)
+    used = np.flatnonzero(np.count_nonzero(x, axis=0) > 1)
     scale = np.zeros(x.shape[1], np.float32)
-    scale[used] = 1 / np.maximum(np.sqrt((x[:, used] ** 2).mean(0)), 1e-3)
-    x = x[:, used] * scale[used]
-    norm = np.float32(np.sqrt(np.median((x**2).sum(1))) or 1.0)
+    scale[used] = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", x, x)[used] / len(x)), 1e-3)
+    x = x[:, used]
+    x *= scale[used]
+    norm = np.float32(np.sqrt(np.median(np.einsum("ij,ij->i", x, x))) or 1.0)
     x /= norm
     gram = (x @ x.T).astype(np.float64)
 
@@ -250,7 +251,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "family")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """``docs`` without the rows whose language is undetermined or less sure than ``least``; all columns stay.
 
     The machines are fitted on the labelled rows of ``docs`` itself; without
