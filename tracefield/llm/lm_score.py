@@ -52,7 +52,7 @@ BUCKETS = 24
 #: Share of a Newton step (by each weight alone) that a step takes; steps in a slice.
 RATE, STEPS = 0.15, 16
 #: Bytes of text whose symbols are sorted at a time, and whose distinct symbols in context are gone through at a time.
-SLICE, GROUP = 1 << 21, 12 << 20
+SLICE, GROUP = 1 << 21, 8 << 20
 #: Tokens whose counts are broadcast.
 FREQUENT = 1 << 19
 #: Counters in a block of a table on its way between tasks.
@@ -436,6 +436,8 @@ def score(docs: DataFrame) -> DataFrame:
             yield from scored_slices()
 
     scored = save(docs.mapInArrow(run, SCORED), "scored")
+    for sent in (table, mixer, top):  # else the Python workers keep them
+        sent.destroy()
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     # Summed in exact steps, so that the result does not depend on their order.
