@@ -204,6 +204,19 @@ def test_a_chain_of_near_copies_and_small_blocks(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 0.85).collect()} == expected
 
 
+def test_isolated_pairs_near_the_threshold_are_linked(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(6000):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(rng.randint(70, 74))]
+        rows.append((2 * k, " ".join(words)))
+        words[rng.randint(4, len(words) - 5)] = "changed"  # 5 of at least 66 shingles go: similarity 0.859 to 0.867
+        rows.append((2 * k + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 0.85).collect()}
+    assert [d for d in found if found[d] != d // 2 * 2] == []
+
+
 def test_bounds_drop_few_pairs():
     need = near_dup.least_matches(0.85)
     rng = np.random.default_rng(0)

@@ -152,10 +152,11 @@ def compare(sig: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) ->
     return alive, matches[alive]
 
 
-def bucket_pairs(group: np.ndarray, comp: np.ndarray, probe: np.ndarray, band: np.ndarray, sig: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(group: np.ndarray, comp: np.ndarray, probe: np.ndarray, sig: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Surviving pairs within the groups (equal neighbours in ``group``) across components, at most ``most`` for each member by matches.
 
-    A pair that also agrees on an earlier band is left to the bucket there.
+    A pair is found in every bucket that it shares: the stored 8 bits of a hash
+    can't tell whether an earlier band's key (of 32 bits a hash) is shared too.
     Two probes are not compared; each is a plain member of its own block.
     """
     if not len(group):
@@ -173,12 +174,8 @@ def bucket_pairs(group: np.ndarray, comp: np.ndarray, probe: np.ndarray, band: n
         for x in range(0, len(i), 1 << 17):
             a, b = i[x : x + (1 << 17)], j[x : x + (1 << 17)]
             keep, m = compare(sig, a, b, threshold)
-            a, b = a[keep], b[keep]
-            if len(a):
-                same = (sig[a] == sig[b]).reshape(len(a), BANDS, ROWS).all(2)
-                first = same.argmax(1)
-                here = ~same.any(1) | (first >= band[a]) | probe[a] | probe[b]
-                found.append((a[here], b[here], m[here]))
+            if len(keep):
+                found.append((a[keep], b[keep], m))
         d += 1
         live = live[left[live] >= d]
     if not found:
@@ -224,10 +221,10 @@ def _pairs_of(table: pa.Table, threshold: float, most: int):
     data, _ = B.buffer(table.column("signature"))
     group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
     probe = table.column("probe").to_numpy().astype(bool)
-    return doc, comp, bucket_pairs(group, comp, probe, table.column("band").to_numpy(), data.reshape(len(key), BANDS * ROWS), threshold, most)
+    return doc, comp, bucket_pairs(group, comp, probe, data.reshape(len(key), BANDS * ROWS), threshold, most)
 
 
-_MEMBER = ("key", "band", "block", "doc", "comp", "probe", "signature")
+_MEMBER = ("key", "block", "doc", "comp", "probe", "signature")
 
 
 def _dealt(members: DataFrame, *more: str) -> DataFrame:
@@ -235,7 +232,7 @@ def _dealt(members: DataFrame, *more: str) -> DataFrame:
 
 
 def best_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """For each doc of ``members`` (key, band, block, doc, comp, probe, signature) its best surviving pair (a < b)."""
+    """For each doc of ``members`` (key, block, doc, comp, probe, signature) its best surviving pair (a < b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
@@ -251,8 +248,8 @@ def best_pairs(members: DataFrame, threshold: float) -> DataFrame:
 def block_links(members: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that join the components within each block of ``members`` (as above, and text).
 
-    Pairs are taken by their matches; a pair whose components have met is not
-    verified, so that a block gives fewer links than it has members.
+    Pairs are taken by their matches; a pair whose components have met, or that
+    another bucket of the task has brought already, is not verified, so that a block gives fewer links than it has members.
     """
     percent = round(100 * threshold)
 
@@ -273,10 +270,13 @@ def block_links(members: DataFrame, threshold: float) -> DataFrame:
                         x = root[x]
                     return x
 
+                tried: set[tuple[int, int]] = set()
                 order = np.argsort(-m, kind="stable")
                 for i, j, x, y in zip(a[order].tolist(), b[order].tolist(), at[: len(a)][order].tolist(), at[len(a) :][order].tolist()):
                     p, q = find(int(comp[i])), find(int(comp[j]))
-                    if p != q:
+                    pair = (min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j])))
+                    if p != q and pair not in tried:
+                        tried.add(pair)
                         one, other = sets[x], sets[y]
                         if 100 * min(len(one), len(other)) < percent * max(len(one), len(other)):
                             continue
