@@ -37,3 +37,14 @@ def test_stages(spark, tmp_path):
     nameless = spark.createDataFrame([(None, base, "en", "s", 1), (1, base, "en", "s", 1)], SCHEMA)
     assert near_dup.keep_one(nameless).count() == 2
     assert decontaminate.remove_contaminated(nameless, spark.createDataFrame(items, "item_id long, text string")).count() == 2
+
+
+def test_gibberish_goes_and_all_languages_stay(spark, tmp_path):
+    rng = random.Random(4)
+    syllables = {"en": ["th", "ing", "er", "on", "and"], "de": ["sch", "ung", "ü", "ein", "ch"], "fr": ["eau", "é", "oi", "que", "le"], "es": ["ción", "ñ", "ar", "os", "el"]}
+    clean = [(i, " ".join("".join(rng.choice(s) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(3, 60))), k, "s", 1) for i, (k, s) in enumerate(list(syllables.items()) * 60)]
+    junk = ["".join(rng.choice("qxzjkvwpfbgy0123456789+/=") for _ in range(rng.randint(80, 400))) for _ in range(30)]
+    junk += ["a 4785380592391139 $$$ &&& %%% 0123 #### 77291 @@@@ (((( 5555 ]]]] ++++ 90817 ~~~~ 31415"]
+    rows = clean + [(1000 + i, t, None, "s", 1) for i, t in enumerate(junk)]
+    out = dict(corpus_pipeline.STAGES)["language_id"](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == [r[0] for r in clean]

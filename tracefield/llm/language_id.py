@@ -26,6 +26,10 @@ SAMPLE = 160
 BITS = 13
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
+#: Orders that tell a language's text from junk, and labelled rows set aside from which a level for that is taken.
+FAMILIAR, LEAST_ROWS = (3, 4), 8
+#: Standard errors by which a text must be below the level.
+SURE = 3.0
 PREDICTIONS = "doc_id long, lang_pred string, score double, family string"
 
 # Families of common languages by ISO 639-1 code. A language that
@@ -107,6 +111,25 @@ class Model:
     families: list[str] = field(default_factory=list)
     languages: dict[str, list[str]] = field(default_factory=dict)
     machines: list[tuple[str, str, str, LinearSVM]] = field(default_factory=list)  # (family or "", one, other or "", machine)
+    profile: np.ndarray | None = None  # log of each feature's share in labelled text over an even share
+    level: float = 0.0  # mean of it below which a text is junk
+    spread: float = 0.0  # its standard deviation from n-gram to n-gram
+
+    def strange(self, col: pa.Array) -> np.ndarray:
+        """Whether a row's n-grams are surely not those of any labelled language; never without a profile."""
+        n = len(col)
+        if self.profile is None:
+            return np.zeros(n, bool)
+        orders, offsets = features(col)
+        filled = np.flatnonzero(np.diff(offsets) > 0)
+        total, seen = np.zeros(n), np.zeros(n)
+        for order in FAMILIAR:
+            k = ORDERS.index(order)
+            ok = orders[k] >= 0
+            if len(filled):
+                total[filled] += np.add.reduceat(np.where(ok, self.profile[(k << BITS) + np.where(ok, orders[k], 0)], 0), offsets[filled], dtype=np.float64)
+                seen[filled] += np.add.reduceat(ok, offsets[filled], dtype=np.int64)
+        return total + SURE * self.spread * np.sqrt(seen) < self.level * seen
 
     def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
         """Language, score in 0..1 and family of each row."""
@@ -156,6 +179,33 @@ class Model:
         return langs, np.clip(scores, 0, 1), families
 
 
+def _profile(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray | None, float, float]:
+    """Profile, level and spread of :class:`Model`, from the features' shares and the languages of labelled rows.
+
+    Every fourth row of a language is held out. The level is halfway between
+    the least held-out row and what features drawn evenly have; there is none
+    without enough rows or if the two don't stand apart.
+    """
+    rank = np.arange(len(y)) - np.searchsorted(y, y)  # y is sorted
+    out = rank % 4 == 3
+    if out.sum() < LEAST_ROWS:
+        return None, 0.0, 0.0
+    size = 1 << BITS
+    profile = np.zeros(x.shape[1], np.float32)
+    for order in FAMILIAR:
+        part = slice(ORDERS.index(order) * size, (ORDERS.index(order) + 1) * size)
+        mean = np.mean([x[(y == k) & ~out][:, part].mean(0) for k in np.unique(y)], 0)
+        profile[part] = np.log((mean * size + 0.1) / 1.1)
+    on = np.concatenate([np.arange(ORDERS.index(o) * size, (ORDERS.index(o) + 1) * size) for o in FAMILIAR])
+    filled = out & (x[:, on].sum(1) > len(FAMILIAR) - 0.5)
+    if not filled.any():
+        return None, 0.0, 0.0
+    held = x[filled][:, on] @ profile[on] / len(FAMILIAR)
+    least, even = float(held.min()), float(profile[on].mean())
+    spread = float(profile[on].std())
+    return (profile, (least + even) / 2, spread) if least > even else (None, 0.0, 0.0)
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows of each language of ``labelled`` (doc_id, text, lang), chosen by the hash of doc_id.
 
@@ -195,6 +245,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     x = np.zeros((len(y), len(ORDERS) << BITS), np.float32)
     for row, (i, v) in enumerate(r for lang in langs for r in held[lang]):
         x[row, i] = v
+    profile = _profile(x, y)
     used = np.flatnonzero(np.count_nonzero(x, axis=0) > 1)
     scale = np.zeros(x.shape[1], np.float32)
     scale[used] = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", x, x)[used] / len(x)), 1e-3)
@@ -213,7 +264,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     families: dict[str, list[int]] = {}
     for k, lang in enumerate(langs):
         families.setdefault(family_of(lang), []).append(k)
-    model = Model(sorted(families), {f: [langs[k] for k in v] for f, v in families.items()})
+    model = Model(sorted(families), {f: [langs[k] for k in v] for f, v in families.items()}, [], *profile)
     everything = np.arange(len(y))
     if len(families) > 1:
         for f in model.families:
@@ -251,14 +302,16 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "family")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or less sure than ``least``; all columns stay.
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold no letter or whose n-grams are those of no labelled language; all columns stay.
 
-    The machines are fitted on the labelled rows of ``docs`` itself; without
-    any, nothing can be told and only rows without a letter go.
+    The score is a share among the languages and can't tell junk; what decides
+    is how familiar a text is by itself (:meth:`Model.strange`). The model is
+    fitted on the labelled rows of ``docs``; with too few of them, nothing can
+    be told and only rows without a letter go.
     """
     model = fit(docs)
-    if not model.families:
+    if model.profile is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -268,7 +321,6 @@ def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
         for batch in batches:
             for a, b in B.slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                langs, scores, _ = model.predict(part.column(at))
-                yield part.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores)]))
+                yield part.filter(pa.array(has_letter(part.column(at)) & ~model.strange(part.column(at))))
 
     return docs.mapInArrow(run, docs.schema)
