@@ -156,6 +156,22 @@ def shingle_sets(rows):
     return out
 
 
+def test_context_counts_are_exact():
+    """No counter is shared: each order's counts are those of the contexts themselves, however many there are."""
+    rng = np.random.default_rng(3)
+    texts = pa.array(["".join(map(chr, rng.integers(97, 123, 40000))) for _ in range(3)])
+    keys, times = lm_score.events(*bytesops.buffer(texts))
+    short = lm_score.short_counts(*lm_score._summed(lm_score._of_order(keys, 2), times))
+    known = lm_score.counted(keys, times, short)
+    for k, size in enumerate(lm_score.CONTEXT):
+        for bit in (0, 4, 8):
+            name = [((x >> 8) & ((1 << 8 * size) - 1), (x & 255) >> (8 - bit)) for x in keys.tolist()]
+            n = Counter()
+            for x, c in zip(name, times.tolist()):
+                n[x] += c
+            assert known.depths[k, bit].tolist() == [n[x] for x in name]
+
+
 def brute_groups(rows, percent):
     sets = [(i, s) for i, s in shingle_sets(rows) if i is not None]
     parent = {i: i for i, _ in sets}

@@ -1,7 +1,7 @@
 """Language-model scores by logistic context mixing.
 
 The model predicts a text bit by bit, from the high bit of each byte down. For
-contexts of the last 0 to 5 bytes it holds hashed tables of bit counts. Their
+contexts of the last 0 to 5 bytes it counts bits. Their
 predictions, as logits, are added up under weights that a gate chooses (by bit
 and by how much the two longest contexts have seen); a last stage refines the
 sum by what such predictions were worth in the corpus. A text is closed by one
@@ -16,8 +16,12 @@ of whole texts.
 * Scoring uses the finished model, so that a text's score depends neither on
   the order nor on the partitioning of the table.
 
-All tables have fixed sizes, so the model that is broadcast has a bound. The
-unigram base score has no bound: the counts of the most frequent tokens (at
+The counts are exact and grow with the corpus: distinct symbols in context are
+dealt over buckets by the last three bytes of their context, so that all counts
+of longer contexts are at hand within a bucket. Those of up to two bytes are
+broadcast; there are at most 2^24 of them. Costs go back to groups of documents.
+
+The unigram base score has no bound: the counts of the most frequent tokens (at
 most ``FREQUENT``) are broadcast, those of all others are joined.
 """
 
@@ -33,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import save
+from ..storage import release, save
 from . import bytesops as B
 
 #: Bytes of context of each predictor, and bits of its table (a counter for each hashed context and node of a byte's bits).
@@ -51,10 +55,14 @@ SETS = LEVELS * LEVELS * 8
 BUCKETS = 24
 #: Share of a Newton step (by each weight alone) that a step takes; steps in a slice.
 RATE, STEPS = 0.15, 16
-#: Bytes of text whose symbols are sorted at a time, and whose distinct symbols in context are gone through at a time.
+#: Bytes of text whose symbols are sorted at a time, and of a group of documents.
 SLICE, GROUP = 1 << 21, 8 << 20
 #: Tokens whose counts are broadcast.
 FREQUENT = 1 << 19
+#: Bytes of text for each bucket of contexts.
+BUCKET = 2 << 20
+#: Bytes of context whose counts are broadcast at most.
+SHORT = 2
 #: Counters in a block of a table on its way between tasks.
 BLOCK = 1 << 14
 END_TOKEN = np.uint64(0xE0F0E0F0E0F0E0F1)
@@ -80,29 +88,6 @@ def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.unique(symbols(data, offsets)[0], return_counts=True)
 
 
-def grouped_events(column: Iterator[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``events`` of groups of successive slices, for a column that comes in parts: in larger groups fewer keys come again."""
-    held, size = [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, times = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[first], np.add.reduceat(times[order], first)
-
-    for part in column:
-        for a, b in B.slices(part, SLICE):
-            data, offsets = B.buffer(part.slice(a, b - a))
-            held.append(events(data, offsets))
-            size += len(data)
-            if size > GROUP:
-                yield merged()
-                held, size = [], 0
-    if held:
-        yield merged()
-
-
 def cells(keys: np.ndarray) -> list[np.ndarray]:
     """For each order, the hash of every key's context."""
     return [B.mix(((keys >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 57)) if k > 1 else (keys >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1) for k in CONTEXT]
@@ -136,10 +121,69 @@ class Mixer:
         return cls(w, np.zeros((256 * BUCKETS, 2)))
 
 
-def predictions(table: np.ndarray, keys: np.ndarray, hashes: list[np.ndarray], bit: int, own: bool):
+@dataclass
+class Counted:
+    """Exact counts for some keys: by order and b, the symbols seen in the key's context whose first b bits are those of its symbol."""
+
+    depths: np.ndarray  # ORDERS x 9 x keys
+
+    def part(self, which: slice) -> "Counted":
+        return Counted(self.depths[:, :, which])
+
+    def bits(self, k: int, bit: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits seen at the node, and those that were 1."""
+        n, same = self.depths[k, bit], self.depths[k, bit + 1]
+        return n.astype(np.float32), np.where(y == 1, same, n - same).astype(np.float32)
+
+
+def _of_order(keys: np.ndarray, k: int) -> np.ndarray:
+    return keys & np.uint64((1 << 8 * (CONTEXT[k] + 1)) - 1)
+
+
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sums of their times."""
+    if not len(keys):
+        return keys, times
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(times[order], first)
+
+
+def _depths(ids: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For sorted (context, symbol) ids, the sums of ``times`` over those that share the context and the symbol's first 0 to 8 bits."""
+    out = np.zeros((9, len(ids)), np.int64)
+    if len(ids):
+        for b in range(9):
+            p = ids >> np.uint64(8 - b)
+            first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+            out[b] = np.repeat(np.add.reduceat(times, first), np.diff(np.r_[first, len(ids)]))
+    return out
+
+
+def short_counts(ids: np.ndarray, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and depths of each order of up to SHORT bytes, from the (context of SHORT bytes, symbol) counts."""
+    found = [_summed(_of_order(ids, k), times) for k in range(ORDERS) if CONTEXT[k] <= SHORT]
+    return [(i, _depths(i, t)) for i, t in found]
+
+
+def counted(keys: np.ndarray, times: np.ndarray, short: list[tuple[np.ndarray, np.ndarray]]) -> Counted:
+    """The counts for all keys of a bucket."""
+    out = np.empty((ORDERS, 9, len(keys)), np.int64)
+    for k in range(ORDERS):
+        ids = _of_order(keys, k)
+        if k < len(short):
+            out[k] = short[k][1][:, np.searchsorted(short[k][0], ids)]
+        else:
+            own, at = np.unique(ids, return_inverse=True)
+            out[k] = _depths(own, np.bincount(at, times, len(own)).astype(np.int64))[:, at]
+    return Counted(out)
+
+
+def predictions(table, keys: np.ndarray, hashes: list[np.ndarray], bit: int, own: bool):
     """For one bit of each key's symbol: the bit, its node, the logits of all orders and the weight set; ``own``: leave the bit at hand out of the counts.
 
-    A cell of ``table`` holds the bits seen in its upper and those that were 1 in its lower half.
+    ``table`` is :class:`Counted` for these keys, or hashed cells that hold the bits seen in their upper and those that were 1 in their lower half.
     """
     symbol = (keys & np.uint64(255)).astype(np.int64)
     node = (256 + symbol) >> (8 - bit)
@@ -148,8 +192,11 @@ def predictions(table: np.ndarray, keys: np.ndarray, hashes: list[np.ndarray], b
     inputs[-1] = 0.3
     seen = []
     for k in range(ORDERS):
-        packed = table[cell(hashes[k], k, node)]
-        n, one = (packed >> 32).astype(np.float32), (packed & 0xFFFFFFFF).astype(np.float32)
+        if isinstance(table, Counted):
+            n, one = table.bits(k, bit, y)
+        else:
+            packed = table[cell(hashes[k], k, node)]
+            n, one = (packed >> 32).astype(np.float32), (packed & 0xFFFFFFFF).astype(np.float32)
         if own:
             n, one = np.maximum(n - 1, 0), np.maximum(one - y, 0)
         inputs[k] = np.log((one + np.float32(0.3)) / (np.maximum(n - one, 0) + np.float32(0.3)))
@@ -169,9 +216,9 @@ def _bucket(node: np.ndarray, x: np.ndarray) -> np.ndarray:
     return node * BUCKETS + np.clip((x + 12) * (BUCKETS / 24), 0, BUCKETS - 1).astype(np.int64)
 
 
-def learn(table: np.ndarray, mixer: Mixer, keys: np.ndarray, times: np.ndarray, warm: bool) -> None:
+def learn(table, mixer: Mixer, keys: np.ndarray, times: np.ndarray, warm: bool) -> None:
     """One online step over some symbols, and their share of the refining table once the weights are warm."""
-    hashes = cells(keys)
+    hashes = [] if isinstance(table, Counted) else cells(keys)
     for bit in range(8):
         y, node, x, which = predictions(table, keys, hashes, bit, own=True)
         z = _mixed(mixer, x, which)
@@ -186,9 +233,9 @@ def learn(table: np.ndarray, mixer: Mixer, keys: np.ndarray, times: np.ndarray,
             mixer.refined[:, 1] += np.bincount(b, times, len(mixer.refined))
 
 
-def bits_of(table: np.ndarray, mixer: Mixer, keys: np.ndarray) -> np.ndarray:
+def bits_of(table, mixer: Mixer, keys: np.ndarray) -> np.ndarray:
     """The cost in bits of each key's symbol in its context."""
-    hashes, out = cells(keys), np.zeros(len(keys))
+    hashes, out = [] if isinstance(table, Counted) else cells(keys), np.zeros(len(keys))
     for bit in range(8):
         y, node, x, which = predictions(table, keys, hashes, bit, own=False)
         z = _mixed(mixer, x, which)
@@ -297,50 +344,157 @@ def count_tokens(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def count_contexts(training: DataFrame) -> np.ndarray:
-    """The counters of all training texts."""
+NUMBERED = "group long, row long, doc_id long, train boolean, text string"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a number and that of their group: successive rows of about GROUP bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, row, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = len(batch)
+            place = size + np.cumsum(np.diff(B.buffer(batch.column(2))[1]).astype(np.int64)) if n else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((task << 36) + place // GROUP), pa.array((task << 36) + row + np.arange(n)), *batch.columns], names=["group", "row", "doc_id", "train", "text"])
+            row, size = row + n, int(place[-1]) if n else size
+
+    return docs.select("doc_id", (~held_out()).alias("train"), "text").mapInArrow(run, NUMBERED)
+
+
+def requests(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, group, keys, times) blocks: the distinct keys of each group, and how often they stand in training rows.
+
+    Bucket -1 has the counts of contexts of up to SHORT bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, current = 0, None
+
+        def flush() -> pa.RecordBatch:
+            keys, times = _summed(*(np.concatenate(x) for x in zip(*held)))
+            short = _summed(_of_order(keys, CONTEXT.index(SHORT)), times)
+            bucket = (B.mix((keys >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            parts = [(i, keys[order[x:y]], times[order[x:y]]) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x] + [(-1, *short)]
+            i, k, t = zip(*parts)
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array([current] * len(i), pa.int64()), pa.array([_packed(x) for x in k], pa.binary()), pa.array([_packed(x.astype("<i4")) for x in t], pa.binary())], names=["bucket", "group", "keys", "times"])
+
+        for batch in batches:
+            groups, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if len(groups) else np.zeros(1, int)
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if held and (groups[x] != current or size > GROUP):
+                    yield flush()
+                    held, size = [], 0
+                current = int(groups[x])
+                for a, b in B.slices(batch.column(2).slice(x, y - x), SLICE):
+                    part = batch.column(2).slice(x + a, b - a)
+                    own = pa.array(train[x + a : x + b])
+                    for some, weight in ((part.filter(own), 1), (part.filter(pa.array(~train[x + a : x + b])), 0)):
+                        if len(some):
+                            keys, times = events(*B.buffer(some))
+                            held.append((keys, times * weight))
+                            size += int(times.sum())
+        if held:
+            yield flush()
+
+    return rows.select("group", "train", "text").mapInArrow(run, "bucket long, group long, keys binary, times binary")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """The values byte plane by byte plane, which compresses well; 64-bit keys, sorted, as differences."""
+    if values.dtype == np.uint64:
+        values = np.diff(values, prepend=np.uint64(0))
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unpacked(body: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(body, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=np.uint64) if values.dtype == np.uint64 else values
+
+
+def _read(batch: pa.RecordBatch, i: int, keys: int, values: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    return _unpacked(batch.column(keys)[i].as_py(), "<u8"), _unpacked(batch.column(values)[i].as_py(), kind)
+
+
+def collect_short(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of all (context of SHORT bytes, symbol); at most 2^24, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ones = np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32)
-        for keys, times in grouped_events(x.column(0) for x in batches):
-            times = times.astype(np.int32)
-            symbol, hashes = (keys & np.uint64(255)).astype(np.int64), cells(keys)
-            for bit in range(8):
-                node, one = (256 + symbol) >> (8 - bit), (symbol >> (7 - bit)) & 1 == 1
-                for k in range(ORDERS):
-                    at = cell(hashes[k], k, node)
-                    np.add.at(seen, at, times)
-                    np.add.at(ones, at[one], times[one])
-        yield _tagged(_blocks(seen, "seen"))
-        yield _tagged(_blocks(ones, "ones"))
-
-    summed = save(_sum_blocks(training.select("text").mapInArrow(run, _BLOCK_ROWS), "<i4", "<i8"), "counters")
-    seen, ones = (_collect(summed, kind, CELLS, "<i8") for kind in ("seen", "ones"))
-    over = np.maximum(1, seen >> 29)  # both halves of a cell stay within 31 bits
-    return (seen // over << 32) + ones // over
-
-
-def fit_mixer(training: DataFrame, table) -> Mixer:
-    """The weights and the refining table, from one pass over all training texts; ``table`` is broadcast."""
+        keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for i in range(len(batch)):
+                k, t = _read(batch, i, 0, 1, "<i4")
+                keys, times = _summed(np.concatenate([keys, k]), np.concatenate([times, t.astype(np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary())], names=["keys", "times"])
+
+    found = blocks.filter("bucket = -1").select("keys", "times").repartition(12).mapInArrow(run, "keys binary, times binary").collect()
+    keys, times = (np.concatenate([np.frombuffer(r[c], kind) for r in found] or [np.zeros(0, kind)]) for c, kind in (("keys", np.uint64), ("times", np.int64)))
+    return _summed(keys, times)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """The blocks (group, keys, times) of each whole bucket; rows come sorted by bucket."""
+    held, current = [], None
+    for batch in batches:
+        for i, bucket in enumerate(batch.column(0).to_pylist()):
+            if held and bucket != current:
+                yield held
+                held = []
+            current = bucket
+            held.append((batch.column(1)[i].as_py(), *_read(batch, i, 2, 3, "<i4")))
+    if held:
+        yield held
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket", "group", F.xxhash64("keys"))
+
+
+def fit_mixer(blocks: DataFrame, short) -> Mixer:
+    """The weights and the refining table, from one pass over the buckets' training symbols; ``short`` is broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, bits, k = Mixer.new(), 0.0, 0
-        for keys, times in grouped_events(x.column(0) for x in batches):
+        mixer, bits, k, table = Mixer.new(), 0.0, 0, short_counts(*short.value)
+        for bucket in _buckets(batches):
+            keys, times = _summed(np.concatenate([x[1] for x in bucket]), np.concatenate([x[2] for x in bucket]).astype(np.int64))
+            keys, times = keys[times > 0], times[times > 0]
+            if not len(keys):
+                continue
+            known = counted(keys, times, table)
             times = times.astype(np.float32)
             for part in range(STEPS):
-                learn(table.value, mixer, keys[part::STEPS], times[part::STEPS], k > 0 or part >= STEPS // 2)
+                which = slice(part, None, STEPS)
+                learn(known.part(which), mixer, keys[which], times[which], k > 0 or part >= STEPS // 2)
             bits += 8.0 * float(times.sum())
             k += 1
         if k:
             yield _tagged(_blocks(np.append(mixer.weights.ravel() * bits, bits), "weights"))
             yield _tagged(_blocks(mixer.refined.ravel(), "refined"))
 
-    summed = save(_sum_blocks(training.select("text").mapInArrow(run, _BLOCK_ROWS), "<f8", "<f8"), "mixer")
+    summed = save(_sum_blocks(_dealt(blocks).mapInArrow(run, _BLOCK_ROWS), "<f8", "<f8"), "mixer")
     w = _collect(summed, "weights", SETS * (ORDERS + 1) + 1, "<f8")
     refined = _collect(summed, "refined", 256 * BUCKETS * 2, "<f8").reshape(-1, 2)
     return Mixer((w[:-1] / w[-1]).reshape(SETS, ORDERS + 1), refined) if w[-1] else Mixer.new()
 
 
+def costs(blocks: DataFrame, short, mixer) -> DataFrame:
+    """(group, keys, cost): the cost in bits of each group's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = short_counts(*short.value)
+        for bucket in _buckets(batches):
+            keys, times = _summed(np.concatenate([x[1] for x in bucket]), np.concatenate([x[2] for x in bucket]).astype(np.int64))
+            cost = bits_of(counted(keys, times, table), mixer.value, keys).astype(np.float32)
+            out = [_packed(cost[np.searchsorted(keys, k)]) for _, k, _ in bucket]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, *_ in bucket], pa.int64()), pa.array([_packed(k) for _, k, _ in bucket], pa.binary()), pa.array(out, pa.binary())], names=["group", "keys", "cost"])
+
+    return _dealt(blocks).mapInArrow(run, "group long, keys binary, cost binary")
+
+
 def frequent_tokens(vocabulary: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The hashes and counts of all tokens with at least the least count of which no more than ``most`` tokens reach it."""
     level = F.least(F.col("c"), F.lit(100_000))  # a bounded number of levels
@@ -371,15 +525,22 @@ def score(docs: DataFrame) -> DataFrame:
     is 0 a token (all tokens share the same mass), and the model is uniform.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    training = docs.filter(~held_out())
+    docs = save(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "rows")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    training = docs.filter("train")
     vocabulary = save(count_tokens(training), "vocabulary")
     totals = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = int(totals["n"]), int(totals["v"])
     mass = np.log10(0.1), np.log10(n + 0.1 * (v + 1))
     top = spark.sparkContext.broadcast(frequent_tokens(vocabulary))
-    table = spark.sparkContext.broadcast(count_contexts(training))
-    mixer = spark.sparkContext.broadcast(fit_mixer(training, table))
+    blocks = save(requests(docs, 16 + size // BUCKET), "requests")
+    short = spark.sparkContext.broadcast(collect_short(blocks))
+    mixer = spark.sparkContext.broadcast(fit_mixer(blocks, short))
+    release(spark)
+    none = lambda kind: F.lit(None).cast(kind)
+    found = costs(blocks, short, mixer).select("group", none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), "keys", "cost")
+    both = found.unionByName(docs.select("group", "row", "doc_id", "text", none("binary").alias("keys"), none("binary").alias("cost")))
+    both = both.repartition("group").sortWithinPartitions("group", F.col("row").asc_nulls_first())
 
     def token_columns(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         """n_tokens, known, base, rare and times of the rows of a slice."""
@@ -405,38 +566,37 @@ def score(docs: DataFrame) -> DataFrame:
         return [pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), rare, times]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, held, size = TaskContext.get().partitionId() << 36, [], 0
-
-        def scored_slices() -> Iterator[pa.RecordBatch]:
-            nonlocal row
-            keys = np.unique(np.concatenate([x[2] for x in held]))
-            cost = bits_of(table.value, mixer.value, keys)
-            for ids, columns, own, reps, rows in held:
-                k = len(ids)
-                bits = np.bincount(rows, np.repeat(cost[np.searchsorted(keys, own)], reps), k)
-                n, known, base, rare, times = columns
-                out = [pa.array(np.arange(row, row + k)), ids, n, known, base, pa.array(-bits * np.log10(2)), pa.array(bits), rare, times]
-                row += k
-                yield pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "n_tokens", "known", "base", "score", "bits", "rare", "times"])
-
+        current, held, keys, cost = None, [], None, None
+        shift = np.uint64(64 - 8 * (PAD + 1))  # a key's free bits have its row, so that plain sorting brings both in order
         for batch in batches:
-            for a, b in ((x, min(x + (1 << 16), b)) for a, b in B.slices(batch.column(1), SLICE) for x in range(a, b, 1 << 16)):
-                data, offsets = B.buffer(batch.column(1).slice(a, b - a))
-                keys, rows = symbols(data, offsets)
-                # A key has 48 bits; with its row below it, plain sorting brings both in order.
-                both = np.sort(keys << np.uint64(16) | rows.astype(np.uint64))
-                keys = both >> np.uint64(16)
-                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                held.append((batch.column(0).slice(a, b - a), token_columns(data, offsets), keys[first], np.diff(np.append(first, len(keys))), (both & np.uint64(0xFFFF)).astype(np.int32)))
-                size += len(data)
-                if size > GROUP:
-                    yield from scored_slices()
-                    held, size = [], 0
-        if held:
-            yield from scored_slices()
-
-    scored = save(docs.mapInArrow(run, SCORED), "scored")
-    for sent in (table, mixer, top):  # else the Python workers keep them
+            groups, asked = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]) | (asked[1:] != asked[:-1]), True]) if len(groups) else np.zeros(1, int)
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if groups[x] != current:
+                    current, held, keys = int(groups[x]), [], None
+                if asked[x]:
+                    held += [_read(batch, i, 4, 5, "<f4") for i in range(x, y)]
+                    continue
+                if keys is None:
+                    keys, cost = (np.concatenate(v) for v in zip(*held))
+                    order = np.argsort(keys)
+                    keys, cost, held = keys[order], cost[order].astype(float), []
+                step = 1 << int(shift)
+                text = batch.column(3).slice(x, y - x)
+                for a, b in ((i, min(i + step, b)) for a, b in B.slices(text, SLICE) for i in range(a, b, step)):
+                    data, offsets = B.buffer(text.slice(a, b - a))
+                    own, rows = symbols(data, offsets)
+                    mixed = np.sort(own << shift | rows.astype(np.uint64))
+                    own = mixed >> shift
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    of = np.repeat(cost[np.searchsorted(keys, own[first])], np.diff(np.append(first, len(own))))
+                    bits = np.bincount((mixed & np.uint64(step - 1)).astype(np.int64), of, b - a)
+                    n, known, base, rare, times = token_columns(data, offsets)
+                    ids = (batch.column(c).slice(x + a, b - a) for c in (1, 2))
+                    yield pa.RecordBatch.from_arrays([*ids, n, known, base, pa.array(-bits * np.log10(2)), pa.array(bits), rare, times], names=["row", "doc_id", "n_tokens", "known", "base", "score", "bits", "rare", "times"])
+
+    scored = save(both.mapInArrow(run, SCORED), "scored")
+    for sent in (short, mixer, top):  # else the Python workers keep them
         sent.destroy()
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
