@@ -172,6 +172,13 @@ def test_context_counts_are_exact():
             assert known.depths[k, bit].tolist() == [n[x] for x in name]
 
 
+def test_the_longest_context_has_six_bytes():
+    one, other = (lm_score.symbols(*bytesops.buffer(pa.array([x])))[0][6] for x in ("a12345x", "b12345x"))
+    assert one != other
+    names = [lm_score._of_order(np.array([x]), lm_score.ORDERS - 1)[0] for x in (one, other)]
+    assert names[0] != names[1]
+
+
 def brute_groups(rows, percent):
     sets = [(i, s) for i, s in shingle_sets(rows) if i is not None]
     parent = {i: i for i, _ in sets}

@@ -1,7 +1,7 @@
 """Language-model scores by logistic context mixing.
 
 The model predicts a text bit by bit, from the high bit of each byte down. For
-contexts of the last 0 to 5 bytes it counts bits. Their
+contexts of the last 0 to 4 and 6 bytes it counts bits. Their
 predictions, as logits, are added up under weights that a gate chooses (by bit
 and by how much the two longest contexts have seen); a last stage refines the
 sum by what such predictions were worth in the corpus. A text is closed by one
@@ -41,7 +41,7 @@ from ..storage import release, save
 from . import bytesops as B
 
 #: Bytes of context of each predictor, and bits of its table (a counter for each hashed context and node of a byte's bits).
-CONTEXT = (0, 1, 2, 3, 4, 5)
+CONTEXT = (0, 1, 2, 3, 4, 6)
 TABLE_BITS = (8, 16, 20, 21, 21, 21)
 ORDERS = len(CONTEXT)
 FIRST = tuple(int(x) for x in np.cumsum([0, *(1 << b for b in TABLE_BITS)]))
@@ -361,6 +361,10 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (~held_out()).alias("train"), "text").mapInArrow(run, NUMBERED)
 
 
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (B.mix((keys >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
 def requests(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, group, keys, times) blocks: the distinct keys of each group, and how often they stand in training rows.
 
@@ -374,7 +378,7 @@ def requests(rows: DataFrame, buckets: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             keys, times = _summed(*(np.concatenate(x) for x in zip(*held)))
             short = _summed(_of_order(keys, CONTEXT.index(SHORT)), times)
-            bucket = (B.mix((keys >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+            bucket = _bucket_of(keys, buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             parts = [(i, keys[order[x:y]], times[order[x:y]]) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x] + [(-1, *short)]
@@ -481,18 +485,22 @@ def fit_mixer(blocks: DataFrame, short) -> Mixer:
     return Mixer((w[:-1] / w[-1]).reshape(SETS, ORDERS + 1), refined) if w[-1] else Mixer.new()
 
 
-def costs(blocks: DataFrame, short, mixer) -> DataFrame:
-    """(group, keys, cost): the cost in bits of each group's keys."""
+def costs(blocks: DataFrame, buckets: int, short, mixer) -> DataFrame:
+    """(group, bucket, cost): the costs in bits of a group's distinct keys in a bucket, in the order of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = short_counts(*short.value)
         for bucket in _buckets(batches):
             keys, times = _summed(np.concatenate([x[1] for x in bucket]), np.concatenate([x[2] for x in bucket]).astype(np.int64))
             cost = bits_of(counted(keys, times, table), mixer.value, keys).astype(np.float32)
-            out = [_packed(cost[np.searchsorted(keys, k)]) for _, k, _ in bucket]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, *_ in bucket], pa.int64()), pa.array([_packed(k) for _, k, _ in bucket], pa.binary()), pa.array(out, pa.binary())], names=["group", "keys", "cost"])
+            of: dict[int, list[np.ndarray]] = {}
+            for group, k, _ in bucket:  # a group that came in parts has several blocks
+                of.setdefault(group, []).append(k)
+            number = int(_bucket_of(keys[:1], buckets)[0])
+            out = [_packed(cost[np.searchsorted(keys, np.unique(np.concatenate(k)) if len(k) > 1 else k[0])]) for k in of.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int64()), pa.array([number] * len(of), pa.int64()), pa.array(out, pa.binary())], names=["group", "bucket", "cost"])
 
-    return _dealt(blocks).mapInArrow(run, "group long, keys binary, cost binary")
+    return _dealt(blocks).mapInArrow(run, "group long, bucket long, cost binary")
 
 
 def frequent_tokens(vocabulary: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -533,14 +541,15 @@ def score(docs: DataFrame) -> DataFrame:
     n, v = int(totals["n"]), int(totals["v"])
     mass = np.log10(0.1), np.log10(n + 0.1 * (v + 1))
     top = spark.sparkContext.broadcast(frequent_tokens(vocabulary))
-    blocks = save(requests(docs, 16 + size // BUCKET), "requests")
+    buckets = 16 + size // BUCKET
+    blocks = save(requests(docs, buckets), "requests")
     short = spark.sparkContext.broadcast(collect_short(blocks))
     mixer = spark.sparkContext.broadcast(fit_mixer(blocks, short))
     release(spark)
     none = lambda kind: F.lit(None).cast(kind)
-    found = costs(blocks, short, mixer).select("group", none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), "keys", "cost")
-    both = found.unionByName(docs.select("group", "row", "doc_id", "text", none("binary").alias("keys"), none("binary").alias("cost")))
-    both = both.repartition("group").sortWithinPartitions("group", F.col("row").asc_nulls_first())
+    found = costs(blocks, buckets, short, mixer).select("group", none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), "bucket", "cost")
+    both = found.unionByName(docs.select("group", "row", "doc_id", "text", none("long").alias("bucket"), none("binary").alias("cost")))
+    both = both.repartition("group").sortWithinPartitions("group", F.col("row").asc_nulls_first(), "bucket")
 
     def token_columns(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         """n_tokens, known, base, rare and times of the rows of a slice."""
@@ -566,22 +575,30 @@ def score(docs: DataFrame) -> DataFrame:
         return [pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), rare, times]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, keys, cost = None, [], None, None
+        current, held, answers = None, [], []
         shift = np.uint64(64 - 8 * (PAD + 1))  # a key's free bits have its row, so that plain sorting brings both in order
+        step = 1 << int(shift)
+
+        def scored_group() -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate([x[2] for x in held]))
+            cost = np.empty(len(keys))
+            cost[np.argsort(_bucket_of(keys, buckets), kind="stable")] = np.concatenate(answers)
+            for ids, columns, own, reps, rows in held:
+                bits = np.bincount(rows, np.repeat(cost[np.searchsorted(keys, own)], reps), len(ids[0]))
+                n, known, base, rare, times = columns
+                yield pa.RecordBatch.from_arrays([*ids, n, known, base, pa.array(-bits * np.log10(2)), pa.array(bits), rare, times], names=["row", "doc_id", "n_tokens", "known", "base", "score", "bits", "rare", "times"])
+
         for batch in batches:
             groups, asked = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]) | (asked[1:] != asked[:-1]), True]) if len(groups) else np.zeros(1, int)
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if groups[x] != current:
-                    current, held, keys = int(groups[x]), [], None
+                    if held:
+                        yield from scored_group()
+                    current, held, answers = groups[x], [], []
                 if asked[x]:
-                    held += [_read(batch, i, 4, 5, "<f4") for i in range(x, y)]
+                    answers += [_unpacked(batch.column(5)[i].as_py(), "<f4") for i in range(x, y)]
                     continue
-                if keys is None:
-                    keys, cost = (np.concatenate(v) for v in zip(*held))
-                    order = np.argsort(keys)
-                    keys, cost, held = keys[order], cost[order].astype(float), []
-                step = 1 << int(shift)
                 text = batch.column(3).slice(x, y - x)
                 for a, b in ((i, min(i + step, b)) for a, b in B.slices(text, SLICE) for i in range(a, b, step)):
                     data, offsets = B.buffer(text.slice(a, b - a))
@@ -589,13 +606,13 @@ def score(docs: DataFrame) -> DataFrame:
                     mixed = np.sort(own << shift | rows.astype(np.uint64))
                     own = mixed >> shift
                     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    of = np.repeat(cost[np.searchsorted(keys, own[first])], np.diff(np.append(first, len(own))))
-                    bits = np.bincount((mixed & np.uint64(step - 1)).astype(np.int64), of, b - a)
-                    n, known, base, rare, times = token_columns(data, offsets)
-                    ids = (batch.column(c).slice(x + a, b - a) for c in (1, 2))
-                    yield pa.RecordBatch.from_arrays([*ids, n, known, base, pa.array(-bits * np.log10(2)), pa.array(bits), rare, times], names=["row", "doc_id", "n_tokens", "known", "base", "score", "bits", "rare", "times"])
+                    ids = [batch.column(c).slice(x + a, b - a) for c in (1, 2)]
+                    held.append((ids, token_columns(data, offsets), own[first], np.diff(np.append(first, len(own))), (mixed & np.uint64(step - 1)).astype(np.uint8 if step <= 256 else np.int32)))
+        if held:
+            yield from scored_group()
 
     scored = save(both.mapInArrow(run, SCORED), "scored")
+    release(spark)
     for sent in (short, mixer, top):  # else the Python workers keep them
         sent.destroy()
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
