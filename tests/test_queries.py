@@ -47,3 +47,15 @@ def test_entry():
 
     assert set(queries.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_window_similarity_takes_whole_trips(spark, sf):
+    from tracefield.operators import similarity
+
+    samples = queries.samples(spark, sf)
+    whole = queries_vector._path_pairs(samples)
+    sizes = {r["trip_id"]: r["count"] for r in samples.groupBy("trip_id").count().collect()}
+    pairs = {r["pid"]: (len(r["path_a"]), len(r["path_b"])) for r in whole.collect()}
+    assert pairs == {k: (n, sizes[k + 4]) for k, n in sizes.items() if k + 4 in sizes} and any(a != b for a, b in pairs.values())
+    got = {r["pid"]: r["similarity"] for r in queries.QUERIES["path_window_similarity"](spark, sf).collect()}
+    assert got == {r["pid"]: round(r["similarity"], 9) for r in similarity.window_similarities(whole).collect()}

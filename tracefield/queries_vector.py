@@ -297,13 +297,17 @@ query()(kde_similarity)
 _PATHS = "w AS (SELECT trip_id, idx, lat, lon FROM samples WHERE idx < 200)"
 
 
-def _trip_pairs(spark, sf_dir):
-    """Neighbouring trips on one heading, their first 40 samples."""
-    s = samples(spark, sf_dir).filter("idx < 200")
-    paths = s.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("idx", "lat", "lon"))).alias("p"))  # at most 40 samples a trip
+def _path_pairs(s):
+    """Neighbouring trips on one heading, all samples of ``s``."""
+    paths = s.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("idx", "lat", "lon"))).alias("p"))  # a trip's own samples
     paths = paths.select("trip_id", F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("path"))
     other = paths.select((F.col("trip_id") - 4).alias("trip_id"), F.col("path").alias("path_b"))
-    return paths.join(other, "trip_id").select(F.col("trip_id").alias("pid"), F.col("path").alias("path_a"), "path_b").filter(F.size("path_a") == F.size("path_b"))
+    return paths.join(other, "trip_id").select(F.col("trip_id").alias("pid"), F.col("path").alias("path_a"), "path_b")
+
+
+def _trip_pairs(spark, sf_dir):
+    """Their first 40 samples, of pairs with equally many; the SQL of path_raw_similarity has these bounds."""
+    return _path_pairs(samples(spark, sf_dir).filter("idx < 200")).filter(F.size("path_a") == F.size("path_b"))
 
 
 @query(
@@ -323,8 +327,8 @@ def path_raw_similarity(spark, sf_dir):
 
 @query()
 def path_window_similarity(spark, sf_dir):
-    """The least sum of distances between windows of resampled paths."""
-    return similarity.window_similarities(_trip_pairs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 9))
+    """The least sum of distances between windows of resampled paths, of whole trips of any lengths."""
+    return similarity.window_similarities(_path_pairs(samples(spark, sf_dir))).withColumn("similarity", F.round("similarity", 9))
 
 
 # --- lateral and merge checks ------------------------------------------------------------------------
