@@ -29,15 +29,13 @@ def by_row(rows):
 def library(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize("path", [BYTE, FOLD])
 def test_tokens_equal_the_librarys(path):
     rng = random.Random(11)
-    parts = ["a", "B", "é", "ß", " ", "  ", "\n", "\t", "'s", "'", ",", "#", "\u00a0", "1", "23", " ", "\u3000", "\u0301", "中", "=", "\u0338", "×", "\x85", "İ", "Σ", "ς", "🙂", "<|endoftext|>", "the", "ﬁ", "\r\n", "don't"]
+    parts = ["a", "B", "é", "ß", " ", "  ", "\n", "\t", "'s", "'", ",", "#", "\u00a0", "1", "23", " ", "\u3000", "\u0301", "中", "=", "\u0338", "×", "\x85", "İ", "Σ", "ς", "🙂", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "the", "ﬁ", "\r\n", "don't"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [r[1] or "" for r in odd_texts()]
     ids, off = tokens.Encoder(path).encode(pa.array(texts))
     t = library(path)
@@ -45,6 +43,25 @@ def test_tokens_equal_the_librarys(path):
         assert e.ids == ids[off[i] : off[i + 1]].tolist(), texts[i]
 
 
+SPECIAL = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>", "<|startoftext|>x <|endoftext|>", "x<|startoftext|>", "<|ENDOFTEXT|> <|endoftext", None, "", " <|endoftext|> "]
+
+
+@pytest.mark.parametrize("path, end", [(BYTE, 2), (FOLD, 1)])
+def test_special_tokens_are_encoded_as_the_library_does(spark, path, end, tmp_path):
+    t = library(path)
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    ids = [t.encode(x or "", add_special_tokens=False).ids + [end] for x in SPECIAL]
+    crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.token_file_round_trip(docs, path, end, f"file://{tmp_path}").collect()}
+    assert got == {i: (len(x), c) for i, (x, c) in enumerate(zip(ids, crc))}
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack_documents(docs, path, end).collect()}
+    assert got == {i: (len(x), c) for i, (x, c) in enumerate(zip(ids, crc))}
+    plain = library(path)
+    plain.encode_special_tokens = True
+    found, off = tokens.Encoder(path, ordinary=True).encode(pa.array(SPECIAL))
+    assert [found[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [plain.encode(x or "", add_special_tokens=False).ids for x in SPECIAL]
+
+
 def test_words_and_hashes():
     texts = [r[1] or "" for r in odd_texts()]
     data, off = bytesops.buffer(pa.array(texts))

@@ -5,7 +5,9 @@ any case: before a single white-space character between two characters that
 are surely none, and between a letter and an ASCII punctuation mark other than
 the apostrophe. Each distinct piece is encoded once per Python worker by the
 library; a text's ids are the ids of its pieces in order, equal to those of
-the whole text. Pieces are known by 64-bit hashes.
+the whole text. Pieces are known by 64-bit hashes. A text in which a special
+token of the vocabulary is spelled out is encoded by the library as a whole,
+which gives that token one id, wherever it stands.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import os
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import bytesops as B
 
@@ -66,20 +69,25 @@ class Encoder:
     so that pieces which differ in those alone are one piece.
     """
 
-    _known: dict[str, "Encoder"] = {}
+    _known: dict[tuple[str, bool], "Encoder"] = {}
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._known:
-            cls._known[path] = cls(path)
-        return cls._known[path]
+    def of(cls, path: str, ordinary: bool = False) -> "Encoder":
+        if (path, ordinary) not in cls._known:
+            cls._known[path, ordinary] = cls(path, ordinary)
+        return cls._known[path, ordinary]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
+        """``ordinary``: strings of special tokens are text like any other, instead of one id each as the library has it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [] if ordinary else [t.content for t in added]
+        #: Whether a special token's string is looked for in the normalised text.
+        self.loose = any(t.normalized for t in added)
         kinds = str(self.tokenizer.normalizer)
         self.folded = "Lowercase" in kinds and "\\s+" in kinds
         self._forget()
@@ -119,19 +127,37 @@ class Encoder:
         self.pool[self.used : self.used + len(new)] = new
         places = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
         self.used += len(new)
-        keys = np.concatenate([self.keys, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.places = np.concatenate([self.places, places])[order]
-        self.lengths = np.concatenate([self.lengths, lengths])[order]
+        # The known keys are sorted: only the new ones are, and go in between.
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys = np.insert(self.keys, at, hashes[order])
+        self.places = np.insert(self.places, at, places[order])
+        self.lengths = np.insert(self.lengths, at, lengths[order])
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, hashes)
         at[at == len(self.keys)] = 0
         return at, (self.keys[at] == hashes) if len(self.keys) else np.zeros(len(hashes), bool)
 
+    def _holds_special(self, col: pa.Array) -> np.ndarray:
+        """Rows that spell out a special token."""
+        out = np.zeros(len(col), bool)
+        for t in self.special:
+            out |= pc.match_substring(pc.fill_null(col, ""), t, ignore_case=self.loose).to_numpy(zero_copy_only=False)
+        return out
+
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows (uint32) and the n + 1 offsets of the rows in them. Null and empty texts have no ids."""
+        whole = self._holds_special(col)
+        if not whole.any():
+            return self._encode_pieces(col)
+        ids, off = self._encode_pieces(pc.if_else(pa.array(whole), "", pc.fill_null(col, "")))
+        parts = [ids[a:b] for a, b in zip(off[:-1], off[1:])]
+        for i in np.flatnonzero(whole).tolist():
+            parts[i] = np.array(self.tokenizer.encode(col[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _encode_pieces(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = B.buffer(col)
         at, first = pieces(data, offsets)
         if not len(at):
