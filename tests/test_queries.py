@@ -59,3 +59,34 @@ def test_window_similarity_takes_whole_trips(spark, sf):
     assert pairs == {k: (n, sizes[k + 4]) for k, n in sizes.items() if k + 4 in sizes} and any(a != b for a, b in pairs.values())
     got = {r["pid"]: r["similarity"] for r in queries.QUERIES["path_window_similarity"](spark, sf).collect()}
     assert got == {r["pid"]: round(r["similarity"], 9) for r in similarity.window_similarities(whole).collect()}
+
+
+def test_core_queries_without_the_training_part(monkeypatch):
+    """Where the training part or something that it needs can't be imported, the other queries are there all the same."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in ("corpus_pipeline", "tracefield.llm.queries"):
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert set(entry.queries()) == set(queries.QUERIES)
+    assert set(entry.oracle_sql()) == set(queries.SQL)
+
+
+def test_shared_folder_and_scratch(spark, tmp_path):
+    from tracefield import storage
+
+    class Cluster:
+        conf = sparkContext = None
+
+    far = Cluster()
+    far.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+    far.sparkContext = type("Context", (), {"master": "spark://x", "getConf": staticmethod(dict)})
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(far)
+    with storage.scratch(spark):
+        kept = storage.save(spark.range(5), "five")
+        path = kept._saved_at.removeprefix("file://")
+        assert kept.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)

@@ -3,20 +3,33 @@
 Lineage is cut by writing a table to the folder that every executor and the
 driver can reach (``spark.checkpoint.dir``); executors can then be lost at any
 time without a table being lost with them.
+
+Tables stay until something deletes them: an operator discards those that a
+later table has replaced, :func:`scratch` those of a whole job. What a lazy
+result still reads is the caller's to delete, with the shared folder's
+``tracefield`` subfolder.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Delete a job's shuffle files when its table has been written; nothing reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests, local mode)."""
+    """The cluster's shared folder; a temporary one only where none is configured in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracefield-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,14 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/tracefield/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tracefield/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`save` gave and that nothing is going to read any more."""
+    for t in tables:
+        drop(t.sparkSession, t._saved_at)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -41,6 +71,16 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete all that is written inside this block with :func:`save` or to a :func:`work_dir`, at its end. Results that are needed later go elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop(spark, path)
+
+
 def release(spark: SparkSession) -> None:
-    """Let the JVM collect what nothing refers to any more, so that Spark's cleaner deletes the shuffle files of written tables."""
-    spark.sparkContext._jvm.System.gc()
+    """Nothing any more: :func:`save` deletes its shuffle files itself."""
