@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracefield.llm import bytesops, decontaminate, fm_index, language_id, lm_score, media, near_dup, packing, secret_scan, substring_dedup, token_files, tokens, url_filter
 
@@ -144,25 +145,124 @@ def test_base_scores_and_model(spark, odd, none, clashing):
     del out
 
 
+def counts_of(keys, times):
+    short = lm_score._summed(lm_score._of_order(keys, 2), times)
+    return lm_score.counted(keys, times, lm_score.short_counts(*short))
+
+
 def test_model_is_a_distribution_and_learns():
     """Over all 256 symbols in one context the probabilities add up to one."""
     text = pa.array(["the cat sat on the mat. " * 200])
     keys, times = lm_score.events(*bytesops.buffer(text))
     assert times.sum() == 24 * 200 + 1
-    table = np.zeros(lm_score.CELLS, np.int64)
-    hashes, symbol = lm_score.cells(keys), (keys & np.uint64(255)).astype(np.int64)
-    for bit in range(8):
-        node, one = (256 + symbol) >> (8 - bit), (symbol >> (7 - bit)) & 1
-        for k in range(lm_score.ORDERS):
-            np.add.at(table, lm_score.cell(hashes[k], k, node), (times << 32) + one * times)
-    mixer = lm_score.Mixer.new()
-    before = (lm_score.bits_of(table, mixer, keys) * times).sum()
-    for _ in range(10):
-        lm_score.learn(table, mixer, keys, times.astype(float), True)
-    assert (lm_score.bits_of(table, mixer, keys) * times).sum() < min(before, times.sum())
     context = (keys[5] >> np.uint64(8)) << np.uint64(8)
     every = context + np.arange(256, dtype=np.uint64)
-    assert abs((2.0 ** -lm_score.bits_of(table, mixer, every)).sum() - 1) < 1e-6
+    union, weight = lm_score._summed(np.concatenate([keys, every]), np.concatenate([times, np.zeros(256, np.int64)]))
+    table = counts_of(union, weight)
+    mixer = lm_score.Mixer.new()
+    before = (lm_score.bits_of(table, mixer, union) * weight).sum()
+    for _ in range(10):
+        lm_score.learn(table, mixer, union, weight.astype(float), True)
+    assert (lm_score.bits_of(table, mixer, union) * weight).sum() < min(before, weight.sum())
+    cost = lm_score.bits_of(table, mixer, union)[np.searchsorted(union, every)]
+    assert abs((2.0**-cost).sum() - 1) < 1e-6
+
+
+class PlainMixer:
+    """The model in plain Python, bit by bit: counts in dictionaries, weights in lists."""
+
+    def __init__(self, training):
+        self.n, self.one = Counter(), Counter()
+        for context, symbol, times in training:
+            for bit in range(8):
+                for k in lm_score.CONTEXT:
+                    at = (k, context[6 - k :], (256 + symbol) >> (8 - bit))
+                    self.n[at] += times
+                    self.one[at] += times * (symbol >> (7 - bit) & 1)
+        self.weights = {}
+        self.refined = {}
+
+    def look(self, context, symbol, bit, own):
+        y, node = symbol >> (7 - bit) & 1, (256 + symbol) >> (8 - bit)
+        x, seen = [], []
+        for k in lm_score.CONTEXT:
+            n, one = self.n[k, context[6 - k :], node], self.one[k, context[6 - k :], node]
+            if own:
+                n, one = max(n - 1, 0), max(one - y, 0)
+            x.append(math.log((one + 0.3) / (max(n - one, 0) + 0.3)))
+            seen.append((n > 0) + (n > 2) + (n > 12))
+        which = (seen[-1] * 4 + seen[-2]) * 8 + bit
+        x.append(0.3)
+        z = sum(a * b for a, b in zip(self.weights.get(which, [0.3] * 6 + [0.0]), x))
+        place = (node, min(max(int((z + 12) * (lm_score.BUCKETS / 24)) if z + 12 >= 0 else 0, 0), lm_score.BUCKETS - 1))
+        return y, x, which, z, place
+
+    def learn(self, buckets):
+        total, seen = Counter(), Counter()
+        for events in buckets:  # (context, symbol, times) in the order of their keys
+            self.weights = {}
+            own_seen = Counter()
+            for part in range(lm_score.STEPS):
+                for bit in range(8):
+                    g, h = Counter(), Counter()
+                    for context, symbol, times in events[part :: lm_score.STEPS]:
+                        y, x, which, z, place = self.look(context, symbol, bit, True)
+                        p = 1 / (1 + math.exp(-min(max(z, -20), 20)))
+                        own_seen[which] += times
+                        for k, v in enumerate(x):
+                            g[which, k] += (y - p) * times * v
+                            h[which, k] += (p * (1 - p) + 1e-3) * times * v * v
+                        if part >= lm_score.STEPS // 2:
+                            r = self.refined.setdefault(place, [0, 0])
+                            r[0] += y * times
+                            r[1] += times
+                    for which, k in g:
+                        w = self.weights.setdefault(which, [0.3] * 6 + [0.0])
+                        w[k] += min(max(lm_score.RATE * g[which, k] / (h[which, k] + 20), -0.3), 0.3)
+            for which, n in own_seen.items():
+                seen[which] += n
+                for k in range(7):
+                    total[which, k] += round(self.weights[which][k] * lm_score.GRAIN) * n
+        self.weights = {w: [total[w, k] / seen[w] / lm_score.GRAIN for k in range(7)] for w in seen}
+
+    def bits(self, context, symbol):
+        out = 0.0
+        for bit in range(8):
+            y, _, _, z, place = self.look(context, symbol, bit, False)
+            p = 1 / (1 + math.exp(-min(max(z, -20), 20)))
+            one, n = self.refined.get(place, (0, 0))
+            p = min(max(0.5 * p + 0.5 * (one + 2 * p) / (n + 2), 1e-6), 1 - 1e-6)
+            out -= math.log2(p if y else 1 - p)
+        return out
+
+
+def test_scores_equal_a_plain_model_and_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25)))) for i in range(40)] + [(40, None), (41, ""), (3, "abc"), (3, "abc")]
+    one_key = lambda c, s: int.from_bytes(bytes([s]) + c[::-1], "little")
+    events, per_row = Counter(), []
+    for i, t in rows:
+        raw = b"\0" * 6 + (t or "").encode() + b"\xff"
+        own = [(raw[k - 6 : k], raw[k]) for k in range(6, len(raw))]
+        per_row.append(own)
+        if zlib.crc32(str(i).encode()) % 10:
+            events.update(own)
+    buckets = {}
+    for (c, s), n in events.items():
+        key = one_key(c, s)
+        buckets.setdefault(int(lm_score._bucket_of(np.array([key], np.uint64), 16)[0]), []).append((key, c, s, n))
+    plain = PlainMixer([(c, s, n) for (c, s), n in events.items()])
+    plain.learn([[x[1:] for x in sorted(b)] for b in buckets.values()])
+    expected = sorted((i, round(sum(plain.bits(c, s) for c, s in own), 1)) for (i, _), own in zip(rows, per_row))
+    found = []
+    for parts in (1, 4, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, F.xxhash64("doc_id", "text"))
+        found.append(sorted((r["doc_id"], r["bits"], r["score"], r["base_score"], r["bits_per_byte"]) for r in lm_score.score(docs).collect()))
+    assert found[0] == found[1] == found[2]
+    for (i, bits), (j, got, score, _, per_byte) in zip(expected, found[0]):
+        assert i == j and abs(bits - got) <= 0.1 + 2e-3 * bits and abs(score + got * math.log10(2)) < 1e-9
+    assert {i: round(b / x, 9) for i, b, _, _, x in found[0] if i == 41} == {41: 1.0}
 
 
 def shingle_sets(rows):
@@ -178,8 +278,7 @@ def test_context_counts_are_exact():
     rng = np.random.default_rng(3)
     texts = pa.array(["".join(map(chr, rng.integers(97, 123, 40000))) for _ in range(3)])
     keys, times = lm_score.events(*bytesops.buffer(texts))
-    short = lm_score.short_counts(*lm_score._summed(lm_score._of_order(keys, 2), times))
-    known = lm_score.counted(keys, times, short)
+    known = counts_of(keys, times)
     for k, size in enumerate(lm_score.CONTEXT):
         for bit in (0, 4, 8):
             name = [((x >> 8) & ((1 << 8 * size) - 1), (x & 255) >> (8 - bit)) for x in keys.tolist()]

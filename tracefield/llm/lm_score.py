@@ -8,21 +8,24 @@ sum by what such predictions were worth in the corpus. A text is closed by one
 end symbol (the byte 255, which UTF-8 lacks), so the scores are probabilities
 of whole texts.
 
-* Counts are sums over all training documents.
-* Weights are learned online: each task goes through its training documents
-  slice by slice, predicts a slice's bits from the counts *without* the bit at
-  hand, and then takes a gradient step; the tasks' weights are averaged by the
-  bits they saw. The refining table is filled in the same pass.
-* Scoring uses the finished model, so that a text's score depends neither on
+* Counts are sums over all training documents. They are exact and grow with
+  the corpus: the distinct symbols in context of each group of documents are
+  dealt over buckets by a hash of the last three bytes of their context, so
+  that all counts of longer contexts are at hand within a bucket. Those of up
+  to two bytes are broadcast; there are at most 2^24 of them.
+* Weights are learned online within each bucket: its symbols are gone through
+  in a fixed order, part by part; a part's bits are predicted from the counts
+  *without* the bit at hand, and then a step is taken. The refining table is
+  filled in the same pass, once the weights are warm. The model has the mean of
+  the buckets' weights, by what each weight set saw.
+* Scoring uses the finished model. Buckets depend on the corpus alone, and what
+  they learned is added up in whole numbers, so that a score depends neither on
   the order nor on the partitioning of the table.
 
-The counts are exact and grow with the corpus: distinct symbols in context are
-dealt over buckets by the last three bytes of their context, so that all counts
-of longer contexts are at hand within a bucket. Those of up to two bytes are
-broadcast; there are at most 2^24 of them. Costs go back to groups of documents.
-
-The unigram base score has no bound: the counts of the most frequent tokens (at
-most ``FREQUENT``) are broadcast, those of all others are joined.
+The unigram base score has its token counts by the same way: a group's distinct
+tokens go to buckets by their hashes, and their counts come back. So there is
+neither a broadcast vocabulary nor a join by token, and a frequent token is one
+entry for each group.
 """
 
 from __future__ import annotations
@@ -37,15 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import release, save
+from ..storage import save
 from . import bytesops as B
 
-#: Bytes of context of each predictor, and bits of its table (a counter for each hashed context and node of a byte's bits).
+#: Bytes of context of each predictor.
 CONTEXT = (0, 1, 2, 3, 4, 6)
-TABLE_BITS = (8, 16, 20, 21, 21, 21)
 ORDERS = len(CONTEXT)
-FIRST = tuple(int(x) for x in np.cumsum([0, *(1 << b for b in TABLE_BITS)]))
-CELLS = FIRST[-1]
 END = 255
 PAD = CONTEXT[-1]
 #: Levels of what a context has seen, for the gate; weight sets (by two contexts' levels and the bit).
@@ -53,18 +53,18 @@ LEVELS = 4
 SETS = LEVELS * LEVELS * 8
 #: Buckets of a prediction in the refining table.
 BUCKETS = 24
-#: Share of a Newton step (by each weight alone) that a step takes; steps in a slice.
+#: Share of a Newton step (by each weight alone) that a step takes; steps in a bucket.
 RATE, STEPS = 0.15, 16
+#: Weights are added up as whole multiples of 1 / GRAIN, each weight set's by the bits that it saw.
+GRAIN = 1024
 #: Bytes of text whose symbols are sorted at a time, and of a group of documents.
 SLICE, GROUP = 1 << 21, 8 << 20
-#: Tokens whose counts are broadcast.
-FREQUENT = 1 << 19
-#: Bytes of text for each bucket of contexts.
+#: Bytes of text for each bucket of contexts, and for each bucket of tokens.
 BUCKET = 2 << 20
 #: Bytes of context whose counts are broadcast at most.
 SHORT = 2
-#: Counters in a block of a table on its way between tasks.
-BLOCK = 1 << 14
+#: Entries that a task holds before it adds up equal ones.
+ENTRIES = 1 << 21
 END_TOKEN = np.uint64(0xE0F0E0F0E0F0E0F1)
 
 
@@ -77,10 +77,11 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends = offsets[1:] + np.arange(rows) * (PAD + 1) + PAD
     text[place] = data
     text[ends] = END
-    key = text.copy()
-    for k in range(1, PAD + 1):
-        key[k:] |= text[:-k] << np.uint64(8 * k)
-    return key[np.concatenate([place, ends])], np.concatenate([row, np.arange(rows, dtype=np.int32)])
+    # Each key's bytes by doubling: two, four, then seven.
+    text[1:] |= text[:-1] << np.uint64(8)
+    text[2:] |= text[:-2] << np.uint64(16)
+    text[4:] |= (text[:-4] & np.uint64(0xFFFFFF)) << np.uint64(32)
+    return text[np.concatenate([place, ends])], np.concatenate([row, np.arange(rows, dtype=np.int32)])
 
 
 def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,19 +89,6 @@ def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.unique(symbols(data, offsets)[0], return_counts=True)
 
 
-def cells(keys: np.ndarray) -> list[np.ndarray]:
-    """For each order, the hash of every key's context."""
-    return [B.mix(((keys >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 57)) if k > 1 else (keys >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1) for k in CONTEXT]
-
-
-def cell(hashes: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
-    """The counter of each (context, node) in an order's table; orders 0 and 1 have one for each."""
-    if CONTEXT[order] <= 1:
-        return (hashes.astype(np.int64) << 8) + node + FIRST[order]
-    h = (hashes + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(B.BASE)
-    return (h >> np.uint64(64 - TABLE_BITS[order])).astype(np.int64) + FIRST[order]
-
-
 def _level(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.int64) + (n > 2) + (n > 12)
 
@@ -112,13 +100,30 @@ def _squash(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Mixer:
     weights: np.ndarray  # SETS x (ORDERS + 1), the last for a constant
-    refined: np.ndarray  # (255 nodes * BUCKETS) x 2: bits that were 1, all
+    refined: np.ndarray  # (256 nodes * BUCKETS) x 2: bits that were 1, all
+    seen: np.ndarray  # by weight set: the bits it was learned from
 
     @classmethod
     def new(cls) -> "Mixer":
         w = np.full((SETS, ORDERS + 1), 0.3)
         w[:, -1] = 0
-        return cls(w, np.zeros((256 * BUCKETS, 2)))
+        return cls(w, np.zeros((256 * BUCKETS, 2)), np.zeros(SETS))
+
+    def totals(self) -> np.ndarray:
+        """Whole numbers that may be added up in any order: what each set saw, the weights by it, the refining table."""
+        seen = np.rint(self.seen).astype(np.int64)
+        grains = np.rint(np.clip(self.weights, -8, 8) * GRAIN).astype(np.int64)
+        return np.concatenate([seen, (grains * seen[:, None]).ravel(), np.rint(self.refined).astype(np.int64).ravel()])
+
+    @classmethod
+    def of_totals(cls, totals: np.ndarray) -> "Mixer":
+        """The mixer of added-up totals; a set that nothing was learned for keeps its first weights."""
+        out = cls.new()
+        seen, weights, refined = np.split(totals, [SETS, SETS * (ORDERS + 2)])
+        known = seen > 0
+        out.weights[known] = weights.reshape(SETS, ORDERS + 1)[known] / (seen[known, None] * float(GRAIN))
+        out.seen, out.refined = seen.astype(float), refined.reshape(-1, 2).astype(float)
+        return out
 
 
 @dataclass
@@ -180,11 +185,8 @@ def counted(keys: np.ndarray, times: np.ndarray, short: list[tuple[np.ndarray, n
     return Counted(out)
 
 
-def predictions(table, keys: np.ndarray, hashes: list[np.ndarray], bit: int, own: bool):
-    """For one bit of each key's symbol: the bit, its node, the logits of all orders and the weight set; ``own``: leave the bit at hand out of the counts.
-
-    ``table`` is :class:`Counted` for these keys, or hashed cells that hold the bits seen in their upper and those that were 1 in their lower half.
-    """
+def predictions(table: Counted, keys: np.ndarray, bit: int, own: bool):
+    """For one bit of each key's symbol: the bit, its node, the logits of all orders and the weight set; ``own``: leave the bit at hand out of the counts."""
     symbol = (keys & np.uint64(255)).astype(np.int64)
     node = (256 + symbol) >> (8 - bit)
     y = ((symbol >> (7 - bit)) & 1).astype(np.float32)
@@ -192,11 +194,7 @@ def predictions(table, keys: np.ndarray, hashes: list[np.ndarray], bit: int, own
     inputs[-1] = 0.3
     seen = []
     for k in range(ORDERS):
-        if isinstance(table, Counted):
-            n, one = table.bits(k, bit, y)
-        else:
-            packed = table[cell(hashes[k], k, node)]
-            n, one = (packed >> 32).astype(np.float32), (packed & 0xFFFFFFFF).astype(np.float32)
+        n, one = table.bits(k, bit, y)
         if own:
             n, one = np.maximum(n - 1, 0), np.maximum(one - y, 0)
         inputs[k] = np.log((one + np.float32(0.3)) / (np.maximum(n - one, 0) + np.float32(0.3)))
@@ -216,28 +214,28 @@ def _bucket(node: np.ndarray, x: np.ndarray) -> np.ndarray:
     return node * BUCKETS + np.clip((x + 12) * (BUCKETS / 24), 0, BUCKETS - 1).astype(np.int64)
 
 
-def learn(table, mixer: Mixer, keys: np.ndarray, times: np.ndarray, warm: bool) -> None:
+def learn(table: Counted, mixer: Mixer, keys: np.ndarray, times: np.ndarray, warm: bool) -> None:
     """One online step over some symbols, and their share of the refining table once the weights are warm."""
-    hashes = [] if isinstance(table, Counted) else cells(keys)
     for bit in range(8):
-        y, node, x, which = predictions(table, keys, hashes, bit, own=True)
+        y, node, x, which = predictions(table, keys, bit, own=True)
         z = _mixed(mixer, x, which)
         p = _squash(z)
         err, bend = (y - p) * times, (p * (1 - p) + 1e-3) * times
         for k in range(ORDERS + 1):
             g, h = np.bincount(which, err * x[k], SETS), np.bincount(which, bend * x[k] ** 2, SETS)
             mixer.weights[:, k] += np.clip(RATE * g / (h + 20.0), -0.3, 0.3)  # sets that are hardly touched move little
+        mixer.seen += np.bincount(which, times, SETS)
         if warm:
             b = _bucket(node, z)
             mixer.refined[:, 0] += np.bincount(b, y * times, len(mixer.refined))
             mixer.refined[:, 1] += np.bincount(b, times, len(mixer.refined))
 
 
-def bits_of(table, mixer: Mixer, keys: np.ndarray) -> np.ndarray:
+def bits_of(table: Counted, mixer: Mixer, keys: np.ndarray) -> np.ndarray:
     """The cost in bits of each key's symbol in its context."""
-    hashes, out = [] if isinstance(table, Counted) else cells(keys), np.zeros(len(keys))
+    out = np.zeros(len(keys))
     for bit in range(8):
-        y, node, x, which = predictions(table, keys, hashes, bit, own=False)
+        y, node, x, which = predictions(table, keys, bit, own=False)
         z = _mixed(mixer, x, which)
         p = _squash(z)
         b = _bucket(node, z)
@@ -247,55 +245,6 @@ def bits_of(table, mixer: Mixer, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(values: np.ndarray, kind: str) -> pa.RecordBatch:
-    """The non-zero blocks of a task's flat table."""
-    flat = np.zeros(-(-values.size // BLOCK) * BLOCK, values.dtype)
-    flat[: values.size] = values.ravel()
-    parts = flat.reshape(-1, BLOCK)
-    used = np.flatnonzero(parts.any(1))
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["kind", "block", "body"])
-
-
-def _sum_blocks(blocks: DataFrame, dtype: str, wide: str) -> DataFrame:
-    """The sums (of type ``wide``) of the blocks (kind, block, body) of all tasks: within groups of tasks first, then over the groups."""
-
-    def run(batches: Iterator[pa.RecordBatch], kinds_of: str) -> Iterator[pa.RecordBatch]:
-        key, total = None, None
-        for batch in batches:
-            kinds, at = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for i in range(len(batch)):
-                body = np.frombuffer(batch.column(2)[i].as_py(), kinds_of).astype(wide)
-                if (kinds[i], at[i]) == key:
-                    total = total + body
-                else:
-                    if key is not None:
-                        out.append((*key, total.tobytes()))
-                    key, total = (kinds[i], at[i]), body
-            if out:
-                yield _rows(out)
-        if key is not None:
-            yield _rows([(*key, total.tobytes())])
-
-    def _rows(out) -> pa.RecordBatch:
-        a, b, c = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["kind", "block", "body"])
-
-    schema = "kind string, block int, body binary"
-    some = blocks.repartition("kind", "block", "group").sortWithinPartitions("kind", "block", "group", "task").select("kind", "block", "body", "group")
-    # Each (kind, block, group) is one run of rows; runs of one block that meet in a task are added at once.
-    first = some.select("kind", "block", "body").mapInArrow(lambda it: run(it, dtype), schema)
-    return first.repartition("kind", "block").sortWithinPartitions("kind", "block", F.xxhash64("body")).mapInArrow(lambda it: run(it, wide), schema)
-
-
-def _collect(blocks: DataFrame, kind: str, size: int, dtype: str) -> np.ndarray:
-    """A summed table on the driver; its size is fixed by the model's parameters."""
-    flat = np.zeros(-(-size // BLOCK) * BLOCK, dtype)
-    for r in blocks.filter(F.col("kind") == kind).select("block", "body").toLocalIterator():
-        flat[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["body"], dtype)
-    return flat[:size]
-
-
 def held_out(folds: int = 10):
     """Whether crc32 of the doc_id as text leaves no remainder; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
@@ -308,47 +257,14 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return B.span_hashes(low, starts, ends), first
 
 
-_BLOCK_ROWS = "kind string, block int, body binary, group int, task int"
-
-
-def _tagged(batch: pa.RecordBatch) -> pa.RecordBatch:
-    task = TaskContext.get().partitionId()
-    n = len(batch)
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array([task % 16] * n, pa.int32()), pa.array([task] * n, pa.int32())], names=["kind", "block", "body", "group", "task"])
-
-
-def count_tokens(training: DataFrame) -> DataFrame:
-    """``token`` (hash) and ``c`` of every token of the training texts, ends included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
-
-        def flush() -> pa.RecordBatch:
-            h, c = (np.concatenate(x) for x in zip(*held))
-            codes, values = pd.factorize(h)
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.bincount(codes, c, len(values)).astype(np.int64))], names=["token", "c"])
-
-        for batch in batches:
-            for a, b in B.slices(batch.column(0)):
-                h, _ = tokens(*B.buffer(batch.column(0).slice(a, b - a)))
-                codes, values = pd.factorize(h)
-                held.append((np.append(values, END_TOKEN), np.append(np.bincount(codes, minlength=len(values)), b - a)))
-                rows += len(values) + 1
-                if rows > 4_000_000:
-                    yield flush()
-                    held, rows = [], 0
-        if held:
-            yield flush()
-
-    return training.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
 NUMBERED = "group long, row long, doc_id long, train boolean, text string"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a number and that of their group: successive rows of about GROUP bytes."""
+    """The rows of ``docs`` with a number and that of their group: successive rows of about GROUP bytes.
+
+    Groups only bundle what travels to the buckets and back; no result depends on them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, row, size = TaskContext.get().partitionId(), 0, 0
@@ -365,57 +281,84 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (B.mix((keys >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _token_bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return buckets + (tokens % np.uint64(buckets)).astype(np.int64)
+
+
+BLOCKS = "bucket long, group long, keys binary, times binary"
+
+
+def _block_rows(group: int, keys: np.ndarray, times: np.ndarray, bucket: np.ndarray | int) -> list[tuple]:
+    """Rows of BLOCKS: sorted keys with their times, split by bucket."""
+    if isinstance(bucket, int):
+        return [(bucket, group, _packed(keys), _packed(times.astype("<i4")))]
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order])) + 1
+    out = []
+    for part in np.split(order, edges):
+        if len(part):
+            out.append((int(bucket[part[0]]), group, _packed(keys[part]), _packed(times[part].astype("<i4"))))
+    return out
+
+
 def requests(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, group, keys, times) blocks: the distinct keys of each group, and how often they stand in training rows.
+    """Blocks of the distinct symbol keys and tokens of each group, and how often they stand in training rows.
 
-    Bucket -1 has the counts of contexts of up to SHORT bytes.
+    Buckets from 0 have symbols, those from ``buckets`` tokens; bucket -1 has
+    the group's counts of contexts of SHORT bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, current = 0, None
+        words: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush(group: int) -> pa.RecordBatch:
             keys, times = _summed(*(np.concatenate(x) for x in zip(*held)))
-            short = _summed(_of_order(keys, CONTEXT.index(SHORT)), times)
-            bucket = _bucket_of(keys, buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            parts = [(i, keys[order[x:y]], times[order[x:y]]) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x] + [(-1, *short)]
-            i, k, t = zip(*parts)
-            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array([current] * len(i), pa.int64()), pa.array([_packed(x) for x in k], pa.binary()), pa.array([_packed(x.astype("<i4")) for x in t], pa.binary())], names=["bucket", "group", "keys", "times"])
-
+            names, uses = _summed(*(np.concatenate(x) for x in zip(*words)))
+            short, number = _summed(_of_order(keys, CONTEXT.index(SHORT)), times)
+            out = _block_rows(group, short, number, -1)
+            out += _block_rows(group, keys, times, _bucket_of(keys, buckets)) + _block_rows(group, names, uses, _token_bucket_of(names, buckets))
+            held.clear()
+            words.clear()
+            columns = zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["bucket", "group", "keys", "times"])
+
+        current = None
         for batch in batches:
             groups, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if len(groups) else np.zeros(1, int)
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if held and (groups[x] != current or size > GROUP):
-                    yield flush()
-                    held, size = [], 0
+                if held and groups[x] != current:
+                    yield flush(current)
                 current = int(groups[x])
                 for a, b in B.slices(batch.column(2).slice(x, y - x), SLICE):
                     part = batch.column(2).slice(x + a, b - a)
-                    own = pa.array(train[x + a : x + b])
-                    for some, weight in ((part.filter(own), 1), (part.filter(pa.array(~train[x + a : x + b])), 0)):
+                    own = train[x + a : x + b]
+                    for some, weight in ((part.filter(pa.array(own)), 1), (part.filter(pa.array(~own)), 0)):
                         if len(some):
-                            keys, times = events(*B.buffer(some))
+                            data, offsets = B.buffer(some)
+                            keys, times = events(data, offsets)
                             held.append((keys, times * weight))
-                            size += int(times.sum())
+                            codes, names = pd.factorize(tokens(data, offsets)[0])
+                            uses = np.bincount(codes, minlength=len(names))
+                            words.append((np.append(names, END_TOKEN), np.append(uses, len(some)) * weight))
         if held:
-            yield flush()
+            yield flush(current)
+        B.trim()
 
-    return rows.select("group", "train", "text").mapInArrow(run, "bucket long, group long, keys binary, times binary")
+    return rows.select("group", "train", "text").mapInArrow(run, BLOCKS)
 
 
 def _packed(values: np.ndarray) -> bytes:
     """The values byte plane by byte plane, which compresses well; 64-bit keys, sorted, as differences."""
     if values.dtype == np.uint64:
         values = np.diff(values, prepend=np.uint64(0))
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
 
 
 def _unpacked(body: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(body, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(body, np.uint8).reshape(size, len(body) // size)
     values = np.ascontiguousarray(planes.T).view(kind).ravel()
     return np.cumsum(values, dtype=np.uint64) if values.dtype == np.uint64 else values
 
@@ -424,169 +367,150 @@ def _read(batch: pa.RecordBatch, i: int, keys: int, values: int, kind: str) -> t
     return _unpacked(batch.column(keys)[i].as_py(), "<u8"), _unpacked(batch.column(values)[i].as_py(), kind)
 
 
+def _in_two_steps(rows: DataFrame, n: int, run, schema: str) -> DataFrame:
+    """``run`` over about the root of ``n`` shares of the rows, then over all that came of them."""
+    shares = max(1, int(n**0.5))
+    once = rows.repartition(shares).mapInArrow(run, schema) if shares > 1 else rows
+    return once.repartition(1).mapInArrow(run, schema)
+
+
 def collect_short(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The counts of all (context of SHORT bytes, symbol); at most 2^24, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
         for batch in batches:
             for i in range(len(batch)):
-                k, t = _read(batch, i, 0, 1, "<i4")
-                keys, times = _summed(np.concatenate([keys, k]), np.concatenate([times, t.astype(np.int64)]))
-        yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary())], names=["keys", "times"])
-
-    found = blocks.filter("bucket = -1").select("keys", "times").repartition(12).mapInArrow(run, "keys binary, times binary").collect()
-    keys, times = (np.concatenate([np.frombuffer(r[c], kind) for r in found] or [np.zeros(0, kind)]) for c, kind in (("keys", np.uint64), ("times", np.int64)))
-    return _summed(keys, times)
+                k, t = _read(batch, i, 0, 1, "<i8")
+                held.append((k, t))
+                size += len(k)
+                if size > ENTRIES:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+                    size = 0
+        keys, times = _summed(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(keys)], pa.binary()), pa.array([_packed(times)], pa.binary())], names=["keys", "times"])
+
+    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times = [_packed(_unpacked(x.as_py(), "<i4").astype("<i8")) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(times, pa.binary())], names=["keys", "times"])
+
+    schema = "keys binary, times binary"
+    rows = blocks.filter("bucket = -1").select("keys", "times")
+    n = rows.count()
+    found = _in_two_steps(rows.mapInArrow(widened, schema), n, run, schema).collect()  # one row
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return _unpacked(found[0]["keys"], "<u8"), _unpacked(found[0]["times"], "<i8")
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """The blocks (group, keys, times) of each whole bucket; rows come sorted by bucket."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """Each whole bucket and its blocks (group, keys, times); rows come sorted by bucket."""
     held, current = [], None
     for batch in batches:
         for i, bucket in enumerate(batch.column(0).to_pylist()):
             if held and bucket != current:
-                yield held
+                yield current, held
                 held = []
             current = bucket
             held.append((batch.column(1)[i].as_py(), *_read(batch, i, 2, 3, "<i4")))
     if held:
-        yield held
+        yield current, held
 
 
 def _dealt(blocks: DataFrame) -> DataFrame:
-    return blocks.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket", "group", F.xxhash64("keys"))
+    return blocks.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket", "group")
 
 
-def fit_mixer(blocks: DataFrame, short) -> Mixer:
-    """The weights and the refining table, from one pass over the buckets' training symbols; ``short`` is broadcast."""
+def _merged(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a bucket and the sums of their times."""
+    return _summed(np.concatenate([x[1] for x in blocks]), np.concatenate([x[2] for x in blocks]).astype(np.int64))
+
+
+def fit_mixer(blocks: DataFrame, buckets: int, short) -> tuple[Mixer, int, int]:
+    """The mixer, and the numbers of training tokens and of different ones, from one pass over the buckets; ``short`` is broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, bits, k, table = Mixer.new(), 0.0, 0, short_counts(*short.value)
-        for bucket in _buckets(batches):
-            keys, times = _summed(np.concatenate([x[1] for x in bucket]), np.concatenate([x[2] for x in bucket]).astype(np.int64))
+        total, table = 0, short_counts(*short.value)
+        for number, bucket in _buckets(batches):
+            keys, times = _merged(bucket)
             keys, times = keys[times > 0], times[times > 0]
-            if not len(keys):
-                continue
-            known = counted(keys, times, table)
-            times = times.astype(np.float32)
-            for part in range(STEPS):
-                which = slice(part, None, STEPS)
-                learn(known.part(which), mixer, keys[which], times[which], k > 0 or part >= STEPS // 2)
-            bits += 8.0 * float(times.sum())
-            k += 1
-        if k:
-            yield _tagged(_blocks(np.append(mixer.weights.ravel() * bits, bits), "weights"))
-            yield _tagged(_blocks(mixer.refined.ravel(), "refined"))
-
-    summed = save(_sum_blocks(_dealt(blocks).mapInArrow(run, _BLOCK_ROWS), "<f8", "<f8"), "mixer")
-    w = _collect(summed, "weights", SETS * (ORDERS + 1) + 1, "<f8")
-    refined = _collect(summed, "refined", 256 * BUCKETS * 2, "<f8").reshape(-1, 2)
-    return Mixer((w[:-1] / w[-1]).reshape(SETS, ORDERS + 1), refined) if w[-1] else Mixer.new()
-
-
-def costs(blocks: DataFrame, buckets: int, short, mixer) -> DataFrame:
-    """(group, bucket, cost): the costs in bits of a group's distinct keys in a bucket, in the order of the keys."""
+            mixer, vocabulary = Mixer.new(), [0, 0]
+            if number >= buckets:
+                vocabulary = [int(times.sum()), len(times)]
+            elif len(keys):
+                known = counted(keys, times, table)
+                weight = times.astype(np.float32)
+                for part in range(STEPS):
+                    which = slice(part, None, STEPS)
+                    learn(known.part(which), mixer, keys[which], weight[which], part >= STEPS // 2)
+            total = total + np.append(mixer.totals(), vocabulary)
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["totals"])
+        B.trim()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            for x in batch.column(0):
+                total = total + np.frombuffer(x.as_py(), np.int64)
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["totals"])
+
+    learned = save(_dealt(blocks).mapInArrow(run, "totals binary"), "mixer")  # one row a task
+    found = _in_two_steps(learned, learned.count(), add, "totals binary").collect()  # one row
+    if not found:
+        return Mixer.new(), 0, 0
+    totals = np.frombuffer(found[0]["totals"], np.int64)
+    return Mixer.of_totals(totals[:-2]), int(totals[-2]), int(totals[-1])
+
+
+def answers(blocks: DataFrame, buckets: int, short, mixer) -> DataFrame:
+    """(group, bucket, body): the costs in bits (float32) of a group's distinct symbols, or the counts (int64) of its distinct tokens, in the order of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = short_counts(*short.value)
-        for bucket in _buckets(batches):
-            keys, times = _summed(np.concatenate([x[1] for x in bucket]), np.concatenate([x[2] for x in bucket]).astype(np.int64))
-            cost = bits_of(counted(keys, times, table), mixer.value, keys).astype(np.float32)
-            of: dict[int, list[np.ndarray]] = {}
-            for group, k, _ in bucket:  # a group that came in parts has several blocks
-                of.setdefault(group, []).append(k)
-            number = int(_bucket_of(keys[:1], buckets)[0])
-            out = [_packed(cost[np.searchsorted(keys, np.unique(np.concatenate(k)) if len(k) > 1 else k[0])]) for k in of.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int64()), pa.array([number] * len(of), pa.int64()), pa.array(out, pa.binary())], names=["group", "bucket", "cost"])
-
-    return _dealt(blocks).mapInArrow(run, "group long, bucket long, cost binary")
-
-
-def frequent_tokens(vocabulary: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes and counts of all tokens with at least the least count of which no more than ``most`` tokens reach it."""
-    level = F.least(F.col("c"), F.lit(100_000))  # a bounded number of levels
-    sizes = {r["level"]: r["n"] for r in vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
-    total, least = 0, None
-    for v in sorted(sizes, reverse=True):
-        total += sizes[v]
-        if total > most:
-            break
-        least = v
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    packed = vocabulary.filter(F.col("c") >= least).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([b.column(1).to_numpy().tobytes()], pa.binary())], names=["t", "c"]) for b in it if len(b)), "t binary, c binary").collect()
-    h = np.frombuffer(b"".join(r["t"] for r in packed), np.int64).view(np.uint64)
-    c = np.frombuffer(b"".join(r["c"] for r in packed), np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
+        for number, bucket in _buckets(batches):
+            keys, times = _merged(bucket)
+            value = times if number >= buckets else bits_of(counted(keys, times, table), mixer.value, keys).astype(np.float32)
+            for at in range(0, len(bucket), 64):
+                some = bucket[at : at + 64]
+                out = [_packed(value[np.searchsorted(keys, k)]) for _, k, _ in some]
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, *_ in some], pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array(out, pa.binary())], names=["group", "bucket", "body"])
+        B.trim()
 
+    return _dealt(blocks).mapInArrow(run, "group long, bucket long, body binary")
 
-SCORED = "row long, doc_id long, n_tokens long, known long, base double, score double, bits double, rare array<long>, times array<long>"
 
+SCORED = "doc_id long, n_tokens long, n_known long, base double, bits double, n_bytes long"
 
-def score(docs: DataFrame) -> DataFrame:
-    """Learn from the rows that are not held out and score every row.
 
-    Null texts count as empty: one end token, one end symbol. Repeated rows
-    each get their row. Without training rows N and V are 0 and the base score
-    is 0 a token (all tokens share the same mass), and the model is uniform.
-    """
-    spark = docs.sparkSession
-    docs = save(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "rows")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    training = docs.filter("train")
-    vocabulary = save(count_tokens(training), "vocabulary")
-    totals = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    n, v = int(totals["n"]), int(totals["v"])
-    mass = np.log10(0.1), np.log10(n + 0.1 * (v + 1))
-    top = spark.sparkContext.broadcast(frequent_tokens(vocabulary))
-    buckets = 16 + size // BUCKET
-    blocks = save(requests(docs, buckets), "requests")
-    short = spark.sparkContext.broadcast(collect_short(blocks))
-    mixer = spark.sparkContext.broadcast(fit_mixer(blocks, short))
-    release(spark)
-    none = lambda kind: F.lit(None).cast(kind)
-    found = costs(blocks, buckets, short, mixer).select("group", none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), "bucket", "cost")
-    both = found.unionByName(docs.select("group", "row", "doc_id", "text", none("long").alias("bucket"), none("binary").alias("cost")))
-    both = both.repartition("group").sortWithinPartitions("group", F.col("row").asc_nulls_first(), "bucket")
-
-    def token_columns(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        """n_tokens, known, base, rare and times of the rows of a slice."""
-        names, counts = top.value
-        k = len(offsets) - 1
-        h, first = tokens(data, offsets)
-        h = np.concatenate([h, np.full(k, END_TOKEN)])
-        owner = np.concatenate([B.rows_of(first), np.arange(k)])
-        codes, values = pd.factorize(h)
-        at = np.searchsorted(names, values)
-        at[at == len(names)] = 0
-        hit = names[at] == values if len(names) else np.zeros(len(values), bool)
-        c = np.where(hit, counts[at] if len(names) else 0, 0)
-        log = np.where(hit, np.log10(c + 0.1) - mass[1], 0.0)
-        known = np.bincount(owner, hit[codes], k).astype(np.int64)
-        base = np.bincount(owner, log[codes], k)
-        rest = np.flatnonzero(~hit[codes])
-        pairs = pd.DataFrame({"o": owner[rest], "h": h[rest].view(np.int64)}).groupby(["o", "h"], sort=True).size()
-        o = pairs.index.get_level_values(0).to_numpy() if len(pairs) else np.zeros(0, np.int64)
-        cut = np.searchsorted(o, np.arange(k + 1)).astype(np.int32)
-        rare = pa.ListArray.from_arrays(pa.array(cut), pa.array(pairs.index.get_level_values(1).to_numpy().astype(np.int64) if len(pairs) else np.zeros(0, np.int64)))
-        times = pa.ListArray.from_arrays(pa.array(cut), pa.array(pairs.to_numpy().astype(np.int64)))
-        return [pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), rare, times]
+def score_groups(rows: DataFrame, buckets: int) -> DataFrame:
+    """Every row of each group, from its texts and its answers (group; doc_id, text; or bucket, body, which come first, sorted by bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, answers = None, [], []
+        current, held, costs, counts = None, [], [], []
         shift = np.uint64(64 - 8 * (PAD + 1))  # a key's free bits have its row, so that plain sorting brings both in order
         step = 1 << int(shift)
 
+        def in_place(keys: np.ndarray, bucket: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+            out = np.empty(len(keys), found[0].dtype)
+            out[np.argsort(bucket, kind="stable")] = np.concatenate(found)
+            return out
+
         def scored_group() -> Iterator[pa.RecordBatch]:
-            keys = np.unique(np.concatenate([x[2] for x in held]))
-            cost = np.empty(len(keys))
-            cost[np.argsort(_bucket_of(keys, buckets), kind="stable")] = np.concatenate(answers)
-            for ids, columns, own, reps, rows in held:
-                bits = np.bincount(rows, np.repeat(cost[np.searchsorted(keys, own)], reps), len(ids[0]))
-                n, known, base, rare, times = columns
-                yield pa.RecordBatch.from_arrays([*ids, n, known, base, pa.array(-bits * np.log10(2)), pa.array(bits), rare, times], names=["row", "doc_id", "n_tokens", "known", "base", "score", "bits", "rare", "times"])
+            keys = np.unique(np.concatenate([x[1] for x in held]))
+            cost = in_place(keys, _bucket_of(keys, buckets), costs).astype(np.float64)
+            names = np.unique(np.concatenate([x[4] for x in held]))
+            count = in_place(names, _token_bucket_of(names, buckets), counts)
+            log = np.log10(count + 0.1)
+            for ids, own, reps, owner, words, word, of, n_bytes in held:
+                n = len(ids)
+                bits = np.bincount(owner, np.repeat(cost[np.searchsorted(keys, own)], reps), n)
+                at = np.searchsorted(names, words)[word]
+                base, known = np.bincount(of, log[at], n), np.bincount(of, count[at] > 0, n)
+                columns = [ids, pa.array(np.bincount(of, minlength=n).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(bits), pa.array(n_bytes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base", "bits", "n_bytes"])
 
         for batch in batches:
             groups, asked = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
@@ -595,39 +519,60 @@ def score(docs: DataFrame) -> DataFrame:
                 if groups[x] != current:
                     if held:
                         yield from scored_group()
-                    current, held, answers = groups[x], [], []
+                    current, held, costs, counts = groups[x], [], [], []
                 if asked[x]:
-                    answers += [_unpacked(batch.column(5)[i].as_py(), "<f4") for i in range(x, y)]
+                    for bucket, body in zip(batch.column(4).slice(x, y - x).to_pylist(), batch.column(5).slice(x, y - x)):
+                        costs.append(_unpacked(body.as_py(), "<f4")) if bucket < buckets else counts.append(_unpacked(body.as_py(), "<i8"))
                     continue
                 text = batch.column(3).slice(x, y - x)
                 for a, b in ((i, min(i + step, b)) for a, b in B.slices(text, SLICE) for i in range(a, b, step)):
                     data, offsets = B.buffer(text.slice(a, b - a))
-                    own, rows = symbols(data, offsets)
-                    mixed = np.sort(own << shift | rows.astype(np.uint64))
+                    own, row = symbols(data, offsets)
+                    mixed = np.sort(own << shift | row.astype(np.uint64))
                     own = mixed >> shift
                     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    ids = [batch.column(c).slice(x + a, b - a) for c in (1, 2)]
-                    held.append((ids, token_columns(data, offsets), own[first], np.diff(np.append(first, len(own))), (mixed & np.uint64(step - 1)).astype(np.uint8 if step <= 256 else np.int32)))
+                    h, begin = tokens(data, offsets)
+                    word, words = pd.factorize(np.append(h, np.full(b - a, END_TOKEN)))
+                    of = np.append(B.rows_of(begin), np.arange(b - a))
+                    # Distinct keys, their numbers and rows; distinct tokens, the number of each, and rows.
+                    held.append((batch.column(2).slice(x + a, b - a), own[first], np.diff(np.append(first, len(own))).astype(np.int32), (mixed & np.uint64(step - 1)).astype(np.uint8 if step <= 256 else np.int32), words, word.astype(np.int32), of.astype(np.int32), np.diff(offsets)))
         if held:
             yield from scored_group()
+        B.trim()
+
+    return rows.mapInArrow(run, SCORED)
+
 
-    scored = save(both.mapInArrow(run, SCORED), "scored")
-    release(spark)
-    for sent in (short, mixer, top):  # else the Python workers keep them
-        sent.destroy()
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    # Summed in exact steps, so that the result does not depend on their order.
-    share = F.sum((F.col("times") * (F.log10(c + F.lit(0.1)) - F.lit(float(mass[1])))).cast("decimal(30,12)")).cast("double")
-    joined = rare.join(vocabulary, "token", "left").groupBy("row").agg(share.alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = scored.select("row", "doc_id", "n_tokens", "known", "base", "score", "bits").join(joined, "row", "left")
-    return out.select(
+def score(docs: DataFrame) -> DataFrame:
+    """Learn from the rows that are not held out and score every row.
+
+    Null texts count as empty: one end token, one end symbol. Repeated rows
+    each get their row. Without training rows N and V are 0 and the base score
+    is 0 a token (all tokens share the same mass), and the model is uniform.
+    ``bits`` is the cost of the whole text, ``bits_per_byte`` that over its
+    bytes and the end symbol.
+    """
+    spark = docs.sparkSession
+    docs = save(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "rows")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 16 + size // BUCKET
+    blocks = save(requests(docs, buckets), "requests")
+    short = spark.sparkContext.broadcast(collect_short(blocks))
+    model, n, v = fit_mixer(blocks, buckets, short)
+    mixer = spark.sparkContext.broadcast(model)
+    none = lambda kind: F.lit(None).cast(kind)
+    found = answers(blocks, buckets, short, mixer).select("group", none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), "bucket", "body")
+    both = found.unionByName(docs.select("group", "row", "doc_id", "text", none("long").alias("bucket"), none("binary").alias("body")))
+    both = both.repartition("group").sortWithinPartitions("group", F.col("row").asc_nulls_first(), "bucket")
+    mass = float(np.log10(n + 0.1 * (v + 1)))
+    return score_groups(both, buckets).select(
         "doc_id",
         held_out().alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") - F.col("n_tokens") * F.lit(mass)).alias("base_score"),
+        (-F.col("bits") * F.lit(float(np.log10(2)))).alias("score"),
         "bits",
+        (F.col("bits") / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, language_id, lm_score, media, near_dup, packing, secret_scan, sql, substring_dedup, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Rows that an Arrow batch takes to a Python worker; long texts make wide rows.
-BATCH_ROWS = 1000
+#: Rows and bytes that an Arrow batch takes to a Python worker; long texts make wide rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
