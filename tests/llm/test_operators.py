@@ -146,7 +146,7 @@ def test_base_scores_and_model(spark, odd, none, clashing):
 
 
 def counts_of(keys, times):
-    short = lm_score._summed(lm_score._of_order(keys, 2), times)
+    short = lm_score._summed(lm_score.short_of(keys), times)
     return lm_score.counted(keys, times, lm_score.short_counts(*short))
 
 
@@ -165,7 +165,7 @@ def test_model_is_a_distribution_and_learns():
         lm_score.learn(table, mixer, union, weight.astype(float), True)
     assert (lm_score.bits_of(table, mixer, union) * weight).sum() < min(before, weight.sum())
     cost = lm_score.bits_of(table, mixer, union)[np.searchsorted(union, every)]
-    assert abs((2.0**-cost).sum() - 1) < 1e-6
+    assert abs((2.0**-cost).sum() - 1) < 1 / lm_score.FINE
 
 
 class PlainMixer:
@@ -240,7 +240,7 @@ def test_scores_equal_a_plain_model_and_do_not_depend_on_partitions(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(30)]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25)))) for i in range(40)] + [(40, None), (41, ""), (3, "abc"), (3, "abc")]
-    one_key = lambda c, s: int.from_bytes(bytes([s]) + c[::-1], "little")
+    one_key = lambda c, s: int.from_bytes(c[::-1] + bytes([s]), "big")
     events, per_row = Counter(), []
     for i, t in rows:
         raw = b"\0" * 6 + (t or "").encode() + b"\xff"
@@ -273,6 +273,17 @@ def shingle_sets(rows):
     return out
 
 
+def test_keys_are_the_bytes_before_a_symbol():
+    texts = [r[1] or "" for r in odd_texts()[:9]] + ["", "ab", "abcdefghé"]
+    expected, ends = [], []
+    for t in texts:
+        raw = b"\0" * 6 + t.encode() + b"\xff"
+        keys = [int.from_bytes(raw[k - 6 : k][::-1] + raw[k : k + 1], "big") for k in range(6, len(raw))]
+        expected += keys[:-1]
+        ends.append(keys[-1])
+    assert lm_score.symbols(*bytesops.buffer(pa.array(texts))).tolist() == expected + ends
+
+
 def test_context_counts_are_exact():
     """No counter is shared: each order's counts are those of the contexts themselves, however many there are."""
     rng = np.random.default_rng(3)
@@ -281,7 +292,7 @@ def test_context_counts_are_exact():
     known = counts_of(keys, times)
     for k, size in enumerate(lm_score.CONTEXT):
         for bit in (0, 4, 8):
-            name = [((x >> 8) & ((1 << 8 * size) - 1), (x & 255) >> (8 - bit)) for x in keys.tolist()]
+            name = [(x >> 8 * (7 - size), (x & 255) >> (8 - bit)) for x in keys.tolist()]
             n = Counter()
             for x, c in zip(name, times.tolist()):
                 n[x] += c
@@ -289,7 +300,7 @@ def test_context_counts_are_exact():
 
 
 def test_the_longest_context_has_six_bytes():
-    one, other = (lm_score.symbols(*bytesops.buffer(pa.array([x])))[0][6] for x in ("a12345x", "b12345x"))
+    one, other = (lm_score.symbols(*bytesops.buffer(pa.array([x])))[6] for x in ("a12345x", "b12345x"))
     assert one != other
     names = [lm_score._of_order(np.array([x]), lm_score.ORDERS - 1)[0] for x in (one, other)]
     assert names[0] != names[1]

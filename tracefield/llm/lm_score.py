@@ -36,11 +36,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import save
+from ..storage import discard, save
 from . import bytesops as B
 
 #: Bytes of context of each predictor.
@@ -55,10 +56,12 @@ SETS = LEVELS * LEVELS * 8
 BUCKETS = 24
 #: Share of a Newton step (by each weight alone) that a step takes; steps in a bucket.
 RATE, STEPS = 0.15, 16
+#: Costs are whole multiples of 1 / FINE bits, so that sums of them are exact.
+FINE = 1024
 #: Weights are added up as whole multiples of 1 / GRAIN, each weight set's by the bits that it saw.
 GRAIN = 1024
 #: Bytes of text whose symbols are sorted at a time, and of a group of documents.
-SLICE, GROUP = 1 << 21, 8 << 20
+SLICE, GROUP = 1 << 20, 8 << 20
 #: Bytes of text for each bucket of contexts, and for each bucket of tokens.
 BUCKET = 2 << 20
 #: Bytes of context whose counts are broadcast at most.
@@ -68,25 +71,42 @@ ENTRIES = 1 << 21
 END_TOKEN = np.uint64(0xE0F0E0F0E0F0E0F1)
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The key (context of PAD bytes, symbol) of every symbol of all rows, end symbols included and last, and its row."""
-    rows = len(offsets) - 1
-    row = B.rows_of(offsets).astype(np.int32)
-    text = np.zeros(len(data) + rows * (PAD + 1), np.uint64)
-    place = np.arange(len(data)) + row * np.int64(PAD + 1) + PAD
-    ends = offsets[1:] + np.arange(rows) * (PAD + 1) + PAD
-    text[place] = data
-    text[ends] = END
-    # Each key's bytes by doubling: two, four, then seven.
-    text[1:] |= text[:-1] << np.uint64(8)
-    text[2:] |= text[:-2] << np.uint64(16)
-    text[4:] |= (text[:-4] & np.uint64(0xFFFFFF)) << np.uint64(32)
-    return text[np.concatenate([place, ends])], np.concatenate([row, np.arange(rows, dtype=np.int32)])
+#: For each number of bytes before a symbol, the bits of its key that they and the symbol fill.
+_FILLED = np.array([((((1 << 8 * j) - 1) << 8 * (PAD - j)) << 8) | 255 for j in range(PAD + 1)], np.uint64)
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The key of every symbol of all rows, and then those of the rows' end symbols.
+
+    A key has the bytes of the context, the nearest first, and then the symbol:
+    sorted keys have equal contexts side by side.
+    """
+    n, size = len(data), np.diff(offsets)
+    out = np.zeros(n + len(size), np.uint64)
+    if n:
+        # The PAD bytes up to each place, by two, four and six.
+        two = data.astype(np.uint64) << np.uint64(8)
+        two[1:] |= data[:-1]
+        before = two << np.uint64(32)
+        before[2:] |= two[:-2] << np.uint64(16)
+        before[4:] |= two[:-4]
+        del two
+        before <<= np.uint64(8)
+        out[1:n] = before[:-1]
+        out[:n] |= data
+        for j in range(PAD):  # what is before a row is not its context
+            at = offsets[:-1][size > j] + j
+            out[at] &= _FILLED[j]
+        some = size > 0
+        out[n:][some] = before[offsets[1:][some] - 1] & _FILLED[np.minimum(size[some], PAD)]
+    out[n:] &= ~np.uint64(255)
+    out[n:] |= np.uint64(END)
+    return out
 
 
 def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of all rows' symbols, and how often each occurs."""
-    return np.unique(symbols(data, offsets)[0], return_counts=True)
+    return np.unique(symbols(data, offsets), return_counts=True)
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -142,7 +162,13 @@ class Counted:
 
 
 def _of_order(keys: np.ndarray, k: int) -> np.ndarray:
-    return keys & np.uint64((1 << 8 * (CONTEXT[k] + 1)) - 1)
+    """The nearest bytes of an order's context, and the symbol."""
+    return keys >> np.uint64(8 * (PAD + 1 - CONTEXT[k])) << np.uint64(8) | keys & np.uint64(255)
+
+
+def short_of(keys: np.ndarray) -> np.ndarray:
+    """The keys without the bytes of their contexts beyond SHORT."""
+    return keys & np.uint64((((1 << 8 * SHORT) - 1) << 8 * (PAD + 1 - SHORT)) | 255)
 
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +181,12 @@ def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(times[order], first)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, sorted (by sorting: several times as fast as a hash table here)."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def _depths(ids: np.ndarray, times: np.ndarray) -> np.ndarray:
     """For sorted (context, symbol) ids, the sums of ``times`` over those that share the context and the symbol's first 0 to 8 bits."""
     out = np.zeros((9, len(ids)), np.int64)
@@ -167,18 +199,21 @@ def _depths(ids: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def short_counts(ids: np.ndarray, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids and depths of each order of up to SHORT bytes, from the (context of SHORT bytes, symbol) counts."""
+    """Ids and depths of each order of up to SHORT bytes, from the counts of :func:`short_of` keys."""
     found = [_summed(_of_order(ids, k), times) for k in range(ORDERS) if CONTEXT[k] <= SHORT]
-    return [(i, _depths(i, t)) for i, t in found]
+    kind = np.int32 if times.sum() < 1 << 31 else np.int64
+    return [(i, _depths(i, t).astype(kind)) for i, t in found]
 
 
 def counted(keys: np.ndarray, times: np.ndarray, short: list[tuple[np.ndarray, np.ndarray]]) -> Counted:
     """The counts for all keys of a bucket."""
-    out = np.empty((ORDERS, 9, len(keys)), np.int64)
+    out = np.empty((ORDERS, 9, len(keys)), short[0][1].dtype)
     for k in range(ORDERS):
         ids = _of_order(keys, k)
         if k < len(short):
             out[k] = short[k][1][:, np.searchsorted(short[k][0], ids)]
+        elif k == ORDERS - 1:  # the keys themselves
+            out[k] = _depths(keys, times)
         else:
             own, at = np.unique(ids, return_inverse=True)
             out[k] = _depths(own, np.bincount(at, times, len(own)).astype(np.int64))[:, at]
@@ -232,7 +267,7 @@ def learn(table: Counted, mixer: Mixer, keys: np.ndarray, times: np.ndarray, war
 
 
 def bits_of(table: Counted, mixer: Mixer, keys: np.ndarray) -> np.ndarray:
-    """The cost in bits of each key's symbol in its context."""
+    """The cost in bits of each key's symbol in its context, to 1 / FINE bits."""
     out = np.zeros(len(keys))
     for bit in range(8):
         y, node, x, which = predictions(table, keys, bit, own=False)
@@ -242,7 +277,7 @@ def bits_of(table: Counted, mixer: Mixer, keys: np.ndarray) -> np.ndarray:
         one, n = mixer.refined[b, 0], mixer.refined[b, 1]
         p = np.clip(0.5 * p + 0.5 * (one + 2 * p) / (n + 2), 1e-6, 1 - 1e-6)
         out -= np.log2(np.where(y == 1, p, 1 - p))
-    return out
+    return np.rint(out * FINE) / FINE
 
 
 def held_out(folds: int = 10):
@@ -278,7 +313,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (B.mix((keys >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    return (B.mix(keys >> np.uint64(8 * (PAD - 2))) % np.uint64(buckets)).astype(np.int64)
 
 
 def _token_bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -309,17 +344,21 @@ def requests(rows: DataFrame, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []  # keys, with a bit below that tells training rows
         words: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush(group: int) -> pa.RecordBatch:
-            keys, times = _summed(*(np.concatenate(x) for x in zip(*held)))
-            names, uses = _summed(*(np.concatenate(x) for x in zip(*words)))
-            short, number = _summed(_of_order(keys, CONTEXT.index(SHORT)), times)
-            out = _block_rows(group, short, number, -1)
-            out += _block_rows(group, keys, times, _bucket_of(keys, buckets)) + _block_rows(group, names, uses, _token_bucket_of(names, buckets))
+            keys = np.concatenate(held)
             held.clear()
+            keys.sort()
+            own = (keys & np.uint64(1)).astype(np.int32)
+            keys >>= np.uint64(1)
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, times = keys[first], np.add.reduceat(own, first)
+            names, uses = _summed(*(np.concatenate(x) for x in zip(*words)))
             words.clear()
+            out = _block_rows(group, *_summed(short_of(keys), times), -1)
+            out += _block_rows(group, keys, times, _bucket_of(keys, buckets)) + _block_rows(group, names, uses, _token_bucket_of(names, buckets))
             columns = zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["bucket", "group", "keys", "times"])
 
@@ -337,8 +376,7 @@ def requests(rows: DataFrame, buckets: int) -> DataFrame:
                     for some, weight in ((part.filter(pa.array(own)), 1), (part.filter(pa.array(~own)), 0)):
                         if len(some):
                             data, offsets = B.buffer(some)
-                            keys, times = events(data, offsets)
-                            held.append((keys, times * weight))
+                            held.append(symbols(data, offsets) << np.uint64(1) | np.uint64(weight))
                             codes, names = pd.factorize(tokens(data, offsets)[0])
                             uses = np.bincount(codes, minlength=len(names))
                             words.append((np.append(names, END_TOKEN), np.append(uses, len(some)) * weight))
@@ -350,17 +388,13 @@ def requests(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """The values byte plane by byte plane, which compresses well; 64-bit keys, sorted, as differences."""
-    if values.dtype == np.uint64:
-        values = np.diff(values, prepend=np.uint64(0))
-    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+    """The values byte plane by byte plane, which compresses well, in one zstd frame."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes())
 
 
 def _unpacked(body: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(body, np.uint8).reshape(size, len(body) // size)
-    values = np.ascontiguousarray(planes.T).view(kind).ravel()
-    return np.cumsum(values, dtype=np.uint64) if values.dtype == np.uint64 else values
+    body, size = zstandard.ZstdDecompressor().decompress(body), np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, len(body) // size).T).view(kind).ravel()
 
 
 def _read(batch: pa.RecordBatch, i: int, keys: int, values: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +409,7 @@ def _in_two_steps(rows: DataFrame, n: int, run, schema: str) -> DataFrame:
 
 
 def collect_short(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The counts of all (context of SHORT bytes, symbol); at most 2^24, whatever the corpus."""
+    """The counts of all :func:`short_of` keys; at most 2^24, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
@@ -466,13 +500,13 @@ def fit_mixer(blocks: DataFrame, buckets: int, short) -> tuple[Mixer, int, int]:
 
 
 def answers(blocks: DataFrame, buckets: int, short, mixer) -> DataFrame:
-    """(group, bucket, body): the costs in bits (float32) of a group's distinct symbols, or the counts (int64) of its distinct tokens, in the order of the keys."""
+    """(group, bucket, body): the costs (int32, in 1 / FINE bits) of a group's distinct symbols, or the counts (int64) of its distinct tokens, in the order of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = short_counts(*short.value)
         for number, bucket in _buckets(batches):
             keys, times = _merged(bucket)
-            value = times if number >= buckets else bits_of(counted(keys, times, table), mixer.value, keys).astype(np.float32)
+            value = times if number >= buckets else np.rint(bits_of(counted(keys, times, table), mixer.value, keys) * FINE).astype(np.int32)
             for at in range(0, len(bucket), 64):
                 some = bucket[at : at + 64]
                 out = [_packed(value[np.searchsorted(keys, k)]) for _, k, _ in some]
@@ -499,9 +533,9 @@ def score_groups(rows: DataFrame, buckets: int) -> DataFrame:
             return out
 
         def scored_group() -> Iterator[pa.RecordBatch]:
-            keys = np.unique(np.concatenate([x[1] for x in held]))
-            cost = in_place(keys, _bucket_of(keys, buckets), costs).astype(np.float64)
-            names = np.unique(np.concatenate([x[4] for x in held]))
+            keys = _distinct(np.concatenate([x[1] for x in held]))
+            cost = in_place(keys, _bucket_of(keys, buckets), costs) / FINE
+            names = _distinct(np.concatenate([x[4] for x in held]))
             count = in_place(names, _token_bucket_of(names, buckets), counts)
             log = np.log10(count + 0.1)
             for ids, own, reps, owner, words, word, of, n_bytes in held:
@@ -522,13 +556,14 @@ def score_groups(rows: DataFrame, buckets: int) -> DataFrame:
                     current, held, costs, counts = groups[x], [], [], []
                 if asked[x]:
                     for bucket, body in zip(batch.column(4).slice(x, y - x).to_pylist(), batch.column(5).slice(x, y - x)):
-                        costs.append(_unpacked(body.as_py(), "<f4")) if bucket < buckets else counts.append(_unpacked(body.as_py(), "<i8"))
+                        costs.append(_unpacked(body.as_py(), "<i4")) if bucket < buckets else counts.append(_unpacked(body.as_py(), "<i8"))
                     continue
                 text = batch.column(3).slice(x, y - x)
                 for a, b in ((i, min(i + step, b)) for a, b in B.slices(text, SLICE) for i in range(a, b, step)):
                     data, offsets = B.buffer(text.slice(a, b - a))
-                    own, row = symbols(data, offsets)
-                    mixed = np.sort(own << shift | row.astype(np.uint64))
+                    row = np.append(B.rows_of(offsets), np.arange(b - a))
+                    mixed = symbols(data, offsets) << shift | row.astype(np.uint64)
+                    mixed.sort()
                     own = mixed >> shift
                     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                     h, begin = tokens(data, offsets)
@@ -561,7 +596,9 @@ def score(docs: DataFrame) -> DataFrame:
     model, n, v = fit_mixer(blocks, buckets, short)
     mixer = spark.sparkContext.broadcast(model)
     none = lambda kind: F.lit(None).cast(kind)
-    found = answers(blocks, buckets, short, mixer).select("group", none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), "bucket", "body")
+    found = save(answers(blocks, buckets, short, mixer), "answers")
+    discard(blocks)
+    found = found.select("group", none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), "bucket", "body")
     both = found.unionByName(docs.select("group", "row", "doc_id", "text", none("long").alias("bucket"), none("binary").alias("body")))
     both = both.repartition("group").sortWithinPartitions("group", F.col("row").asc_nulls_first(), "bucket")
     mass = float(np.log10(n + 0.1 * (v + 1)))
