@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracefield.llm import bytesops, decontaminate, fm_index, language_id, lm_score, media, near_dup, packing, secret_scan, substring_dedup, token_files, tokens, url_filter
+from tracefield.llm import bytesops, decontaminate, fm_index, language_id, lm_score, media, near_dup, packing, secret_scan, skew, substring_dedup, token_files, tokens, url_filter
 
 from .conftest import odd_texts
 
@@ -491,6 +491,20 @@ def test_substring_dedup(spark, odd, none, clashing, monkeypatch):
     assert substring_dedup.remove_repeats(none).collect() == []
 
 
+def test_bit_vectors_and_hot_keys(spark):
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 255, 256, 257, 5000):
+        for share in (0, 0.002, 0.5, 1):
+            bits = (rng.random(n) < share).astype(np.uint8)
+            assert (fm_index.BitVector(bits).rank(np.arange(n + 1)) == np.r_[0, np.cumsum(bits)]).all()
+    assert fm_index.BitVector(np.zeros(1 << 16, np.uint8)).nbytes < (1 << 16) / 8 / 3
+    many = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    one = spark.range(100, 9000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(spark.createDataFrame([(7, 0)], "k long, v long"))
+    assert len(skew.hot_keys(many, F.xxhash64("k"))) == 1
+    for how in ("inner", "left"):
+        assert by_row(skew.join_one(many, one, ["k"], how).collect()) == by_row(many.join(one, "k", how).collect())
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(2)
     text = rng.integers(1, 5, 400)

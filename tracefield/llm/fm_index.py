@@ -1,8 +1,9 @@
 """A compressed full-text index over sequences of symbols.
 
 The Burrows-Wheeler transform of a text is held as a wavelet matrix: one bit
-vector for each bit of the symbols, packed in 64-bit words with a count before
-each word. Backward search narrows the interval of suffixes that begin with a
+vector for each bit of the symbols. A vector is cut into blocks of 256 bits;
+blocks of zeros or ones alone, of which the transform of a repetitive text has
+many, are not stored but for a count. Backward search narrows the interval of suffixes that begin with a
 pattern, one symbol at a time from its end, for many patterns at once.
 """
 
@@ -12,21 +13,35 @@ import numpy as np
 
 
 class BitVector:
-    """Bits with constant-time rank."""
+    """Bits with constant-time rank, without their uniform blocks."""
 
     def __init__(self, bits: np.ndarray):
-        words = -(-len(bits) // 64) + 1
-        padded = np.zeros(words * 64, np.uint8)
+        blocks = len(bits) // 256 + 1
+        padded = np.zeros(blocks * 256, np.uint8)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view("<u8")
-        self.before = np.zeros(words, np.int64)
-        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+        words = np.packbits(padded, bitorder="little").view("<u8").reshape(blocks, 4)
+        ones = np.bitwise_count(words).astype(np.int32)
+        total = ones.sum(1)
+        self.before = np.zeros(blocks, np.int32 if len(bits) < 1 << 31 else np.int64)
+        np.cumsum(total[:-1], out=self.before[1:])
+        kept = (total > 0) & (total < 256)
+        # Blocks of zeros share one stored block, and those of ones another.
+        self.words = np.concatenate([np.zeros(4, "<u8"), np.full(4, ~np.uint64(0)), words[kept].ravel()])
+        inner = np.concatenate([[0, 0, 0, 0, 0, 64, 128, 192], (np.cumsum(ones[kept], axis=1) - ones[kept]).ravel()])
+        self.inner = inner.astype(np.uint8)  # ones before each word in its block
+        self.slot = np.where(total == 256, 1, 0).astype(np.int32)
+        self.slot[kept] = np.arange(2, 2 + kept.sum())
+
+    @property
+    def nbytes(self) -> int:
+        return self.before.nbytes + self.words.nbytes + self.inner.nbytes + self.slot.nbytes
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """The number of ones among the first ``i`` bits."""
-        word = i >> 6
+        block = i >> 8
+        word = (self.slot[block].astype(np.int64) << 2) | ((i >> 6) & 3)
         low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        return self.before[block].astype(np.int64) + self.inner[word] + np.bitwise_count(self.words[word] & low)
 
 
 class WaveletMatrix:

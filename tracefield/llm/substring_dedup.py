@@ -6,12 +6,17 @@ equal places. Successive windows with one anchor make a segment, so each window
 of the corpus stands in exactly one segment. Segments are sharded by anchor:
 
 1. Anchors that stand once in the corpus are dropped; their windows are unique.
-2. Equal segments are one, with a number. All windows of a segment that stands
-   twice are repeated, whatever else there is.
-3. Where different segments share an anchor, the shard's FM-index is built over
-   them and the segments are streamed against it: the matching statistics
-   tell for each end how long a run before it occurs twice.
+2. Equal segments are one, with the number of times that they stand there.
+3. A shard's FM-index is built over its segments, those that stand twice or
+   more put in twice. Every segment of the documents is streamed against the
+   index of its shard: the matching statistics tell for its ends how long a run
+   before them occurs twice, and runs of ``WINDOW`` words or more are reported.
 4. Each document gets the windows found and loses the words that they cover.
+
+An anchor with so many different segments that they would make a shard of their
+own (those of a passage that stands in very many documents) is not kept in one
+place: its segments are taken apart into windows, sharded by the window's outer
+words as well, and equal windows are added up on their way there.
 """
 
 from __future__ import annotations
@@ -24,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import release, save
+from ..storage import discard, save
 from . import bytesops as B
 from .fm_index import FMIndex
+from .skew import join_one
 
 WINDOW, ANCHOR = 35, 8
 SPREAD = WINDOW - ANCHOR + 1
 #: Words of one FM-index, about.
 SHARD_WORDS = 1 << 21
-#: Different segments of one anchor beyond which they are sharded by window.
+#: Different segments of one anchor beyond which they are taken apart; so many make about half an index.
 CROWDED = 1 << 14
 SEGMENTS = "doc long, hash long, at int, windows int, anchor long, segment long"
 
@@ -82,14 +88,14 @@ def segment_table(docs: DataFrame) -> DataFrame:
     return _keyed(docs).select("doc", "hash", "text").mapInArrow(run, SEGMENTS)
 
 
-CONTENT = "shard long, anchor long, segment long, sole boolean, skip int, words binary"
+CONTENT = "shard long, anchor long, segment long, skip int, unit long, n long, words binary"
 
 
 def segment_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The word hashes of the segments that ``wanted`` (doc, hash, list of at, windows, anchor, segment, sole, crowded) names.
+    """The units of the segments that ``wanted`` (doc, hash, list of at, windows, anchor, segment, n, crowded) names, with their word hashes.
 
-    A crowded anchor's segments come window by window, sharded by each window's
-    outer words as well; ``skip`` tells which window it is.
+    A segment is a unit, or, where its anchor is crowded, each of its windows;
+    ``skip`` tells which window a unit begins with.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,61 +110,60 @@ def segment_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     for s in lists[k].as_py():
                         x = int(first[k - a]) + s["at"]
                         if not s["crowded"]:
-                            rows.append((s["anchor"], s["anchor"], s["segment"], s["sole"], 0, h[x : x + s["windows"] + WINDOW - 1].tobytes()))
+                            rows.append((s["anchor"], s["anchor"], s["segment"], 0, s["segment"], s["n"], h[x : x + s["windows"] + WINDOW - 1].tobytes()))
                             continue
-                        for j in range(s["windows"]):
-                            w = h[x + j : x + j + WINDOW]
-                            outer = int(B.run_hashes(np.r_[w[:4], w[-4:]], np.array([0]), np.array([8]))[0])
-                            shard = (s["anchor"] ^ outer) & (1 << 63) - 1
-                            rows.append((shard, s["anchor"], s["segment"], s["sole"], j, w.tobytes()))
-                columns = list(zip(*rows)) or [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "anchor", "segment", "sole", "skip", "words"])
+                        at = x + np.arange(s["windows"])
+                        units = B.run_hashes(h, at, at + WINDOW).view(np.int64).tolist()
+                        outer = (B.run_hashes(h, at, at + 4) * np.uint64(B.BASE) + B.run_hashes(h, at + WINDOW - 4, at + WINDOW)).view(np.int64).tolist()
+                        for j, (unit, shard) in enumerate(zip(units, outer)):
+                            rows.append((s["anchor"] ^ shard, s["anchor"], s["segment"], j, unit, s["n"], h[x + j : x + j + WINDOW].tobytes()))
+                columns = list(zip(*rows)) or [[]] * 7
+                kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "anchor", "segment", "skip", "unit", "n", "words"])
 
     rows = _keyed(docs).select("doc", "hash", "text").join(wanted, ["doc", "hash"]).dropDuplicates(["doc", "hash"])
     return rows.select("text", "wanted").mapInArrow(run, CONTENT)
 
 
-def repeated_in_shard(words: list[np.ndarray], sole: np.ndarray) -> list[np.ndarray]:
-    """For each segment that is ``sole``, which of its windows occur twice in the shard; for others, all."""
+def repeated_in_shard(words: list[np.ndarray], often: np.ndarray) -> list[np.ndarray]:
+    """For each unit of a shard, which of its windows occur twice there; units that are ``often`` there stand in the index twice."""
     lengths = np.array([len(w) for w in words])
     _, symbols = np.unique(np.concatenate(words), return_inverse=True)
-    text = np.zeros(int(lengths.sum()) + len(words), np.int64)
-    begin = np.cumsum(np.r_[0, lengths[:-1] + 1])
+    begin = np.cumsum(np.r_[0, lengths[:-1]])
+    order = np.r_[np.arange(len(words)), np.flatnonzero(often)]
+    text = np.zeros(int(lengths[order].sum()) + len(order), np.int64)
+    place = np.cumsum(np.r_[0, lengths[order][:-1] + 1])
     inside = np.ones(len(text), bool)
-    inside[begin + lengths] = False
-    text[inside] = symbols + 1
+    inside[place + lengths[order]] = False
+    text[inside] = np.concatenate([symbols[begin[k] : begin[k] + lengths[k]] for k in order.tolist()]) + 1
     index = FMIndex(text, 2 * WINDOW)
-    out = [np.ones(n - WINDOW + 1, bool) for n in lengths]
-    asked = np.flatnonzero(sole)
-    # A segment that occurs whole elsewhere needs no more questions.
-    whole = index.matching_lengths(text, begin[asked] + lengths[asked], lengths[asked])
-    asked = asked[whole < lengths[asked]]
-    if len(asked):
-        number = lengths[asked] - WINDOW + 1
-        owner = np.repeat(asked, number)
-        window = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        ends = begin[owner] + window + WINDOW
-        hit = index.matching_lengths(text, ends, np.full(len(ends), WINDOW)) >= WINDOW
-        for k, part in zip(asked.tolist(), np.split(hit, np.cumsum(number)[:-1])):
-            out[k] = part
+    out = [np.zeros(n - WINDOW + 1, bool) for n in lengths]
+    # From each unit's end back: a run that occurs twice answers for all windows within it.
+    live, ends = np.arange(len(words)), lengths.copy()
+    while len(live):
+        length = index.matching_lengths(text, place[live] + ends, ends)
+        found = length >= WINDOW
+        for k, end, n in zip(live[found].tolist(), ends[found].tolist(), length[found].tolist()):
+            out[k][end - n : end - WINDOW + 1] = True
+        ends = ends - np.maximum(length - WINDOW + 1, 0) - ~found
+        more = ends >= WINDOW
+        live, ends = live[more], ends[more]
     return out
 
 
 def judge_shards(content: DataFrame) -> DataFrame:
-    """anchor, segment and ``runs`` (first window, number) of the repeated windows of the segments that are sole."""
+    """shard, unit and (skip, number) of the runs of repeated windows of all units (shard, unit, n, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(rows: list[tuple]) -> pa.RecordBatch:
-            sole = np.array([r[3] for r in rows])
-            marks = repeated_in_shard([np.frombuffer(r[5], np.uint64) for r in rows], sole)
+            marks = repeated_in_shard([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[2] > 1 for r in rows]))
             out = []
             for r, mark in zip(rows, marks):
-                if r[3] and mark.any():
+                if mark.any():
                     edge = np.flatnonzero(np.diff(np.r_[0, mark.astype(np.int8), 0]))
-                    out += [(r[1], r[2], r[4] + int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2])]
+                    out += [(r[0], r[1], int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2])]
             columns = list(zip(*out)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], names=["anchor", "segment", "skip", "number"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], names=["shard", "unit", "first", "number"])
 
         held: list[tuple] = []
         size = 0
@@ -168,12 +173,13 @@ def judge_shards(content: DataFrame) -> DataFrame:
                     yield judged(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[5]) // 8
+                size += len(r[3]) // 8 * (1 + (r[2] > 1))
         if held:
             yield judged(held)
+        B.trim()
 
-    dealt = content.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "anchor long, segment long, skip int, number int")
+    dealt = content.select("shard", "unit", "n", "words").repartition("shard").sortWithinPartitions("shard", "unit")
+    return dealt.mapInArrow(run, "shard long, unit long, first int, number int")
 
 
 def cover(words: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -187,24 +193,26 @@ def cover(words: int, spans: list[tuple[int, int]]) -> np.ndarray:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc, hash (see the keys of rows) and ``spans`` (first window, number of windows) of all rows with a repeated window."""
-    spark = docs.sparkSession
     table = save(segment_table(docs), "segments")
-    twice = table.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    table = save(table.join(twice, "anchor"), "repeated")
-    release(spark)
-    kinds = table.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "at", "windows")).alias("one"))
-    kinds = save(kinds, "kinds")
-    shared = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    wanted = kinds.join(shared, "anchor").select("one.*", "anchor", "segment", (F.col("n") == 1).alias("sole"), (F.col("kinds") > CROWDED).alias("crowded"))
-    wanted = wanted.groupBy("doc", "hash").agg(F.collect_list(F.struct("at", "windows", "anchor", "segment", "sole", "crowded")).alias("wanted"))  # at most a document's own segments
+    kinds = save(table.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "at", "windows")).alias("one")), "kinds")
+    anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter(F.col("all") > 1)
+    wanted = join_one(kinds, anchors.select("anchor", (F.col("kinds") > CROWDED).alias("crowded")), ["anchor"])
+    wanted = wanted.select("one.*", "anchor", "segment", "n", "crowded").groupBy("doc", "hash").agg(F.collect_list(F.struct("at", "windows", "anchor", "segment", "n", "crowded")).alias("wanted"))  # at most a document's own segments
     content = save(segment_words(docs, wanted), "content")
-    release(spark)
-    partial = judge_shards(content).select("anchor", "segment", "skip", "number")
-    whole = kinds.filter("n > 1").select("anchor", "segment", F.lit(0).alias("skip"), F.col("one.windows").alias("number"))
-    found = save(whole.unionByName(partial), "found")
-    spans = table.join(found, ["anchor", "segment"]).select("doc", "hash", (F.col("at") + F.col("skip")).alias("first"), "number")
+    discard(kinds)
+    # Windows of crowded anchors are added up before they meet; a segment stands alone.
+    alone = content.filter(F.col("shard") == F.col("anchor")).select("shard", "unit", "n", "words")
+    windows = content.filter(F.col("shard") != F.col("anchor")).groupBy("shard", "unit").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    judged = save(judge_shards(alone.unionByName(windows)), "judged")
+    # From units back to segments, and from these to their places; what is a window's meets no segment.
+    whole = judged.select(F.col("shard").alias("anchor"), F.col("unit").alias("segment"), F.col("first").alias("skip"), "number")
+    parts = join_one(content.filter(F.col("shard") != F.col("anchor")).select("shard", "unit", "anchor", "segment", "skip"), judged.select("shard", "unit", "number"), ["shard", "unit"])
+    found = whole.unionByName(parts.select("anchor", "segment", "skip", "number"))
+    found = save(found.groupBy("anchor", "segment").agg(F.collect_list(F.struct("skip", "number")).alias("runs")), "found")  # at most a segment's own windows
+    discard(content, judged)
+    spans = join_one(table, found, ["anchor", "segment"]).select("doc", "hash", "at", F.explode("runs").alias("run")).select("doc", "hash", (F.col("at") + F.col("run.skip")).alias("first"), "run.number")
     spans = save(spans.distinct().groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "number")).alias("spans")), "spans")  # as above
-    release(spark)
+    discard(table, found)
     return spans
 
 
