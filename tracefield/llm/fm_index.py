@@ -55,17 +55,22 @@ class WaveletMatrix:
             self.vectors.append(BitVector(bits.astype(np.uint8)))
             self.zeros.append(int(len(bits) - bits.sum()))
             now = np.concatenate([now[bits == 0], now[bits == 1]])
+        # Where each symbol's own places begin on the last level, which lists the symbols by their reversed bits.
+        every = np.arange(1 << levels) if len(symbols) >= 1 << levels else np.unique(symbols, return_counts=True)[0]
+        self.start = np.zeros(1 << levels, np.int64)
+        self.start[every] = self._descend(every, np.zeros(len(every), np.int64))
 
-    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol stands before ``lo`` and before ``hi``."""
-        start, lo, hi = np.zeros(len(symbol), np.int64), lo.copy(), hi.copy()
+    def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, (vector, zeros) in enumerate(zip(self.vectors, self.zeros)):
-            one = ((symbol >> (self.levels - 1 - level)) & 1).astype(bool)
-            s, a, b = vector.rank(start), vector.rank(lo), vector.rank(hi)
-            start = np.where(one, zeros + s, start - s)
-            lo = np.where(one, zeros + a, lo - a)
-            hi = np.where(one, zeros + b, hi - b)
-        return lo - start, hi - start
+            ones = vector.rank(i)
+            i = np.where((symbol >> (self.levels - 1 - level)) & 1, zeros + ones, i - ones)
+        return i
+
+    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol (of the sequence) stands before ``lo`` and before ``hi``."""
+        n, start = len(symbol), self.start[symbol]
+        both = self._descend(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        return both[:n] - start, both[n:] - start
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -76,7 +81,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     while have < depth and n:
         key = rank * (n + 1)
         key[:-have] += rank[have:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
@@ -87,9 +92,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """The index of ``text`` (symbols 1..; 0 parts sequences) for patterns of up to ``depth`` symbols."""
+    """The index of ``text`` (symbols 1..; 0 parts sequences) for patterns of up to ``depth`` symbols.
 
-    def __init__(self, text: np.ndarray, depth: int):
+    ``twice``: places of the text that stand for two occurrences.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, twice: np.ndarray | None = None):
         text = np.append(text, 0)
         order = suffix_array(text, depth)
         top = int(text.max())
@@ -97,12 +105,18 @@ class FMIndex:
         self.matrix = WaveletMatrix(text[order - 1], max(1, top.bit_length()))
         self.first = np.zeros(top + 2, np.int64)
         np.cumsum(np.bincount(text, minlength=top + 1), out=self.first[1:])
+        self.more = None if twice is None else BitVector(np.append(twice, False)[order].astype(np.uint8))
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of the patterns with ``symbol`` put before them."""
+        """The intervals of the patterns with ``symbol`` (of the text) put before them."""
         a, b = self.matrix.ranks(symbol, lo, hi)
         return self.first[symbol] + a, self.first[symbol] + b
 
+    def occurrences(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How often the patterns of these intervals occur."""
+        n = hi - lo
+        return n if self.more is None else n + self.more.rank(hi) - self.more.rank(lo)
+
     def matching_lengths(self, text: np.ndarray, ends: np.ndarray, most: np.ndarray, least: int = 2) -> np.ndarray:
         """Matching statistics: for each end in ``text``, the length (up to ``most``) of the longest run before it that occurs ``least`` times in the index."""
         length = np.zeros(len(ends), np.int64)
@@ -110,7 +124,7 @@ class FMIndex:
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.size, np.int64)
         while len(live):
             lo, hi = self.extend(text[ends[live] - 1 - length[live]], lo, hi)
-            ok = hi - lo >= least
+            ok = self.occurrences(lo, hi) >= least
             live, lo, hi = live[ok], lo[ok], hi[ok]
             length[live] += 1
             more = length[live] < most[live]

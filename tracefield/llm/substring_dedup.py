@@ -7,8 +7,8 @@ of the corpus stands in exactly one segment. Segments are sharded by anchor:
 
 1. Anchors that stand once in the corpus are dropped; their windows are unique.
 2. Equal segments are one, with the number of times that they stand there.
-3. A shard's FM-index is built over its segments, those that stand twice or
-   more put in twice. Every segment of the documents is streamed against the
+3. A shard's FM-index is built over its segments, with a mark on those that
+   stand twice or more, which then count twice. Every segment of the documents is streamed against the
    index of its shard: the matching statistics tell for its ends how long a run
    before them occurs twice, and runs of ``WINDOW`` words or more are reported.
 4. Each document gets the windows found and loses the words that they cover.
@@ -37,9 +37,9 @@ from .skew import join_one
 WINDOW, ANCHOR = 35, 8
 SPREAD = WINDOW - ANCHOR + 1
 #: Words of one FM-index, about.
-SHARD_WORDS = 1 << 21
-#: Different segments of one anchor beyond which they are taken apart; so many make about half an index.
-CROWDED = 1 << 14
+SHARD_WORDS = 1 << 18
+#: Different segments of one anchor beyond which they are taken apart; so many make an index or two.
+CROWDED = 1 << 13
 SEGMENTS = "doc long, hash long, at int, windows int, anchor long, segment long"
 
 
@@ -126,28 +126,35 @@ def segment_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_in_shard(words: list[np.ndarray], often: np.ndarray) -> list[np.ndarray]:
-    """For each unit of a shard, which of its windows occur twice there; units that are ``often`` there stand in the index twice."""
+    """For each unit of a shard, which of its windows occur twice there; a unit that is ``often`` there counts twice."""
     lengths = np.array([len(w) for w in words])
     _, symbols = np.unique(np.concatenate(words), return_inverse=True)
-    begin = np.cumsum(np.r_[0, lengths[:-1]])
-    order = np.r_[np.arange(len(words)), np.flatnonzero(often)]
-    text = np.zeros(int(lengths[order].sum()) + len(order), np.int64)
-    place = np.cumsum(np.r_[0, lengths[order][:-1] + 1])
+    text = np.zeros(int(lengths.sum()) + len(words), np.int64)
+    place = np.cumsum(np.r_[0, lengths[:-1] + 1])
     inside = np.ones(len(text), bool)
-    inside[place + lengths[order]] = False
-    text[inside] = np.concatenate([symbols[begin[k] : begin[k] + lengths[k]] for k in order.tolist()]) + 1
-    index = FMIndex(text, 2 * WINDOW)
+    inside[place + lengths] = False
+    text[inside] = symbols + 1
+    index = FMIndex(text, 2 * WINDOW, np.repeat(often, lengths + 1))
     out = [np.zeros(n - WINDOW + 1, bool) for n in lengths]
-    # From each unit's end back: a run that occurs twice answers for all windows within it.
-    live, ends = np.arange(len(words)), lengths.copy()
-    while len(live):
-        length = index.matching_lengths(text, place[live] + ends, ends)
+    # Ranges of windows that are not decided yet, each with the window that is asked for next. A run that occurs twice
+    # decides all windows within it, and one that does not all windows around it: so the ends of a unit are asked first,
+    # and then the middles of what is left.
+    unit, low, high = np.arange(len(words)), np.zeros(len(words), np.int64), lengths - WINDOW
+    ask, round_ = np.where(often, high, low), 0
+    while len(unit):
+        end = ask + WINDOW
+        length = index.matching_lengths(text, place[unit] + end, end - low)
         found = length >= WINDOW
-        for k, end, n in zip(live[found].tolist(), ends[found].tolist(), length[found].tolist()):
-            out[k][end - n : end - WINDOW + 1] = True
-        ends = ends - np.maximum(length - WINDOW + 1, 0) - ~found
-        more = ends >= WINDOW
-        live, ends = live[more], ends[more]
+        # Windows first to last are decided.
+        first = np.where(found, end - length, ask)
+        last = np.where(found, ask, np.minimum(end - length - 1, high))
+        for k, x, y in zip(unit[found].tolist(), first[found].tolist(), last[found].tolist()):
+            out[k][x : y + 1] = True
+        before, after = first > low, last < high
+        unit = np.r_[unit[before], unit[after]]
+        low, high, found = np.r_[low[before], last[after] + 1], np.r_[first[before] - 1, high[after]], np.r_[found[before], found[after]]
+        ask = np.where(found, high, low) if not round_ else (low + high + 1) // 2
+        round_ += 1
     return out
 
 
@@ -173,7 +180,7 @@ def judge_shards(content: DataFrame) -> DataFrame:
                     yield judged(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[3]) // 8 * (1 + (r[2] > 1))
+                size += len(r[3]) // 8
         if held:
             yield judged(held)
         B.trim()
