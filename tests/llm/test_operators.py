@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tracefield.llm import bytesops, decontaminate, fm_index, language_id, lm_score, media, near_dup, packing, secret_scan, skew, substring_dedup, token_files, tokens, url_filter
@@ -112,10 +113,89 @@ def test_url_rules_and_trees(spark):
         if best:
             assert got[i]["verdict"] == best[1]
         # The Column expression is the trees' sum, evaluated here by hand.
-        assert 0 <= got[i]["score"] <= 1
+        x, margin = plain_features(u, model), model.prior
+        for tree in model.trees:
+            node = 1
+            while node in tree.splits:
+                name, cut = tree.splits[node]
+                node = 2 * node + (x[name] > cut)
+            margin += tree.values[node]
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-margin))) < 1e-9
+        if not best:
+            assert got[i]["verdict"] == ("block" if got[i]["score"] >= 0.5 else "allow")
     assert got[len(URLS) - 1]["verdict"] == "block" and got[4]["verdict"] == "allow"
     empty = pages.limit(0)
     assert url_filter.filter_urls(empty).collect() == []
+    long = spark.createDataFrame([(1, "http://" + "a-" * 300_000 + "x/" + "b/" * 300_000, "x", 1), (1, "http://q.org/", "x", 1), (1, "http://q.org/", "x", 1), (None, None, None, None)], "page_id long, url string, score string, label int")
+    got = url_filter.judge(long, model).collect()
+    assert sorted(len(r["path"]) for r in got) == [0, 1, 1, 600_001] and len(got) == 4
+
+
+def plain_features(url, model):
+    """The features of a URL in plain Python; suffixes by the model's tables."""
+    u = url or ""
+    m = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1], re.S) if "://" in u else None
+    host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
+    query = re.search(r"\?([^#]*)", u)
+    query = query[1] if query else ""
+    labels = [x for x in host.split(".") if x]
+    shares = [n / len(host) for n in Counter(host).values()]
+    out = {
+        "length": len(u),
+        "host_length": len(host),
+        "path_length": len(path),
+        "depth": len([x for x in path.split("/") if x]),
+        "labels": len(labels),
+        "hyphens": host.count("-"),
+        "host_digits": sum(c in "0123456789" for c in host),
+        "digit_ratio": sum(c in "0123456789" for c in u) / max(len(u), 1),
+        "entropy": round(-sum(p * math.log2(p) for p in shares), 9),
+        "parameters": query.count("&") + 1 if query else 0,
+        "longest_label": max(map(len, host.split("."))),
+    }
+    for n, values in model.suffixes.items():
+        suffix = ".".join(host.split(".")[-n:])
+        signed = int(np.uint64(xxhash.xxh64_intdigest(suffix.encode(), seed=42)).astype(np.int64))
+        out[f"suffix_{n}"] = values[signed % url_filter.SUFFIXES]
+    return out
+
+
+def auc(pairs):
+    """The chance that a URL with label 1 has a greater score than one with label 0; ties count half."""
+    rank, order = {}, sorted(s for s, _ in pairs)
+    for k, s in enumerate(order):
+        rank.setdefault(s, []).append(k + 1)
+    ones = [s for s, y in pairs if y]
+    n = len(pairs) - len(ones)
+    return (sum(sum(rank[s]) / len(rank[s]) for s in ones) - len(ones) * (len(ones) + 1) / 2) / (len(ones) * n)
+
+
+def test_trees_use_several_features_and_generalise_to_other_hosts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", url_filter.seed_label(F.col("url")).alias("label"))
+    out = F.pmod(F.xxhash64(url_filter.host_of(F.col("url"))), F.lit(3)) == 0
+    model = url_filter.fit(pages.filter(~out))
+    assert len(model.used()) > 1
+    scores = {r["page_id"]: r["score"] for r in url_filter.judge(pages.filter(out), model, ()).collect()}
+    labels = {r["page_id"]: r["label"] for r in pages.filter(out).collect()}
+    assert 0 < sum(labels.values()) < len(labels)
+    assert auc([(scores[i], y) for i, y in labels.items()]) > 0.95
+
+
+def test_trees_find_what_takes_several_features(spark):
+    """A label of which each feature alone tells little: digits in a deep path, or a long host with two parameters."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(1500):
+        host = "".join(rng.choice("abcdefghij") for _ in range(rng.choice([5, 30])))
+        parts = ["".join(rng.choice("0123456789" if digits else "abcdef") for _ in range(6)) for _ in range(rng.randint(1, 5)) for digits in [rng.random() < 0.5]]
+        query = rng.choice(["", "?a=1", "?a=1&b=2"])
+        digits = sum(c.isdigit() for c in "".join(parts)) / 6
+        rows.append((f"http://{host}.example.org/{'/'.join(parts)}{query}", int((len(parts) > 3 and digits >= 2) or (len(host) > 10 and "&" in query))))
+    urls = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, label int")
+    model = url_filter.fit(urls.filter("page_id < 1000").select("url", "label"))
+    scores = {r["page_id"]: r["score"] for r in url_filter.judge(urls.filter("page_id >= 1000"), model, ()).collect()}
+    assert len(model.used()) >= 3
+    assert auc([(s, rows[i][1]) for i, s in scores.items()]) > 0.95
 
 
 def test_trees_separate_what_a_feature_separates(spark):

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import save
+from ..storage import discard, save
 
 #: Labelled URLs that the fit takes at most, about (those with the least hash).
 SAMPLE = 200_000
@@ -23,7 +23,13 @@ SHRINK, RIDGE, LEAST = 0.3, 1.0, 5.0
 
 # Rules as (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-# Words that stand in the host names of advertising, gambling, adult and spam sites. They label URLs to learn from.
+#: Buckets of the hashed suffixes' statistics, and rows that a statistic is drawn to the mean by.
+SUFFIXES, DRAWN = 1024, 20
+#: Labels of a host that make a suffix.
+SUFFIX_LABELS = (1, 2)
+# Words that stand in the host names of advertising, gambling, adult and spam sites, and keys of queries by which
+# one page has many addresses (lists, orders, sessions, referrers). They label URLs to learn from.
+SEED_KEYS = ("page", "p", "start", "offset", "sort", "order", "sid", "sessionid", "phpsessid", "jsessionid", "ref", "referrer", "replytocom", "print")
 SEED_WORDS = ("ad", "ads", "adult", "bet", "bets", "casino", "cheap", "click", "loan", "loans", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "win", "xxx")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,14 +86,22 @@ def features(url: Column) -> dict[str, Column]:
     return {k: v.cast("double") for k, v in values.items()}
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label of a host."""
-    return F.regexp_extract(host, r"([^.]*)$", 1)
+def suffix_of(host: Column, labels: int) -> Column:
+    """The last labels of a host, or all that it has."""
+    return F.array_join(F.slice(F.split(host, r"\."), -F.least(F.lit(labels), F.size(F.split(host, r"\."))), labels), ".")
+
+
+def _suffix_bucket(url: Column, labels: int) -> Column:
+    """A hash of the suffix: every suffix has a statistic, rare ones may share theirs."""
+    return F.pmod(F.xxhash64(suffix_of(host_of(F.coalesce(url, F.lit(""))), labels)), F.lit(SUFFIXES)).cast("int")
 
 
 def seed_label(url: Column) -> Column:
-    """1 for a host with a seed word among its labels' parts, else 0."""
-    return F.arrays_overlap(F.split(host_of(F.coalesce(url, F.lit(""))), r"[.\-]"), F.array(*(F.lit(w) for w in SEED_WORDS))).cast("int")
+    """1 for a host with a seed word among its labels' parts, or a query with a seed key; else 0."""
+    u = F.coalesce(url, F.lit(""))
+    keys = F.transform(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda x: F.lower(F.substring_index(x, "=", 1)))
+    among = lambda found, seeds: F.arrays_overlap(found, F.array(*(F.lit(w) for w in seeds)))
+    return (among(F.split(host_of(u), r"[.\-]"), SEED_WORDS) | among(keys, SEED_KEYS)).cast("int")
 
 
 @dataclass
@@ -113,14 +127,13 @@ class Tree:
 @dataclass
 class Model:
     prior: float
-    suffixes: dict[str, float]
+    suffixes: dict[int, list[float]]  # by number of labels: log-odds by bucket
     trees: list[Tree] = field(default_factory=list)
 
     def columns(self, url: Column) -> dict[str, Column]:
         x = features(url)
-        suffix = suffix_of(host_of(F.coalesce(url, F.lit(""))))
-        known = F.create_map(*(F.lit(v) for k in sorted(self.suffixes) for v in (k, self.suffixes[k]))) if self.suffixes else None
-        x["suffix"] = F.coalesce(F.try_element_at(known, suffix), F.lit(0.0)) if known is not None else F.lit(0.0)
+        for n, values in self.suffixes.items():
+            x[f"suffix_{n}"] = F.element_at(F.lit(values), _suffix_bucket(url, n) + 1)
         return x
 
     def margin(self, x: dict[str, Column]) -> Column:
@@ -129,18 +142,20 @@ class Model:
             out = out + t.value(x)
         return out
 
+    def used(self) -> set[str]:
+        """Features that some tree splits by."""
+        return {name for t in self.trees for name, _ in t.splits.values()}
 
-def _suffix_statistics(rows: DataFrame, most: int = 200) -> dict[str, float]:
-    """Smoothed log-odds of the most frequent suffixes (others count as 0)."""
-    total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("k")).first()
-    if not total["n"]:
-        return {}
-    rate = ((total["k"] or 0) + 1) / (total["n"] + 2)
-    by = rows.groupBy(suffix_of(host_of(F.col("url"))).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("k"))
+
+def _suffix_statistics(rows: DataFrame, rate: float) -> dict[int, list[float]]:
+    """Log-odds of each bucket of suffixes over those of all rows, drawn to 0 where there are few rows."""
     out = {}
-    for r in by.orderBy(F.desc("n"), "suffix").limit(most).collect():
-        p = (r["k"] + 20 * rate) / (r["n"] + 20)
-        out[r["suffix"]] = round(math.log(p / (1 - p)) - math.log(rate / (1 - rate)), 6)
+    for n in SUFFIX_LABELS:
+        values = [0.0] * SUFFIXES
+        for r in rows.groupBy(_suffix_bucket(F.col("url"), n).alias("b")).agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect():  # SUFFIXES rows at most
+            p = (r["k"] + DRAWN * rate) / (r["n"] + DRAWN)
+            values[r["b"]] = round(math.log(p / (1 - p)) - math.log(rate / (1 - rate)), 6)
+        out[n] = values
     return out
 
 
@@ -153,48 +168,62 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     rows = save(rows, "labelled")
     k = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("k")).first()
     rate = (k["k"] + 0.5) / (k["n"] + 1)
-    model = Model(math.log(rate / (1 - rate)), _suffix_statistics(rows))
+    prior = math.log(rate / (1 - rate))
     if not 0 < k["k"] < k["n"]:
-        return model
+        return Model(prior, {})
+    model = Model(prior, _suffix_statistics(rows, rate))
     x = model.columns(F.col("url"))
     names = list(x)
-    table = save(rows.select("label", *(x[c].alias(c) for c in names)), "features")
+    features_ = save(rows.select("label", *(x[c].alias(c) for c in names)), "features")
     steps = [i / BINS for i in range(1, BINS)]
-    found = table.agg(*(F.percentile_approx(c, steps, 1000).alias(c) for c in names), *(F.min(c).alias(f"min_{c}") for c in names)).first()
+    found = features_.agg(*(F.percentile_approx(c, steps, 1000).alias(c) for c in names), *(F.min(c).alias(f"min_{c}") for c in names)).first()
     cuts = {c: sorted({found[f"min_{c}"], *found[c]}) for c in names}
     bins = {c: sum(((F.col(c) > v).cast("int") for v in cuts[c]), F.lit(0)) for c in names}
-    # Only the distinct rows of bins matter, with their numbers of both labels.
-    table = save(table.select("label", *(bins[c].cast("tinyint").alias(c) for c in names)).groupBy(*names).agg(F.count("*").alias("n"), F.sum("label").alias("ones")), "bins")
-    x = {c: F.col(c).cast("double") for c in names}
-    grown = Model(model.prior, model.suffixes)
+    # Only the distinct rows of bins matter, with their numbers of both labels and the margin so far.
+    table = features_.select("label", *(bins[c].cast("tinyint").alias(c) for c in names)).groupBy(*names).agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
+    table = save(table.withColumn("margin", F.lit(prior)), "bins")
+    discard(rows, features_)
     for _ in range(TREES):
-        p = 1 / (1 + F.exp(-grown.margin(x)))
-        rows = table.withColumn("g", F.col("n") * p - F.col("ones")).withColumn("h", F.col("n") * p * (1 - p))
-        tree = Tree()
-        for depth in range(DEPTH + 1):
-            level = rows.withColumn("node", tree.node(x)).filter(F.col("node") >= 1 << depth)
-            flat = level.select("node", "g", "h", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).cast("int").alias("bin")) for i, c in enumerate(names)))).alias("x"))
-            sums: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
-            for r in flat.groupBy("node", "x.f", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # nodes * features * bins at most
-                sums.setdefault(r["node"], {}).setdefault(r["f"], {})[r["bin"]] = (r["g"], r["h"])
-            if not sums:
-                break
-            for node, by in sorted(sums.items()):
-                g, h = (sum(v[i] for v in by[0].values()) for i in (0, 1))
-                tree.values[node] = round(-SHRINK * g / (h + RIDGE), 9)
-                if depth < DEPTH and (best := _best_split(by, g, h)):
-                    tree.splits[node] = (names[best[0]], best[1])
-            if depth == DEPTH:
-                break
-        grown.trees.append(tree)
-    # From bins back to the features' own values.
-    for t in grown.trees:
-        model.trees.append(Tree({k: (c, cuts[c][int(b)]) for k, (c, b) in t.splits.items()}, t.values))
+        tree = _grow(table, names)
+        at = {c: F.col(c).cast("double") for c in names}
+        raised = save(table.withColumn("margin", F.col("margin") + tree.value(at)), "bins")
+        discard(table)
+        table = raised
+        # From bins back to the features' own values.
+        model.trees.append(Tree({k: (c, cuts[c][int(b)]) for k, (c, b) in tree.splits.items()}, tree.values))
+    discard(table)
     return model
 
 
-def _best_split(by: dict[int, dict[int, tuple[float, float]]], g: float, h: float) -> tuple[int, float] | None:
-    """The feature and the last bin to the left of the split with the greatest gain; ties go to the first."""
+def _grow(table: DataFrame, names: list[str]) -> Tree:
+    """One tree over rows of bins (n, ones, margin), a level with each job: a split's sums are those of the nodes below it, too."""
+    tree, p = Tree(), 1 / (1 + F.exp(-F.col("margin")))
+    rows = table.withColumn("g", F.col("n") * p - F.col("ones")).withColumn("h", F.col("n") * p * (1 - p))
+    x = {c: F.col(c).cast("double") for c in names}
+    flat = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).cast("int").alias("bin")) for i, c in enumerate(names))))
+    for depth in range(DEPTH):
+        level = rows.withColumn("node", tree.node(x)).filter(F.col("node") >= 1 << depth).select("node", "g", "h", flat.alias("x"))
+        sums: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
+        for r in level.groupBy("node", "x.f", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # nodes * features * bins at most
+            sums.setdefault(r["node"], {}).setdefault(r["f"], {})[r["bin"]] = (r["g"], r["h"])
+        for node, by in sorted(sums.items()):
+            g, h = (sum(v[i] for v in by[0].values()) for i in (0, 1))
+            tree.values[node] = _leaf(g, h)
+            if best := _best_split(by, g, h):
+                f, cut, left_g, left_h = best
+                tree.splits[node] = (names[f], cut)
+                tree.values[2 * node], tree.values[2 * node + 1] = _leaf(left_g, left_h), _leaf(g - left_g, h - left_h)
+        if not any(node >> depth for node in tree.splits):
+            break
+    return tree
+
+
+def _leaf(g: float, h: float) -> float:
+    return round(-SHRINK * g / (h + RIDGE), 9)
+
+
+def _best_split(by: dict[int, dict[int, tuple[float, float]]], g: float, h: float) -> tuple[int, float, float, float] | None:
+    """The feature, the last bin to the left of the split with the greatest gain, and the sums there; ties go to the first."""
     best, most = None, 1e-6
     for f, bins in sorted(by.items()):
         left_g = left_h = 0.0
@@ -205,7 +234,7 @@ def _best_split(by: dict[int, dict[int, tuple[float, float]]], g: float, h: floa
                 continue
             gain = round(left_g**2 / (left_h + RIDGE) + right_g**2 / (right_h + RIDGE) - g**2 / (h + RIDGE), 6)
             if gain > most:
-                best, most = (f, float(b)), gain
+                best, most = (f, float(b), left_g, left_h), gain
     return best
 
 
@@ -225,7 +254,7 @@ def judge(pages: DataFrame, model: Model, rules=RULES, threshold: float = 0.5) -
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """Fit on ``labelled`` (by default the pages' own URLs, labelled by the seed words of their hosts) and judge all pages."""
+    """Fit on ``labelled`` (by default the pages' own URLs, labelled by the seed words of hosts and keys of queries) and judge all pages."""
     if labelled is None:
         labelled = pages.select("url", seed_label(F.col("url")).alias("label"))
     return judge(pages, fit(labelled), rules)
