@@ -693,3 +693,64 @@ def test_packing(spark, odd, none, clashing):
             assert at <= limit
         assert len(bins) == brute_bins([r["length"] for r in got], limit)
     assert packing.pack_documents(none, FOLD).collect() == []
+
+
+def test_language_accuracy_on_rows_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = {r["doc_id"]: r["lang"] for r in docs.filter("lang is not null").select("doc_id", "lang").collect()}
+    pairs = [(r["lang_pred"], known[r["doc_id"]]) for r in language_id.identify(docs).filter("held_out and lang_pred <> 'und'").collect() if r["doc_id"] in known]
+    assert len(pairs) > 100 and sum(a == b for a, b in pairs) / len(pairs) > 0.97
+
+
+def test_hidden_elements_without_content_hide_nothing():
+    for tag in ("template", "script", "style", "noscript"):
+        items = media.parse_html(f"<p>a</p><{tag}/><p>kept text</p><{tag}>gone</{tag}>end")
+        assert [x["text"] for x in items] == ["a", "kept text", "end"]
+
+
+def test_findings_are_one_for_a_blob(spark, odd):
+    ledger = secret_scan.new_ledger(spark)
+    secret_scan.update_ledger(odd, ledger)
+    spark.read.parquet(ledger).limit(100).write.mode("append").parquet(ledger)  # as if two scans had run at a time
+    assert secret_scan.findings(odd, ledger).count() == odd.count()
+
+
+def test_texts_beyond_one_slice(spark):
+    """Texts that make slices of their own, between short ones; two share a passage and one is there twice."""
+    rng = random.Random(21)
+    voc = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(30000)]
+    text = lambda n: " ".join(rng.choice(voc) for _ in range(n))
+    passage, item = text(60), text(40)
+    rows = [(1, text(5)), (2, text(230_000) + " " + passage + " password=abcdefgh é"), (3, ""), (4, passage), (5, text(1000) + " " + item), (6, None), (7, text(240_000) + " " + item)]
+    rows.append((8, rows[1][1]))
+    assert len(rows[1][1]) > bytesops.SLICE
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    t, fold = library(BYTE), library(FOLD)
+    ids = {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in token_files.token_file_round_trip(docs, BYTE, 2).collect()} == {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in ids.items()}
+    pieces = packing.pack_documents(docs, FOLD).collect()
+    for i, x in rows:
+        own = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["piece"])
+        whole = fold.encode(x or "", add_special_tokens=False).ids + [1]
+        assert [r["ids_crc32"] for r in own] == [zlib.crc32(np.array(whole[a : a + 4096], "<u4").tobytes()) for a in range(0, len(whole), 4096)]
+    groups = brute_groups(rows, 85)
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 0.85).collect()} == groups and groups[8] == 2
+    assert by_row(substring_dedup.remove_repeats(docs).collect()) == by_row(brute_repeats(rows))
+    for r in media.round_trip(docs).collect():
+        raw = (dict(rows)[r["doc_id"]] or "").encode()
+        assert r["payload_sha256"] == hashlib.sha256(raw + b"\xff" * (-len(raw) % 576 if raw else 576)).hexdigest()
+    assert {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()} == {i: ",".join(f"{k}:{a}:{e}" for a, _, k, e in brute_secrets(x or "")) for i, x in rows}
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.find_items(docs, bench).collect()} == {5, 7}
+    scored = {r["doc_id"]: r for r in lm_score.score(docs).collect()}
+    assert all(scored[i]["n_tokens"] == len(WORD.findall(x or "")) + 1 for i, x in rows) and scored[2]["score"] == scored[8]["score"]
+    assert len(language_id.identify(docs.selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'en', 'de') as lang")).collect()) == len(rows)
+
+
+def test_repeated_rows_in_url_filter_and_decontamination(spark, odd):
+    twice = spark.createDataFrame([(1, "http://a-b.org/?x=1", "v", "w"), (1, "http://a-b.org/?x=1", "v", "w")], "page_id long, url string, score string, x_length string")
+    got = url_filter.filter_urls(twice).collect()
+    assert len(got) == 2 and got[0] == got[1]
+    bench = odd.filter("doc_id = 4").limit(1).selectExpr("7L as item_id", "text")
+    found = decontaminate.find_items(odd, bench).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in found}[4] == 2

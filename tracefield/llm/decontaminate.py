@@ -38,8 +38,8 @@ def split_item(text: str, errors: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def allowed_errors(text: str, rate: float = ERROR_RATE) -> int:
-    return 0 if len(text) < SHORT else int(rate * len(text))
+def allowed_errors(text: str, rate: float = ERROR_RATE, short: int = SHORT) -> int:
+    return 0 if len(text) < short else int(rate * len(text))
 
 
 class Myers:
@@ -77,16 +77,17 @@ class Myers:
 class Matcher:
     """All items of a block, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, short: int = SHORT):
         import ahocorasick
 
+        self.short = short
         self.items, self.errors, self.pattern, self.reverse = [], [], {}, {}
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = folded(text)
             if not text:
                 continue
-            e = allowed_errors(text, rate)
+            e = allowed_errors(text, rate, short)
             for at, piece in split_item(text, e):
                 places.setdefault(piece, []).append((len(self.items), at))
             self.items.append((item_id, text))
@@ -126,7 +127,7 @@ class Matcher:
                 part = text[a:b]
                 if e == 0:
                     k = part.find(item)
-                    if k < 0 or len(item) < SHORT and (text[a + k - 1 : a + k].strip() or text[a + k + len(item) : a + k + len(item) + 1].strip()):
+                    if k < 0 or len(item) < self.short and (text[a + k - 1 : a + k].strip() or text[a + k + len(item) : a + k + len(item) + 1].strip()):
                         continue
                     d, end = 0, a + k + len(item)
                     start = a + k
@@ -162,9 +163,13 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, short: int = SHORT) -> DataFrame:
     """One row for each document and item that it holds within ``rate`` edits a character.
 
+    Items of fewer than ``short`` characters must stand there unchanged and by
+    themselves, from word end to word end; with 0 all items are alike and may
+    stand inside words.
+
     start and end are places in the folded text. Null and empty texts hold
     nothing, null and empty items are held by nothing. Repeated documents give
     repeated rows. The benchmark is the query set: it is broadcast in blocks of
@@ -173,7 +178,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
     spark = docs.sparkSession
     out = None
     for block in item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast((block, rate))
+        sent = spark.sparkContext.broadcast((block, rate, short))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*sent.value)

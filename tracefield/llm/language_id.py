@@ -22,6 +22,8 @@ from . import bytesops as B
 
 #: Labelled rows of each language that the fit takes at most (those with the least hash of doc_id).
 SAMPLE = 160
+#: Labelled rows that the fit takes at most in all (languages then share them), and languages (the most frequent labels).
+ROWS, LANGUAGES = 4000, 200
 #: Hashed features.
 BITS = 13
 ORDERS = (1, 2, 3, 4)
@@ -131,52 +133,57 @@ class Model:
                 seen[filled] += np.add.reduceat(ok, offsets[filled], dtype=np.int64)
         return total + SURE * self.spread * np.sqrt(seen) < self.level * seen
 
-    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
-        """Language, score in 0..1 and family of each row."""
-        n = len(col)
-        orders, offsets = features(col)
-        seen = np.zeros((n, len(ORDERS)))
-        margins = np.zeros((n, len(self.machines)))
+    def _margins(self, machines: list[int], orders: list[np.ndarray], offsets: np.ndarray) -> np.ndarray:
+        """Rows x machines."""
+        n = len(offsets) - 1
+        out = np.zeros((n, len(machines)))
         filled = np.flatnonzero(np.diff(offsets) > 0)
         for k, f in enumerate(orders):
+            if not len(filled) or not machines:
+                break
             ok = f >= 0
             g = np.where(ok, f, 0)
-            if len(filled):
-                seen[filled, k] = np.add.reduceat(ok, offsets[filled], dtype=np.int64)
-                for m, (*_, svm) in enumerate(self.machines):
-                    w = svm.weights[k << BITS : (k + 1) << BITS]
-                    margins[filled, m] += np.add.reduceat(np.where(ok, w[g], 0), offsets[filled], dtype=np.float64) / np.maximum(seen[filled, k], 1)
-        for m, (*_, svm) in enumerate(self.machines):
-            margins[:, m] += svm.bias
-        sure = 1 / (1 + np.exp(-np.clip(2.5 * margins, -30, 30)))
-        fam = np.zeros((n, len(self.families)))
-        vote = {f: np.zeros((n, len(v))) for f, v in self.languages.items()}
-        for m, (family, one, other, _) in enumerate(self.machines):
-            if not family:
-                fam[:, self.families.index(one)] = sure[:, m]
-            else:
-                names = self.languages[family]
-                vote[family][:, names.index(one)] += sure[:, m]
-                vote[family][:, names.index(other)] += 1 - sure[:, m]
-        if len(self.families) == 1:
-            fam[:] = 1
+            seen = np.maximum(np.add.reduceat(ok, offsets[filled], dtype=np.int64), 1)
+            for j, m in enumerate(machines):
+                w = self.machines[m][3].weights[k << BITS : (k + 1) << BITS]
+                out[filled, j] += np.add.reduceat(np.where(ok, w[g], 0), offsets[filled], dtype=np.float64) / seen
+        return out + np.array([self.machines[m][3].bias for m in machines])
+
+    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
+        """Language, score in 0..1 and family of each row: all rows go through the families' machines, and then only through those of their family."""
+        n = len(col)
+        if not self.families:
+            return [UNKNOWN] * n, np.zeros(n), [UNKNOWN] * n
+        orders, offsets = features(col)
+        sure = lambda margins: 1 / (1 + np.exp(-np.clip(2.5 * margins, -30, 30)))
+        first = [m for m, (family, *_) in enumerate(self.machines) if not family]
+        fam = np.ones((n, len(self.families)))
+        if first:
+            fam[:, [self.families.index(self.machines[m][1]) for m in first]] = sure(self._margins(first, orders, offsets))
         fam /= np.maximum(fam.sum(1, keepdims=True), 1e-12)
-        best = fam.argmax(1) if len(self.families) else np.zeros(n, int)
+        best = fam.argmax(1)
         letters = has_letter(col)
-        langs, scores, families = [], np.zeros(n), []
-        for i in range(n):
-            if not letters[i] or not self.families:
-                langs.append(UNKNOWN)
-                families.append(UNKNOWN)
+        best[~letters] = -1
+        langs, families, scores = np.full(n, UNKNOWN, object), np.full(n, UNKNOWN, object), np.zeros(n)
+        size = np.diff(offsets)
+        for k, family in enumerate(self.families):
+            rows = np.flatnonzero(best == k)
+            if not len(rows):
                 continue
-            f = self.families[best[i]]
-            v = vote[f][i]
-            pairs = len(v) * (len(v) - 1) / 2
-            k = int(v.argmax())
-            langs.append(self.languages[f][k])
-            families.append(f)
-            scores[i] = fam[i, best[i]] * (v[k] / pairs * len(v) / 2 if pairs else 1.0)
-        return langs, np.clip(scores, 0, 1), families
+            names = self.languages[family]
+            machines = [m for m, (f, *_) in enumerate(self.machines) if f == family]
+            vote = np.zeros((len(rows), len(names)))
+            if machines:
+                inside = np.repeat(best == k, size)
+                part = sure(self._margins(machines, [f[inside] for f in orders], np.r_[0, np.cumsum(size[rows])]))
+                for j, m in enumerate(machines):
+                    vote[:, names.index(self.machines[m][1])] += part[:, j]
+                    vote[:, names.index(self.machines[m][2])] += 1 - part[:, j]
+            top = vote.argmax(1)
+            langs[rows], families[rows] = np.array(names, object)[top], family
+            share = vote[np.arange(len(rows)), top] * len(names) / 2 / len(machines) if machines else 1.0
+            scores[rows] = fam[rows, k] * share
+        return langs.tolist(), np.clip(scores, 0, 1), families.tolist()
 
 
 def _profile(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray | None, float, float]:
@@ -207,20 +214,22 @@ def _profile(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray | None, float, fl
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows of each language of ``labelled`` (doc_id, text, lang), chosen by the hash of doc_id.
+    """Fit on at most ``sample`` rows of each language of ``labelled`` (doc_id, text, lang), chosen by the hash of doc_id, and ROWS in all.
 
-    Rows without lang or without a letter are left out. The n-gram counts of
+    Labels beyond the LANGUAGES most frequent are left out. Rows without lang or without a letter are left out. The n-gram counts of
     the sample are made on the executors; sample * languages of them come to
     the driver.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in labels.collect()}
     if not counts:
         return Model()
+    sample = max(1, min(sample, ROWS // len(counts)))
     # A hash bound a little above the share that is wanted, then the exact number in hash order.
     share = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * sample / n + 20.0 / n))))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = rows.withColumn("h", h).filter(F.col("h") < share[F.col("lang")] * (1 << 30))
+    chosen = rows.withColumn("h", h).filter(F.col("h") < F.try_element_at(share, F.col("lang")) * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

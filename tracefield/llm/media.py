@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import work_dir
+from ..storage import save, work_dir
+from . import bytesops as B
+from .skew import join_one
 
 #: Samples in a line of a stored image; payloads are a whole number of blocks of BLOCK bytes.
 WIDTH, BLOCK = 576, 576
@@ -119,7 +121,9 @@ class _Interleaver(HTMLParser):
             if tag == "figure":
                 self.figures.append([])
 
-    handle_startendtag = handle_starttag
+    def handle_startendtag(self, tag, attrs):
+        if tag not in self.HIDDEN:  # a hidden element without content hides nothing
+            self.handle_starttag(tag, attrs)
 
     def _end_caption(self) -> None:
         text = " ".join("".join(self.caption or []).split())
@@ -174,18 +178,19 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 def store(docs: DataFrame, folder: str) -> DataFrame:
     """Store the payload of every text below ``folder``; the table of digest and media.
 
-    Equal payloads are one medium: they are stored once by each task that has them and read as one.
+    Equal payloads are one medium: of those that stand together in a slice one is stored, and all are read as one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, bytes] = {}
-            for x in batch.column(0):
-                payload = payload_of((x.as_py() or "").encode())
-                digest = hashlib.sha256(payload).hexdigest()
-                if digest not in seen:
-                    seen[digest] = encode_png(payload)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.binary())], names=["digest", "media"])
+            for a, b in B.slices(batch.column(0)):
+                seen: dict[str, bytes] = {}
+                for x in batch.column(0).slice(a, b - a):
+                    payload = payload_of((x.as_py() or "").encode())
+                    digest = hashlib.sha256(payload).hexdigest()
+                    if digest not in seen:
+                        seen[digest] = encode_png(payload)
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.binary())], names=["digest", "media"])
 
     docs.select("text").mapInArrow(run, STORED).write.option("compression", "none").parquet(folder)
     return docs.sparkSession.read.schema(STORED).parquet(folder)
@@ -210,9 +215,9 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def resolve(pages: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per item of ``pages`` (key, items), in its place, with the columns of ``media`` (by digest) where its reference resolves, else null."""
-    items = pages.select(key, F.explode("items").alias("item")).select(key, "item.*")
-    return items.join(media, items["ref"] == media["digest"], "left").drop("digest")
+    """One row per item of ``pages`` (key, items), in its place, with the columns of ``media`` (one row a digest) where its reference resolves, else null."""
+    items = save(pages.select(key, F.explode("items").alias("item")).select(key, "item.*"), "items")
+    return join_one(items, media.withColumnRenamed("digest", "ref"), ["ref"], "left")
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_dir
+from .skew import join_one
 
 
 @dataclass(frozen=True)
@@ -103,10 +104,15 @@ def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     found.write.mode("append").parquet(ledger)
 
 
+def _found(spark: SparkSession, ledger: str, version: str) -> DataFrame:
+    """blob and spans of the blobs with any; one row each, though two scans at a time may both have added it."""
+    held = spark.read.schema(LEDGER).parquet(ledger).filter((F.col("rules") == version) & (F.size("spans") > 0))
+    return held.select("blob", "spans").dropDuplicates(["blob"])
+
+
 def findings(docs: DataFrame, ledger: str, version: str = RULES_VERSION) -> DataFrame:
     """doc_id, blob and spans (empty where none) of every row of ``docs``."""
-    held = docs.sparkSession.read.schema(LEDGER).parquet(ledger).filter((F.col("rules") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    return blobs(docs).select("doc_id", "blob").join(held, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    return join_one(blobs(docs).select("doc_id", "blob"), _found(docs.sparkSession, ledger, version), ["blob"], "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -131,8 +137,7 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -
     """``docs`` with every span found replaced by ``mark`` (overlapping spans by one), n_chars following; other rows and columns stay."""
     ledger = ledger or new_ledger(docs.sparkSession)
     update_ledger(docs, ledger)
-    held = docs.sparkSession.read.schema(LEDGER).parquet(ledger).filter((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0))
-    held = held.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    held = _found(docs.sparkSession, ledger, RULES_VERSION).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     text = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
@@ -143,7 +148,7 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -
 
     done = F.aggregate(F.col("_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     clean = F.when(F.col("_spans").isNotNull(), F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
-    out = docs.withColumn("_blob", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).join(held, "_blob", "left").withColumn("text", clean)
+    out = join_one(docs.withColumn("_blob", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), held, ["_blob"], "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

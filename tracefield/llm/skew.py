@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def hot_keys(rows: DataFrame, key: Column) -> list[int]:
 def join_one(rows: DataFrame, one: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined by ``on`` with ``one``, which has at most one row for each key; ``how``: inner or left.
 
-    Rows of a hot key are dealt by the hash of all their columns, and the row
+    Rows of a hot key are dealt by the hash of their columns, and the row
     that they meet is there once for each share.
     """
     key = F.xxhash64(*on)
@@ -29,6 +31,7 @@ def join_one(rows: DataFrame, one: DataFrame, on: list[str], how: str = "inner")
     if not hot:
         return rows.join(one, on, how)
     is_hot = key.isin(hot)
-    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit(1), *rows.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("long"))
+    plain = [f.name for f in rows.schema if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]  # of types that can be hashed
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit(1), *plain), F.lit(SALTS))).otherwise(F.lit(0)).cast("long"))
     shares = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     return salted.join(one.withColumn("_salt", F.explode(shares)), [*on, "_salt"], how).drop("_salt")

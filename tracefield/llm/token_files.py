@@ -108,11 +108,12 @@ def encode_to_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, s
     Returns the manifest (one row a file): part, n_docs, n_tokens and the
     number ``start`` of ids in all files before it. Null texts count as empty.
     Repeated doc_ids stand side by side, in the order of their texts; a null
-    doc_id comes first. An empty table gives no files.
+    doc_id comes first. An empty table gives no files. Rows of one doc_id with
+    texts that begin differently may be dealt over several files.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // FILE_BYTES))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, writer = Encoder.of(tokenizer), TaskContext.get().partitionId(), None
