@@ -24,31 +24,38 @@ def _positive(v: Column) -> Column:
     return F.transform(v, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
 
 
-def _smooth(v: Column, get) -> Column:
-    """Each positive value becomes the kernel sum over itself and, on either side, the values up to the first that is not positive."""
+def _smooth(v: Column, shifted) -> Column:
+    """Each positive value becomes the kernel sum over itself and, on either side, the values up to the first that is not positive.
+
+    ``shifted`` gives the vector moved by some places. The seven vectors lie
+    side by side, so that a value costs seven looks whatever the length.
+    """
     p = _positive(v)
+    side = F.arrays_zip(p.alias("x"), *(shifted(p, sign * k).alias(f"{name}{k}") for sign, name in ((1, "a"), (-1, "b")) for k in (1, 2, 3)))
 
-    def one(x: Column, i: Column) -> Column:
-        total = x * KERNEL[0]
-        for sign in (1, -1):
+    def one(z: Column) -> Column:
+        total = z["x"] * KERNEL[0]
+        for name in ("a", "b"):
             reach = F.lit(1.0)
             for k, weight in enumerate(KERNEL[1:], 1):
-                y = get(p, i + sign * k)
+                y = z[f"{name}{k}"]
                 reach = F.when(y > 0, reach).otherwise(F.lit(0.0))
                 total = total + reach * y * weight
-        return F.when(x > 0, total).otherwise(F.lit(0.0))
+        return F.when(z["x"] > 0, total).otherwise(F.lit(0.0))
 
-    return F.transform(p, one)
+    return F.when(F.size(v) > 0, F.transform(side, one)).otherwise(v.cast("array<double>"))
 
 
 def blur_circular(v: Column) -> Column:
-    return _smooth(v, at)
+    turned = lambda p, k: F.concat(F.slice(p, F.pmod(F.lit(k), F.size(v)) + 1, F.size(v)), F.slice(p, F.lit(1), F.pmod(F.lit(k), F.size(v))))
+    return _smooth(v, turned)
 
 
 def blur_linear(v: Column) -> Column:
     """The same on a line: beyond its ends there is nothing."""
-    inside = lambda p, i: F.when((i >= 0) & (i < F.size(p)), at(p, i)).otherwise(F.lit(0.0))
-    return _smooth(v, inside)
+    beyond = F.array(*(F.lit(0.0) for _ in KERNEL[1:]))
+    moved = lambda p, k: F.slice(F.concat(beyond, p, beyond), F.lit(len(KERNEL) + k), F.size(v))
+    return _smooth(v, moved)
 
 
 def _is_peak(v: Column, i: Column, strict: bool = True) -> Column:

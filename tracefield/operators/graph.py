@@ -6,6 +6,8 @@ them delete one by one is a join here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ WINDOW_METERS, SAME, OPPOSITE = 12.5, 0.1, 1.9
 DEAD_END_REACH, CHORD = 0.0005, 1.4
 NEAR_ROAD = 0.00035
 MERGED_SCORE = 10.0
+#: Rounds of shortest paths after which outdated labels are dropped.
+COMPACT = 8
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -119,25 +123,30 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: int = 100_000, b
     """Distances along edges (src, dst, length) from every source (id): source, id, distance and before (the vertex before it; null at the source).
 
     Labels are corrected round by round: only vertices that came nearer in the
-    last round are extended. Equal distances go to the least vertex before.
+    last round are extended, and only what they reach is compared with the
+    labels so far. Nearer labels are added to these; every few rounds the
+    outdated ones are dropped. Equal distances go to the least vertex before.
     ``bound``: no path goes beyond this distance.
     """
     hop = edges.select(F.col("src").alias("id"), F.col("dst").alias("next"), "length")
-    settled = save(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("before")).distinct(), "distances")
-    front = settled
+    front = save(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("before")).distinct(), "distances")
+    labels = [front]
+    together = lambda: reduce(DataFrame.unionByName, labels)
+    nearest = lambda rows: rows.groupBy("source", "id").agg(F.min(F.struct("distance", "before")).alias("m")).select("source", "id", "m.*")
     for _ in range(limit):
         step = front.join(hop, "id").select("source", F.col("next").alias("id"), (F.col("distance") + F.col("length")).alias("distance"), F.col("id").alias("before"))
         if bound is not None:
             step = step.filter(F.col("distance") <= bound)
-        best = step.groupBy("source", "id").agg(F.min(F.struct("distance", "before")).alias("new"))
-        # One join tells what is nearer and keeps the rest.
-        both = save(settled.join(best, ["source", "id"], "full_outer").withColumn("nearer", F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new.distance") < F.col("distance")))), "relaxed")
-        pick = lambda c: F.when(F.col("nearer"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
-        settled = both.select("source", "id", pick("distance"), pick("before"))
-        front = both.filter("nearer").select("source", "id", F.col("new.distance").alias("distance"))
+        # A label so far that is no farther stands in the way.
+        known = together().select("source", "id", F.col("distance").alias("had"))
+        best = nearest(step)
+        front = save(best.join(known, (best["source"] == known["source"]) & (best["id"] == known["id"]) & (known["had"] <= best["distance"]), "left_anti"), "nearer")
         if front.limit(1).count() == 0:
             break
-    return settled
+        labels.append(front)
+        if len(labels) > COMPACT:
+            labels = [save(nearest(together()), "distances")]
+    return nearest(together())
 
 
 def paths_to(distances: DataFrame, targets: DataFrame) -> DataFrame:
@@ -169,14 +178,21 @@ def locations(trails: DataFrame, every: int = 20) -> DataFrame:
 def simple_paths(edges: DataFrame, starts: DataFrame, length: int = 6, limit: int = 41) -> DataFrame:
     """Paths of ``length`` vertices from each start (id) that never go straight back, at most ``limit`` a start in order of their vertices: start and path."""
     hop = edges.select(F.col("src").alias("last"), F.col("dst").alias("next"))
+    # Edges after which as many more can follow: every beginning that is kept can be finished,
+    # so that the first ones of each hop have the first paths in them.
+    ways = [hop]
+    for _ in range(length - 2):
+        more = ways[-1].select(F.col("last").alias("_via"), F.col("next").alias("_to"))
+        ways.append(save(hop.join(more, (F.col("next") == F.col("_via")) & (F.col("last") != F.col("_to")), "left_semi"), "ways"))
     now = starts.select(F.col("id").alias("start"), F.array("id").alias("path"))
+    rank = F.row_number().over(Window.partitionBy("start").orderBy("path"))
     for k in range(1, length):
-        now = now.withColumn("last", F.element_at("path", -1)).join(hop, "last")
+        now = now.withColumn("last", F.element_at("path", -1)).join(ways[length - 1 - k], "last")
         if k > 1:
             now = now.filter(F.col("next") != F.element_at("path", -2))
         now = now.select("start", F.array_append("path", F.col("next")).alias("path"))
-    rank = F.row_number().over(Window.partitionBy("start").orderBy("path"))
-    return now.withColumn("_k", rank).filter(F.col("_k") <= limit).drop("_k")
+        now = now.withColumn("_k", rank).filter(F.col("_k") <= limit).drop("_k")
+    return now
 
 
 def resolve_chains(merges: DataFrame, limit: int = 60) -> DataFrame:

@@ -181,9 +181,14 @@ def direction_scores(samples: DataFrame, paths: DataFrame, bins: int = geo.BINS,
     ring = ring.withColumn("to", geo.probe(F.col("p0.lat"), F.col("p0.lon"), F.col("p0.dist"), F.col("bin") * F.lit(360.0 / bins)))
     leg = lambda k, a, r1, r2, d: ring.select("qid", "bin", F.lit(k).alias("leg"), F.col(f"{a}.lat").alias("lat1"), F.col(f"{a}.lon").alias("lon1"), F.col(r1).alias("r1"), F.col("to.lat").alias("lat2"), F.col("to.lon").alias("lon2"), F.col(r2).alias("r2"), d.alias("dist"))
     probes = leg(1, "p0", "p0.radius", "p0.radius", F.col("p0.dist")).unionByName(leg(2, "p1", "p0.radius", "p1.radius", F.col("p0.dist") + F.col("p1.dist")))
-    hits = match(samples, probes, ["qid", "bin", "leg"], metric).groupBy("qid", "bin", "trip_id").agg(F.count("*").alias("legs")).filter("legs = 2")
-    kept = hits.join(history_trips(samples, paths, metric).select("qid", "trip_id"), ["qid", "trip_id"], "left_semi")
-    counts = kept.groupBy("qid", "bin").agg(F.count("*").alias("n"))
+    # Legs of the history and of the probes are matched at once; each trip has its history and the bins of either probe leg.
+    legs = history_legs(paths)
+    needed = legs.groupBy("qid").agg(F.count("*").alias("needed"))
+    found = match(samples, probes.unionByName(legs.withColumn("bin", F.lit(-1))), ["qid", "bin", "leg"], metric)
+    of = lambda k: F.collect_list(F.when((F.col("bin") >= 0) & (F.col("leg") == k), F.col("bin"))).alias(f"bins{k}")  # noqa: E731  (a bin once at most)
+    trips = found.groupBy("qid", "trip_id").agg(F.count_if(F.col("bin") < 0).alias("made"), of(1), of(2))
+    trips = trips.join(needed, "qid").filter("made = needed")
+    counts = trips.select("qid", F.explode(F.array_intersect("bins1", "bins2")).alias("bin")).groupBy("qid", "bin").agg(F.count("*").alias("n"))
     return ring.select("qid", "bin").join(counts, ["qid", "bin"], "left").select("qid", "bin", F.coalesce("n", F.lit(0)).alias("n_trips"))
 
 

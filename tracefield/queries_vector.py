@@ -75,16 +75,16 @@ _SEGMENT_SCHEMA = "sid INT, ax DOUBLE, ay DOUBLE, bx DOUBLE, by_ DOUBLE"
 @query(
     W
     + sql_values(_SEGMENTS, _SEGMENT_SCHEMA, "g")
-    + """, l AS (SELECT g.*, s.trip_id, s.idx, s.lat AS px, s.lon AS py, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS len FROM samples s CROSS JOIN g WHERE s.idx % 50 = 0)
+    + """, l AS (SELECT g.*, s.trip_id, s.idx, s.lat AS px, s.lon AS py, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS len FROM samples s CROSS JOIN g)
 SELECT sid, trip_id, idx, round(CASE WHEN len = 0 OR ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) < 0 THEN sqrt(pow(px - ax, 2) + pow(py - ay, 2))
  WHEN ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / len > len THEN sqrt(pow(px - bx, 2) + pow(py - by_, 2)) ELSE abs((px - ax) * (by_ - ay) - (py - ay) * (bx - ax)) / len END, 8) AS distance FROM l"""
 )
 def point_segment_distance(spark, sf_dir):
-    """Distances of every tenth sample of a trip to a few segments."""
+    """Distances of all samples to a few segments."""
     segments = F.broadcast(values(spark, _SEGMENTS, _SEGMENT_SCHEMA))  # a literal of four rows
     c = F.col
     d = geo.point_segment(c("lat"), c("lon"), c("ax"), c("ay"), c("bx"), c("by_"))
-    rows = samples(spark, sf_dir).filter("idx % 50 = 0").crossJoin(segments)  # a stated query set against all rows
+    rows = samples(spark, sf_dir).crossJoin(segments)  # a stated query set against all rows
     return rows.select("sid", "trip_id", "idx", F.round(d, 8).alias("distance"))
 
 
@@ -294,7 +294,7 @@ query()(kde_similarity)
 
 # --- similarity ------------------------------------------------------------------------------------
 
-_PATHS = "w AS (SELECT trip_id, idx, lat, lon FROM samples WHERE idx < 200)"
+_PATHS = "w AS (SELECT trip_id, row_number() OVER (PARTITION BY trip_id ORDER BY idx) AS idx, lat, lon FROM samples)"
 
 
 def _path_pairs(s):
@@ -305,24 +305,20 @@ def _path_pairs(s):
     return paths.join(other, "trip_id").select(F.col("trip_id").alias("pid"), F.col("path").alias("path_a"), "path_b")
 
 
-def _trip_pairs(spark, sf_dir):
-    """Their first 40 samples, of pairs with equally many; the SQL of path_raw_similarity has these bounds."""
-    return _path_pairs(samples(spark, sf_dir).filter("idx < 200")).filter(F.size("path_a") == F.size("path_b"))
-
-
 @query(
     W
     + _PATHS
-    + """, n AS (SELECT trip_id, count(*) AS n FROM w GROUP BY trip_id), j AS (SELECT a.trip_id AS pid, a.idx, a.lat AS al, a.lon AS ao, b.lat AS bl, b.lon AS bo FROM w a JOIN w b ON b.trip_id = a.trip_id + 4 AND a.idx = b.idx JOIN n na ON na.trip_id = a.trip_id JOIN n nb ON nb.trip_id = b.trip_id AND na.n = nb.n),
+    + """, j AS (SELECT a.trip_id AS pid, a.idx, a.lat AS al, a.lon AS ao, b.lat AS bl, b.lon AS bo FROM w a JOIN w b ON b.trip_id = a.trip_id + 4 AND a.idx = b.idx),
 m AS (SELECT pid, avg(bl - al) AS x, avg(bo - ao) AS y FROM j GROUP BY pid)
 SELECT j.pid, round(sum(sqrt(pow(al - bl, 2) + pow(ao - bo, 2))), 7) AS total, round(sum(al - bl), 7) AS dlat, round(sum(ao - bo), 7) AS dlon,
  round(sum(CASE WHEN sqrt(pow(al - bl, 2) + pow((ao - bo) * cos(radians(al)), 2)) > 1e-5 THEN 1000e0 ELSE sqrt(pow(al - bl, 2) + pow((ao - bo) * cos(radians(al)), 2)) END), 5) AS cut, round(avg(sqrt(pow(al - bl + x, 2) + pow(ao - bo + y, 2))), 8) AS unbiased FROM j JOIN m USING (pid) GROUP BY j.pid"""
 )
 def path_raw_similarity(spark, sf_dir):
-    """Sums of distances of paths in pairs of points, plain, cut off and without their mean difference."""
-    a, b = F.col("path_a"), F.col("path_b")
+    """Sums of distances of whole trips in pairs of points (as many as the shorter has), plain, cut off and without their mean difference."""
+    n = F.least(F.size("path_a"), F.size("path_b"))
+    a, b = F.slice("path_a", F.lit(1), n), F.slice("path_b", F.lit(1), n)
     plain, cut = similarity.raw(a, b), similarity.raw_latlon(a, b, 1e-5)
-    return _trip_pairs(spark, sf_dir).select("pid", F.round(plain["total"], 7).alias("total"), F.round(plain["dlat"], 7).alias("dlat"), F.round(plain["dlon"], 7).alias("dlon"), F.round(cut["total"], 5).alias("cut"), F.round(similarity.unbiased(a, b), 8).alias("unbiased"))
+    return _path_pairs(samples(spark, sf_dir)).select("pid", F.round(plain["total"], 7).alias("total"), F.round(plain["dlat"], 7).alias("dlat"), F.round(plain["dlon"], 7).alias("dlon"), F.round(cut["total"], 5).alias("cut"), F.round(similarity.unbiased(a, b), 8).alias("unbiased"))
 
 
 @query()
