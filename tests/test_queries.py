@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tracefield import queries, queries_graph, queries_vector  # noqa: F401
+from tracefield import queries, queries_graph, queries_more, queries_vector  # noqa: F401
 
 NAMES = sorted(queries.SQL)
 

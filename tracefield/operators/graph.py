@@ -243,14 +243,15 @@ def marbles(vertices: DataFrame, edges: DataFrame, starts: DataFrame, step: floa
     e = dedupe_edges(e.filter("score > 0")).join(alive, "dst").select("src", "dst", "length", "lat1", "lon1", "lat2", "lon2")
     near = shortest_paths(e, starts, bound=reach)
     rows = near.join(e, near["id"] == e["src"]).filter(F.col("before").isNull() | (F.col("dst") != F.col("before"))).filter("length > 0")
-    first = F.ceil(F.col("distance") / step) * step - F.col("distance")
+    # Rounded, so that a place which falls on a vertex is not lost or doubled by the last bit.
+    first = F.ceil(F.round(F.col("distance") / step, 6)) * step - F.col("distance")
     most = F.least(F.col("length"), reach - F.col("distance"))
-    n = F.floor((most - first) / step).cast("int")
+    n = F.floor(F.round((most - first) / step, 6)).cast("int")
     rows = rows.withColumn("_first", first).withColumn("_most", most).filter(F.col("_first") < F.col("length")).filter(n >= 0)
     rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), n)))
     alpha = (F.col("_first") + F.col("_k") * step) / F.col("length")
-    rows = rows.filter((alpha < 1) & (F.col("distance") + F.col("length") * alpha <= reach))
-    at = lambda c: F.round(geo.lerp(F.col(f"{c}1"), F.col(f"{c}2"), alpha), 9).alias(c)
+    rows = rows.filter(alpha < 1 - 1e-9)
+    at = lambda c: F.round(geo.lerp(F.col(f"{c}1"), F.col(f"{c}2"), alpha), 8).alias(c)
     return rows.select(F.col("source").alias("start"), at("lat"), at("lon")).distinct()
 
 
@@ -282,7 +283,8 @@ def parallel_edges(edges: DataFrame, vertices: DataFrame, threshold: float = 1.0
     pairs = pairs.filter((turn <= SAME) | (turn >= OPPOSITE)).withColumn("left", hit(1.0)).withColumn("right", hit(-1.0))
     length = F.when(c("left.ok"), c("left.length")).when(c("right.ok"), c("right.length"))
     pairs = pairs.withColumn("distance", length).filter(F.col("distance") < reach)
-    return pairs.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("best")).select("id", "best.other", "best.distance")
+    near = F.struct(F.round("distance", 12).alias("near"), F.col("other"), F.col("distance"))
+    return pairs.groupBy("id").agg(F.min(near).alias("best")).select("id", "best.other", "best.distance")
 
 
 def crossings(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -324,7 +326,7 @@ def dead_end_links(vertices: DataFrame, edges: DataFrame, reach: float = DEAD_EN
     bend = lambda a, b: geo.planar(c(f"{a}.dlat"), c(f"{a}.dlon"), c(f"{b}.dlat"), c(f"{b}.dlon")) < CHORD
     distance = geo.latlon_distance(c("lat1"), c("lon1"), c("lat2"), c("lon2"))
     inside = (F.abs(c("lat2") - c("lat1")) <= reach) & (F.abs(c("lon2") - c("lon1")) <= F.lit(reach) / F.cos(F.radians("lat1")))
-    best = pairs.filter(inside & bend("u", "v") & bend("v", "w")).groupBy("id").agg(F.min(F.struct(distance.alias("distance"), "to")).alias("best"))
+    best = pairs.filter(inside & bend("u", "v") & bend("v", "w")).groupBy("id").agg(F.min(F.struct(F.round(distance, 12).alias("near"), "to", distance.alias("distance"))).alias("best"))
     return best.select(F.col("id").alias("src"), F.col("best.to").alias("dst"), "best.distance")
 
 
@@ -343,7 +345,7 @@ def bridge(vertices_a: DataFrame, edges_a: DataFrame, vertices_b: DataFrame, edg
     pairs = segment_pairs(ends, roads, 2 * reach)
     hit = geo.ray_segment(c("p_lat"), c("p_lon"), c("d_lat"), c("d_lon"), c("lat1"), c("lon1"), c("lat2"), c("lon2"))
     pairs = pairs.withColumn("_hit", hit).filter("_hit.ok").withColumn("distance", geo.latlon_distance(c("p_lat"), c("p_lon"), c("_hit.x"), c("_hit.y"))).filter(F.col("distance") <= reach)
-    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "edge", F.col("_hit.x").alias("lat"), F.col("_hit.y").alias("lon"))).alias("best"))
+    best = pairs.groupBy("id").agg(F.min(F.struct(F.round("distance", 9).alias("near"), "edge", "distance", F.col("_hit.x").alias("lat"), F.col("_hit.y").alias("lon"))).alias("best"))
     return best.select("id", "best.edge", "best.lat", "best.lon", "best.distance")
 
 

@@ -80,12 +80,15 @@ def window_similarity(a: np.ndarray, b: np.ndarray, threshold: float = FAR) -> f
         return NEVER
     p, q = resample(a), resample(b)
     n = min(len(p), len(q))
-    best = NEVER
-    for i in range(n - WINDOW):
-        for j in range(n - WINDOW):
-            d = _distances(p[i : i + WINDOW], q[j : j + WINDOW])
-            best = min(best, float(np.where(d > threshold, 1000.0, d).sum()))
-    return best
+    m = n - WINDOW
+    if m <= 0:
+        return NEVER
+    # All distances once; a window pair's sum lies along a diagonal.
+    d = _distances(p[:n, None], q[None, :n])
+    d = np.where(d > threshold, 1000.0, d)
+    steps = np.arange(WINDOW)
+    i, j = np.meshgrid(np.arange(m), np.arange(m), indexing="ij")
+    return float(min(NEVER, d[i[..., None] + steps, j[..., None] + steps].sum(-1).min()))
 
 
 def window_similarities(pairs: DataFrame, threshold: float = FAR) -> DataFrame:
