@@ -128,6 +128,7 @@ def encode_to_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, s
                 inner[np.cumsum(lengths) - 1] = False
                 out[inner] = ids
                 writer.add(batch.column(0).slice(a, b - a), out, lengths)
+        B.trim()
         if writer:
             n, t = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([t], pa.int64())], names=["part", "n_docs", "n_tokens"])
