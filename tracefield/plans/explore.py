@@ -11,6 +11,7 @@ Ties are broken by node and bin, so that a run is determined by its input.
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass, field
 
@@ -37,10 +38,15 @@ NOISE = (0.00005, 0.00007, 0.00009, 0.00011, 0.00013, 0.00015)
 # middle that count as the road itself), the least share of a branch's peak, its longest gap, and its reach.
 LATERAL, LATERAL_RADIUS, LATERAL_END, LATERAL_STEP, HALF, OWN = ((18, 12), (24, 18), (29, 18)), 0.0001, 0.00002, 0.000015, 35, 10
 BRANCH_SHARE, BRANCH_GAP, BRANCH_REACH, BRANCH_WAIT = 0.05, 0.0005, 0.00015, 5
+# Bounds of a node's radius; places on either side of a node's direction that are always open, and the value of
+# a sibling that ends a side.
+RADIUS, AHEAD, SIBLING = (0.00005, 0.000125), 2, 0.1
+#: Degrees of a cell of the driver's index of nodes; no segment is longer.
+CELL = 0.0005
 BINS = geo.BINS
 KERNEL = (0.214607, 0.189879, 0.131514, 0.071303)
 
-NODES = "tree int, node int, parent int, lat double, lon double, direction int, depth int, scores array<double>, merged_tree int, merged_node int, kind int, references int, removed boolean, dead boolean, outside boolean, init double"
+NODES = "tree int, node int, parent int, lat double, lon double, direction int, depth int, scores array<double>, merged_tree int, merged_node int, kind int, references int, removed boolean, dead boolean, outside boolean, init double, radius double, ways array<int>, jumped boolean"
 
 BRANCHES = "tree int, start int, seen int, wait int, shape array<array<double>>, state string"
 
@@ -65,6 +71,9 @@ class Node:
     dead: bool = False
     outside: bool = False
     init: float = -1.0
+    radius: float = NODE_RADIUS
+    ways: list[int] = field(default_factory=list)  # directions open to it, once it has been looked at
+    jumped: bool = False  # from a branch's shape
 
     def row(self) -> tuple:
         return tuple(getattr(self, c.split()[0]) for c in NODES.split(", "))
@@ -91,10 +100,10 @@ def thinned(path: list["Node"], noise: float) -> list[tuple[float, float, float,
     along = [0.0]
     for x, y in zip(path, path[1:]):
         along.append(along[-1] + math.hypot(x.lat - y.lat, (x.lon - y.lon) * math.cos(math.radians(x.lat))))
-    out, last = [(path[0].lat, path[0].lon, NODE_RADIUS, STEP)], 0
+    out, last = [(path[0].lat, path[0].lon, path[0].radius, STEP)], 0
     for i, x in enumerate(path[1:], 1):
         d = along[i] - along[last]
-        r = max(NODE_RADIUS, noise)
+        r = max(x.radius, noise)
         if d != 0 and out[-1][2] + r > d:
             if i < len(path) - 1:
                 continue
@@ -105,8 +114,8 @@ def thinned(path: list["Node"], noise: float) -> list[tuple[float, float, float,
     return out
 
 
-def smoothed(scores: list[float]) -> list[float]:
-    """The masked circular smoothing of one vector of scores."""
+def smoothed(scores: list[float], circular: bool = True) -> list[float]:
+    """The masked smoothing of one vector of scores on a circle or a line."""
     v, n = [max(0.0, x) for x in scores], len(scores)
     out = [0.0] * n
     for j in range(n):
@@ -115,7 +124,7 @@ def smoothed(scores: list[float]) -> list[float]:
         total = v[j] * KERNEL[0]
         for sign in (1, -1):
             for k, w in enumerate(KERNEL[1:], 1):
-                y = v[(j + sign * k) % n]
+                y = v[(j + sign * k) % n] if circular or 0 <= j + sign * k < n else 0.0
                 if y <= 0:
                     break
                 total += y * w
@@ -129,6 +138,26 @@ def tops(v: list[float]) -> list[float]:
     return [v[i] if v[i] > 0 and v[(i + 1) % n] > 0 and v[i - 1] > 0 and v[i] >= v[i - 1] and v[i] >= v[(i + 1) % n] else 0.0 for i in range(n)]
 
 
+def half_width(v: list[float], half: int = HALF) -> float:
+    """A node's radius: half the way over which a profile stays above half its highest peak around the middle, within bounds."""
+    top = max((v[i] for i in range(1, len(v) - 1) if v[i] > v[i - 1] > 0 and v[i] > v[i + 1] > 0), default=0.0) / 2
+    run = lambda places: next((k for k, p in enumerate(places) if not v[p] > top), len(places))
+    width = run(range(half, 2 * half + 1)) + run(range(half - 1, 0, -1))
+    return min(max((width - 1) * LATERAL_STEP / 2, RADIUS[0]), RADIUS[1])
+
+
+def sector(direction: int, siblings: list[float]) -> list[int]:
+    """Directions open to a node: beside its own, and on either side a third of the circle up to the first sibling that still waits."""
+    out = {(direction + i) % BINS for i in range(-AHEAD, AHEAD + 1)}
+    for sign in (1, -1):
+        for i in range(AHEAD, BINS // 3 - 2 + AHEAD):
+            at = (direction + sign * i) % BINS
+            if siblings[at] > SIBLING:
+                break
+            out.add(at)
+    return sorted(out)
+
+
 class Forest:
     """Road trees of a configuration over a dataset of samples."""
 
@@ -138,6 +167,18 @@ class Forest:
         self.trees: list[list[Node]] = []
         self.branches: list[Branch] = []
         self.rounds = 0
+        self.cells: dict[tuple[int, int], list[Node]] = {}
+        self.open: dict[int, list[tuple[int, int]]] = {}
+
+    def _add(self, n: Node) -> None:
+        """Enter a node in the index of places and among those that may grow."""
+        self.cells.setdefault((math.floor(n.lat / CELL), math.floor(n.lon / CELL)), []).append(n)
+        heapq.heappush(self.open.setdefault(n.tree, []), (n.depth, n.node))
+
+    def _near(self, lat: float, lon: float, reach: int = 2) -> list[Node]:
+        """All nodes within some cells of a place."""
+        a, b = math.floor(lat / CELL), math.floor(lon / CELL)
+        return [n for i in range(a - reach, a + reach + 1) for j in range(b - reach, b + reach + 1) for n in self.cells.get((i, j), ())]
 
     # --- state ---------------------------------------------------------------------------------
 
@@ -145,6 +186,7 @@ class Forest:
         """One root for each entrance, scored at once."""
         for e in self.config.entrances:
             self.trees.append([Node(len(self.trees), 0, 0, e.lat, e.lon, init=e.heading)])
+            self._add(self.trees[-1][0])
         self._score([t[0] for t in self.trees])
 
     def path(self, n: Node, most: int) -> list[Node]:
@@ -185,8 +227,12 @@ class Forest:
         names = [c.split()[0] for c in NODES.split(", ")]
         trees: dict[int, list[Node]] = {}
         for r in tables["nodes"].orderBy("tree", "node").toLocalIterator():
-            trees.setdefault(r["tree"], []).append(Node(**{c: list(r[c]) if c == "scores" else r[c] for c in names}))
+            trees.setdefault(r["tree"], []).append(Node(**{c: list(r[c]) if c in ("scores", "ways") else r[c] for c in names}))
         self.trees = [trees[k] for k in sorted(trees)]
+        self.cells, self.open = {}, {}
+        for t in self.trees:
+            for n in t:
+                self._add(n)
         self.branches = [Branch(r["tree"], r["start"], r["seen"], r["wait"], [tuple(p) for p in r["shape"]], r["state"]) for r in tables["branches"].orderBy("wait", "tree", "seen").toLocalIterator()]
         return True
 
@@ -241,7 +287,9 @@ class Forest:
     def _covered(self, lat: float, lon: float, tree: int) -> bool:
         """Whether a segment of a tree passes a place."""
         k = math.cos(math.radians(lat))
-        for x in self.trees[tree]:
+        for x in self._near(lat, lon, 3):
+            if x.tree != tree:
+                continue
             y = self.trees[tree][x.parent]
             dx, dy = x.lat - y.lat, (x.lon - y.lon) * k
             px, py = lat - y.lat, (lon - y.lon) * k
@@ -251,8 +299,8 @@ class Forest:
                 return True
         return False
 
-    def _look_aside(self, new: list[Node]) -> None:
-        """Profiles across the way at new nodes far enough along; a peak beside the road makes a branch, with the mean path of the trips that go there."""
+    def _profiles(self, new: list[Node]) -> tuple[dict[int, list[float]], dict[tuple[int, int], tuple[float, float]]]:
+        """Smoothed profiles across the way at new nodes far enough along, by their places in ``new``, and the points asked for; a profile sets its node's radius."""
         asked, places = [], {}
         for k, n in enumerate(new):
             up = self.path(n, LATERAL[-1][0] + 1)
@@ -267,12 +315,20 @@ class Forest:
                     places[k, i] = (lat, lon)
                     asked.append(((k * len(LATERAL) + j) * 1000 + i + HALF, up[old].lat, up[old].lon, up[mid].lat, up[mid].lon, lat, lon, LATERAL_RADIUS, LATERAL_RADIUS, LATERAL_END, -1.0, -1.0))
         if not asked:
-            return
+            return {}, places
         schema = "qid int, lat1 double, lon1 double, lat2 double, lon2 double, lat3 double, lon3 double, r1 double, r2 double, r3 double, d1 double, d2 double"
         profiles: dict[int, list[float]] = {}
         for r in self.data.three_point(self.spark.createDataFrame(asked, schema)).filter("n_trips > 0").toLocalIterator():
             if r["n_trips"] >= self.config.least_trips_branch:
                 profiles.setdefault(r["qid"] // 1000 // len(LATERAL), [0.0] * (2 * HALF + 1))[r["qid"] % 1000] += r["n_trips"] / len(LATERAL)
+        for k in {q[0] // 1000 // len(LATERAL) for q in asked}:
+            profiles[k] = smoothed(profiles.get(k, [0.0] * (2 * HALF + 1)), circular=False)
+            new[k].radius = half_width(profiles[k])
+        return profiles, places
+
+    def _look_aside(self, new: list[Node], profiles: dict[int, list[float]], places: dict[tuple[int, int], tuple[float, float]]) -> None:
+        """A peak of a profile beside the road makes a branch, with the mean path of the trips that go there."""
+        schema = "qid int, lat1 double, lon1 double, lat2 double, lon2 double, lat3 double, lon3 double, r1 double, r2 double, r3 double, d1 double, d2 double"
         shapes, waiting = [], []
         for k, v in profiles.items():
             n, up = new[k], self.path(new[k], LATERAL[-1][0] + 1)
@@ -310,11 +366,13 @@ class Forest:
             for a, b in zip(branch.shape, branch.shape[1:]):
                 east = (b[1] - a[1]) * math.cos(math.radians(a[0]))
                 direction = int(math.degrees(math.atan2(east, b[0] - a[0])) % 360 / geo.BIN_DEGREES)
-                n = Node(parent.tree, len(t), parent.node, *b, direction, parent.depth + 1, dead=True)
+                n = Node(parent.tree, len(t), parent.node, *b, direction, parent.depth + 1, dead=True, jumped=True)
                 parent.references += 1
                 t.append(n)
+                self._add(n)
                 parent = n
             parent.dead = False
+            heapq.heappush(self.open[parent.tree], (parent.depth, parent.node))
             branch.state = "taken"
             ends.append(parent)
         return ends
@@ -326,14 +384,13 @@ class Forest:
         for n in new:
             own = {x.node for x in self.path(n, self.config.path_length * 2)}
             near = []
-            for t in self.trees:
-                for x in t:
-                    if x.removed or x.merged_tree >= 0 or (x.tree, x.node) in fresh or (x.tree == n.tree and x.node in own):
-                        continue
-                    if abs(x.lat - n.lat) <= BOX[0] and abs(x.lon - n.lon) <= BOX[1]:
-                        d = math.hypot(x.lat - n.lat, (x.lon - n.lon) * math.cos(math.radians(n.lat)))
-                        if d <= NEAR_NODE:
-                            near.append((d, x.tree, x.node))
+            for x in self._near(n.lat, n.lon, 1):
+                if x.removed or x.merged_tree >= 0 or (x.tree, x.node) in fresh or (x.tree == n.tree and x.node in own):
+                    continue
+                if abs(x.lat - n.lat) <= BOX[0] and abs(x.lon - n.lon) <= BOX[1]:
+                    d = math.hypot(x.lat - n.lat, (x.lon - n.lon) * math.cos(math.radians(n.lat)))
+                    if d <= NEAR_NODE:
+                        near.append((d, x.tree, x.node))
             near.sort()
             for d, tree, node in near if self.config.evaluate_all else near[:3]:
                 a, b = self.path(n, self.config.path_length), self.path(self.trees[tree][node], self.config.path_length)
@@ -364,17 +421,29 @@ class Forest:
 
     # --- growth ------------------------------------------------------------------------------------------
 
+    def _ways(self, n: Node) -> list[float]:
+        """A node's peaks in the directions open to it, which are settled when it is first looked at: those between the siblings that wait then."""
+        v = tops(n.scores)
+        if n.parent == n.node or n.jumped:
+            return v
+        if not n.ways:
+            n.ways = sector(n.direction, tops(self.trees[n.tree][n.parent].scores))
+        allowed = set(n.ways)
+        return [x if i in allowed else 0.0 for i, x in enumerate(v)]
+
     def _choose(self, tree: list[Node]) -> tuple[Node, int] | None:
         """The first node, by depth and number, with a way on, and its best direction (the first of equals)."""
-        for n in sorted(tree, key=lambda x: (x.depth, x.node)):
-            if n.removed or n.outside or n.merged_tree >= 0 or n.dead:
-                continue
-            v = tops(n.scores)
-            best = max(v)
-            if best > 0:
-                return n, v.index(best)
-            if not self.config.keep_dead_ends and n.references == 0 and n.parent != n.node:
-                n.dead = True
+        waiting = self.open.get(tree[0].tree, [])
+        while waiting:
+            n = tree[waiting[0][1]]
+            if not (n.removed or n.outside or n.merged_tree >= 0 or n.dead):
+                v = self._ways(n)
+                best = max(v)
+                if best > 0:
+                    return n, v.index(best)
+                if not self.config.keep_dead_ends and n.references == 0 and n.parent != n.node:
+                    n.dead = True
+            heapq.heappop(waiting)  # it comes back if a merge gives it more
         return None
 
     def _prune(self, n: Node) -> None:
@@ -386,12 +455,12 @@ class Forest:
             if n.references > 0 or max(tops(n.scores)) > 0:
                 return
 
-    def step(self) -> int:
-        """One node for each tree that can grow; how many."""
+    def step(self, one_by_one: bool = False) -> int:
+        """One node for each tree that can grow, or, one by one, for the first such tree alone; how many."""
         new: list[Node] = []
         a, b, c, d = self.config.region
         for t in self.trees:
-            chosen = self._choose(t)
+            chosen = None if one_by_one and new else self._choose(t)
             if chosen is None:
                 continue
             parent, k = chosen
@@ -402,25 +471,31 @@ class Forest:
             for i in (-1, 0, 1):
                 parent.scores[(k + i) % BINS] = -1.0
             t.append(n)
+            self._add(n)
             new.append(n)
         new += self._take_up()
         if new:
+            profiles, places = self._profiles(new)
             self._score(new)
-            self._look_aside(new)
+            self._look_aside(new, profiles, places)
             for (tree, node), (to_tree, to_node, kind) in self._similar(new).items():
                 n, x = self.trees[tree][node], self.trees[to_tree][to_node]
                 x.scores = [y if y > z and z > -0.5 else z for y, z in zip(n.scores, x.scores)]
                 n.scores = [0.0] * BINS
                 n.merged_tree, n.merged_node, n.kind = to_tree, to_node, kind
+                heapq.heappush(self.open[x.tree], (x.depth, x.node))
         self.rounds += 1
         return len(new)
 
-    def explore(self, rounds: int = ROUNDS, folder: str | None = None, every: int = CHECKPOINT) -> int:
-        """Grow until nothing is left or ``rounds`` have been made, with a checkpoint in ``folder`` every so often; the number of nodes."""
+    def explore(self, rounds: int = ROUNDS, folder: str | None = None, every: int = CHECKPOINT, one_by_one: bool = False) -> int:
+        """Grow until nothing is left or ``rounds`` have been made, with a checkpoint in ``folder`` every so often; the number of nodes.
+
+        ``one_by_one``: a tree is grown to its end before the next one, in place of all at a time.
+        """
         if not self.trees and not (folder and self.load(folder)):
             self.plant()
         for _ in range(rounds):
-            if not self.step():
+            if not self.step(one_by_one):
                 break
             if folder and self.rounds % every == 0:
                 self.save(folder)
