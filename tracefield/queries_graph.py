@@ -230,7 +230,7 @@ def kmeans_fixed_iter(spark, sf_dir):
 
 @query()
 def explore_invariants(spark, sf_dir):
-    """Nodes of a short exploration of the crossing from its four arms: each tree's size, and whether what must hold of every node does."""
+    """An exploration of the crossing from its four arms, to the region's border: each tree's size, and whether what must hold of every node does."""
     from .operators.trace import TraceDataset
     from .plans.explore import Forest
     from .queries import dense
@@ -238,10 +238,10 @@ def explore_invariants(spark, sf_dir):
     from .sources.config import Config, Entrance
     from .storage import save
 
-    arms = [(42.3490, -71.1, 0.0), (42.35, -71.1010, 90.0), (42.3510, -71.1, 180.0), (42.35, -71.0990, 270.0)]
-    config = Config([Entrance(a, b, i, h) for i, (a, b, h) in enumerate(arms)], region=(42.345, -71.105, 42.355, -71.095), least_trips=2)
+    arms = [(42.3497, -71.1, 0.0), (42.35, -71.1004, 90.0), (42.3503, -71.1, 180.0), (42.35, -71.0996, 270.0)]
+    config = Config([Entrance(a, b, i, h) for i, (a, b, h) in enumerate(arms)], region=(42.3493, -71.1009, 42.3507, -71.0991), least_trips=2)
     forest = Forest(TraceDataset(save(with_cells(dense(spark, sf_dir)), "samples")), config)
-    forest.explore(rounds=4)
+    forest.explore()
     nodes = forest.table()
     parents = nodes.select("tree", F.col("node").alias("parent"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col("depth").alias("pdepth"))
     rows = nodes.join(parents, ["tree", "parent"])

@@ -81,6 +81,3 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in _scopes.pop():
             drop(spark, path)
 
-
-def release(spark: SparkSession) -> None:
-    """Nothing any more: :func:`save` deletes its shuffle files itself."""
