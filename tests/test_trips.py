@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracefield.operators import cluster, graph, grid, prep, raster, similarity, trace
 from tracefield.plans import components
-from tracefield.plans.explore import Forest, Node, close_merges, forest_graph, smoothed, tops
+from tracefield.plans.explore import Forest, Node, close_merges, forest_graph, half_width, sector, smoothed, tops
 from tracefield.sources import config, graphs, trips
 
 LINES = "1,42.354546,-71.109656,1\n2,42.364546,-71.099656,2\n3,42.374546,-71.089656,3\n4,42.384546,-71.079656,4\n"
@@ -178,6 +178,29 @@ def test_exploration_follows_the_road(spark, straight, tmp_path):
     assert v.count() == 6 and e.count() == 5
 
 
+def test_one_tree_after_the_other(straight):
+    two = [config.Entrance(42.0005, -71.0, 0, 0.0), config.Entrance(42.0020, -71.0, 1, 0.0)]
+    region = (41.99, -71.01, 42.01, -70.99)
+    both, one = (Forest(trace.TraceDataset(straight), config.Config(two, region=region)) for _ in range(2))
+    both.explore(rounds=2)
+    one.explore(rounds=2, one_by_one=True)
+    assert [len(t) for t in both.trees] == [3, 3] and [len(t) for t in one.trees] == [3, 1]
+    assert [(n.lat, n.lon) for n in one.trees[0]] == [(n.lat, n.lon) for n in both.trees[0]]
+
+
+def test_sectors_and_widths_equal_the_column_expressions(spark):
+    from tracefield.functions import vector as V
+
+    rng = np.random.default_rng(5)
+    rows = [(k, int(rng.integers(0, 72)), (rng.random(72) * (rng.random(72) < 0.1)).tolist(), np.maximum(rng.normal(1, 1, 71), 0).tolist()) for k in range(40)]
+    table = spark.createDataFrame(rows, "id int, direction int, siblings array<double>, profile array<double>")
+    got = {r["id"]: (sorted(r["places"]), r["radius"], r["line"]) for r in table.select("id", V.sector(F.col("direction"), F.col("siblings")).alias("places"), V.radius_of(F.col("profile")).alias("radius"), V.blur_linear(F.col("profile")).alias("line")).collect()}
+    for k, direction, siblings, profile in rows:
+        places, radius, line = got[k]
+        assert places == sector(direction, siblings) and abs(radius - half_width(profile)) < 1e-12
+        assert np.allclose(line, smoothed(profile, circular=False))
+
+
 def test_a_branch_is_seen_from_the_side_and_taken_up(spark, tmp_path):
     """Half of the trips leave the road to the east at 0.0025 degrees; the road's tree is planted past the fork."""
     rows = []

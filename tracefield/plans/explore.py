@@ -326,8 +326,9 @@ class Forest:
             new[k].radius = half_width(profiles[k])
         return profiles, places
 
-    def _look_aside(self, new: list[Node], profiles: dict[int, list[float]], places: dict[tuple[int, int], tuple[float, float]]) -> None:
-        """A peak of a profile beside the road makes a branch, with the mean path of the trips that go there."""
+    def _look_aside(self, new: list[Node], found: tuple[dict, dict] | None = None) -> None:
+        """A peak of a profile beside the road makes a branch, with the mean path of the trips that go there; ``found``: the profiles, if they are there."""
+        profiles, places = found or self._profiles(new)
         schema = "qid int, lat1 double, lon1 double, lat2 double, lon2 double, lat3 double, lon3 double, r1 double, r2 double, r3 double, d1 double, d2 double"
         shapes, waiting = [], []
         for k, v in profiles.items():
@@ -475,9 +476,9 @@ class Forest:
             new.append(n)
         new += self._take_up()
         if new:
-            profiles, places = self._profiles(new)
+            profiles = self._profiles(new)
             self._score(new)
-            self._look_aside(new, profiles, places)
+            self._look_aside(new, profiles)
             for (tree, node), (to_tree, to_node, kind) in self._similar(new).items():
                 n, x = self.trees[tree][node], self.trees[to_tree][to_node]
                 x.scores = [y if y > z and z > -0.5 else z for y, z in zip(n.scores, x.scores)]
