@@ -11,11 +11,12 @@
 What is wanted is the components, not all pairs. So a first round verifies the
 best survivor of each member only: copies by the thousand are joined by as many
 links as there are copies. A second round takes the buckets that still hold
-several components, with the members' texts, and goes there through all
-surviving pairs across components, joining components as it finds links; only
-these links leave the task. After it every surviving pair of every bucket has
-been verified or lies within a component. Buckets larger than a block are dealt
-over blocks; members outside a bucket's main component are then taken to its
+several components. Signatures first tell the members that have a surviving
+pair across components; only their texts are sent, and their block goes through
+these pairs, joining components as it finds links; only the links leave the
+task. After it every surviving pair of every bucket has been verified or lies
+within a component. Buckets larger than a block are dealt over blocks;
+signatures of members outside a bucket's main component are then taken to its
 other blocks too.
 """
 
@@ -245,6 +246,19 @@ def best_pairs(members: DataFrame, threshold: float) -> DataFrame:
     return best.select("a", "b")
 
 
+def survivors(members: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``members`` (as above), without signatures, that have a surviving pair in their block."""
+    kept = _MEMBER[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            _, _, (a, b, _) = _pairs_of(table, threshold, 1)
+            rows = table.select(list(kept)).take(pa.array(np.unique(np.concatenate([a, b]))))
+            yield from rows.combine_chunks().to_batches()
+
+    return _dealt(members).mapInArrow(run, "key long, block long, doc long, comp long, probe int")
+
+
 def block_links(members: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that join the components within each block of ``members`` (as above, and text).
 
@@ -364,7 +378,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         now = now.join(open_, ["key", "band"]).withColumn("probe", F.lit(0))  # buckets of one component are done with
         if across:
             now = _probes(now.filter("blocks > 1"))
-        links = links.unionByName(save(block_links(now.join(content, "doc"), threshold), "links"))
+        alive = save(survivors(now.join(signature, "doc"), threshold), "survivors")
+        links = links.unionByName(save(block_links(alive.join(content, "doc"), threshold), "links"))
 
     known = connected_components(links)
     of = classes.join(known, classes["doc"] == known["vertex"], "left").select("h1", "h2", "n_shingles", F.coalesce("component", "doc").alias("component"))
