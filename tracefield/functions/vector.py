@@ -80,6 +80,29 @@ def peaks_linear(v: Column) -> Column:
     return F.filter(F.sequence(F.lit(1), F.size(v) - 2), lambda i: _is_peak(v, i))
 
 
+def peak_gap(v: Column, centre: Column | int = 0, reach: int = 24) -> Column:
+    """The least distance on the circle between peaks that follow each other; null for fewer than two."""
+    places = peaks_circular(v, centre, reach)
+
+    def gaps(p: Column) -> Column:
+        apart = F.transform(p, lambda x, i: F.abs(x - F.element_at(p, F.when(i == 0, F.size(p)).otherwise(i))))
+        return F.when(F.size(p) > 1, F.array_min(F.transform(apart, lambda d: F.least(d, F.size(v) - d))))
+
+    return F.transform(F.array(places), gaps)[0]
+
+
+def blur_apart(v: Column, centre: Column | int = 0, reach: int = 24, gap: int = 4, extra: int = 11) -> Column:
+    """Smoothed on the circle once, then again until all peaks are more than ``gap`` apart, ``extra`` times at most."""
+
+    def again(state: Column, _: Column) -> Column:
+        # An array of one element names the new vector, so that it is made once.
+        smooth = F.transform(F.array(blur_circular(state["v"])), lambda x: F.struct(x.alias("v"), (F.coalesce(peak_gap(x, centre, reach), F.size(x)) > gap).alias("done")))[0]
+        return F.when(state["done"], state).otherwise(smooth)
+
+    first = F.struct(blur_circular(v).alias("v"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(extra)), first, again, lambda state: state["v"])
+
+
 def next_directions(v: Column) -> Column:
     """The values at peaks (ties included) between positive neighbours, else 0."""
     return F.transform(v, lambda x, i: F.when((x > 0) & _is_peak(v, i, False), x.cast("double")).otherwise(F.lit(0.0)))

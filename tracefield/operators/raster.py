@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..plans.components import label
 from . import trace
 from .grid import box_join
 
@@ -16,6 +18,8 @@ from .grid import box_join
 NEAR, AROUND, WEIGHT = 300, 300, 32
 # The merge check's half size in degrees, raster size, blotted middle, radius and deviation.
 HALF_SIZE, SIZE, BLOT, RADIUS, SIGMA, TRUNCATE = 0.004, 512, (192, 320), 0.00005, 4, 4.0
+# How far a way of pixels may lead, how near it must come, and the radius of a drawn vertex.
+REACH, NEAR_TARGET, DISC = 80, 12, 3
 
 
 def steps(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,6 +115,56 @@ def merge_similarity(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("pid", F.coalesce(1.0 - F.col("more") / F.nullif(F.col("all"), F.lit(0.0)), F.lit(0.0)).alias("similarity"))
 
 
+def pixels_linked(pixels: DataFrame, requests: DataFrame, reach: int = REACH, near: int = NEAR_TARGET) -> DataFrame:
+    """Whether set pixels (row, col) lead, side by side or corner to corner, from one place to near another (qid, row, col, row2, col2).
+
+    A way starts at the place's pixel or one of its eight neighbours, stays
+    within ``reach`` pixels of it and ends within ``near`` pixels of the target.
+    qid and linked, one row a request. A request takes the pixels of its own
+    circle only, so that its group is bounded; requests and pixels meet by tile.
+    """
+    tile = lambda c: F.floor(F.col(c) / reach).cast("int")
+    beside = lambda c: F.explode(F.sequence(tile(c) - 1, tile(c) + 1))
+    asked = requests.select("qid", F.col("row").alias("r0"), F.col("col").alias("c0"), "row2", "col2").withColumn("tr", beside("r0")).withColumn("tc", beside("c0"))
+    rows = pixels.select("row", "col").withColumn("tr", tile("row")).withColumn("tc", tile("col")).join(asked, ["tr", "tc"])
+    square = lambda a, b: (F.col("row") - F.col(a)) * (F.col("row") - F.col(a)) + (F.col("col") - F.col(b)) * (F.col("col") - F.col(b))
+    begin = F.greatest(F.abs(F.col("row") - F.col("r0")), F.abs(F.col("col") - F.col("c0"))) <= 1
+    rows = rows.filter(square("r0", "c0") <= reach * reach).select("qid", (F.col("row") - F.col("r0")).alias("y"), (F.col("col") - F.col("c0")).alias("x"), begin.alias("begin"), (square("row2", "col2") <= near * near).alias("end"))
+    wide = 2 * reach + 3
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        at = ((group["y"] + reach + 1) * wide + group["x"] + reach + 1).to_numpy(np.int64)
+        there = np.zeros(wide * wide, bool)
+        there[at] = True
+        places = np.flatnonzero(there)
+        edges = [(places[there[places + d]], places[there[places + d]] + d) for d in (1, wide - 1, wide, wide + 1)]
+        vertices, component = label(*(np.concatenate(x) for x in zip(*edges, (places, places))))
+        of = component[np.searchsorted(vertices, at)]
+        ends = np.intersect1d(of[group["begin"].to_numpy(bool)], of[group["end"].to_numpy(bool)])
+        return pd.DataFrame({"qid": group["qid"].iloc[:1], "linked": [len(ends) > 0]})
+
+    found = rows.groupBy("qid").applyInPandas(linked, rows.select("qid", F.lit(True).alias("linked")).schema)
+    return requests.select("qid").join(found, "qid", "left").select("qid", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+def mask_values(points: DataFrame, mask: DataFrame, region: tuple[float, float, float, float], rows: int, cols: int) -> DataFrame:
+    """``points`` (lat, lon and more) with the ``value`` of a mask (row, col, value; row 0 at the north) over a region, 0 outside of both."""
+    a, b, c, d = region
+    row = ((1.0 - (F.col("lat") - a) / (c - a)) * float(rows)).cast("int")
+    col = ((F.col("lon") - b) / (d - b) * float(cols)).cast("int")
+    inside = geo.in_region(F.col("lat"), F.col("lon"), region)
+    placed = points.withColumn("_row", F.when(inside, row)).withColumn("_col", F.when(inside, col))
+    known = mask.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("value").alias("_value"))
+    return placed.join(known, ["_row", "_col"], "left").select(*points.columns, F.coalesce("_value", F.lit(0)).alias("value"))
+
+
+def discs(pixels: DataFrame, radius: int = DISC) -> DataFrame:
+    """The distinct pixels (row, col) within ``radius`` of the given ones."""
+    near = [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if y * y + x * x <= radius * radius]
+    offset = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in near)))
+    return pixels.withColumn("_o", offset).select((F.col("row") + F.col("_o.y")).alias("row"), (F.col("col") + F.col("_o.x")).alias("col")).distinct()
+
+
 def dense(pixels: DataFrame, rows: int, cols: int, value: str = "cnt") -> np.ndarray:
     """A raster of bounded size as an array on the driver, row 0 at the bottom."""
     if rows * cols > 1 << 26:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from .functions import geo
 from .functions import vector as V
-from .operators import cluster, graph, similarity, trace
-from .queries import P2P_SCHEMA, PI2, SQL, THREE_SCHEMA, W, _P2P_DIST, _THREE_LEGS, _THREE_TRIPS, query, samples, sql_dist, sql_match, sql_values, values
+from .operators import cluster, graph, raster, similarity, trace
+from .queries import CIRCLES, P2P, P2P_SCHEMA, PATH, PI2, SQL, THREE, THREE_SCHEMA, W, _P2P_DIST, _THREE_LEGS, _THREE_TRIPS, query, samples, sql_dist, sql_match, sql_values, values
 from .queries_graph import G, _SHAPES, _USE, _WALK, _distances, _sources, road_graph, table
-from .queries_vector import _E, _sql_at, _vectors, merge_checker
+from .queries_vector import _E, _REGION, _sql_at, _sql_blur, _vectors, merge_checker
+from .sources import graphs, requests
 
 # --- whether trips link places -------------------------------------------------------------------
 
@@ -300,3 +301,96 @@ def cluster_information(spark, sf_dir):
     points = samples(spark, sf_dir).select((F.col("trip_id") * 1_000_000 + F.col("idx")).alias("pid"), "lat", "lon")
     centres = [(r["lat"], r["lon"]) for r in cluster.kmeans(points, 4, 3).orderBy("cluster").collect()]  # four rows
     return spark.range(1).select(F.lit(4).alias("k"), F.round(F.lit(cluster.information(points, centres)), 4).alias("information"))
+
+
+# --- request lines -----------------------------------------------------------------------------------
+
+_LINES = (
+    [(0, "".join(f"{x!r}," for r in THREE for x in r[1:]) + "7,"), (1, "".join(f"{x!r}," for x in THREE[1][1:])), (2, ""), (3, "1,2,x")]
+    + [(4, "S," + "".join(f"{la!r},{lo!r},0.0003,{k / 4!r}," for k, la, lo, _ in CIRCLES))]
+    + [(5 + q, f"{tag},{len(p)}," + "".join(f"{x!r}," for r in p for x in r[2:])) for q, (tag, p) in enumerate((t, [r for r in PATH if r[0] == i]) for t, i in (("N", 0), ("N", 1)))]
+)
+
+
+def _lines(spark):
+    return spark.createDataFrame(_LINES, "line int, text string")
+
+
+@query(SQL["three_point_count"].replace("SELECT req.qid, (SELECT count(*) FROM trips t WHERE t.qid = req.qid) AS n_trips FROM req", ", n AS (SELECT req.qid, (SELECT count(*) FROM trips t WHERE t.qid = req.qid) AS n FROM req) SELECT 0 AS line, string_agg(n, ' ' ORDER BY qid) || ' ' AS text FROM n UNION ALL SELECT 1, n || ' ' FROM n WHERE qid = 1"))
+def request_lines_three_point(spark, sf_dir):
+    """The answers to lines of three-point requests."""
+    asked = requests.three_points(_lines(spark))
+    return requests.replies(trace.three_point(samples(spark, sf_dir), asked), value=F.col("n_trips"))
+
+
+@query(SQL["path_direction_scores"].join(("SELECT CAST(qid + 5 AS INT) AS line, string_agg(n_trips, ' ' ORDER BY bin) || ' ' AS text FROM (", ") GROUP BY qid")))
+def request_lines_directions(spark, sf_dir):
+    """The answers to lines with the newest points of paths: trips in each direction."""
+    asked = requests.paths(_lines(spark)).filter("tag = 'N'")
+    return requests.replies(trace.direction_scores(samples(spark, sf_dir), asked), "bin", value=F.col("n_trips"))
+
+
+# --- smoothing until peaks part, ways of pixels, masks and drawings -------------------------------------
+
+_PLACES = "list_transform(range(-23, 23), lambda i: (i + n) % n)"
+_PEAKS = "list_filter({places}, lambda j: ({x}) > ({a}) AND ({a}) > 0 AND ({x}) > ({b}) AND ({b}) > 0)".format(places=_PLACES, x=_sql_at("j", True), a=_sql_at("(j + 1)", True), b=_sql_at("(j - 1)", True))
+_ONCE = _sql_blur(True).split("list_transform(range(0, n)", 1)[1].rsplit(" AS blurred", 1)[0].replace("round(", "(").replace(", 6)", ")")
+_ONCE = "list_transform(range(0, n)" + _ONCE
+
+
+@query(
+    f"""WITH RECURSIVE {_E}, r(vec_id, n, k, p, done) AS (SELECT vec_id, n, 0, {_ONCE}, FALSE FROM v
+ UNION ALL SELECT vec_id, n, k + 1, p, len(c) < 2 OR list_min(list_transform(range(1, len(c) + 1), lambda i: least(abs(c[i] - c[CASE WHEN i = 1 THEN len(c) ELSE i - 1 END]), n - abs(c[i] - c[CASE WHEN i = 1 THEN len(c) ELSE i - 1 END])))) > 4
+  FROM (SELECT *, {_PEAKS} AS c FROM (SELECT vec_id, n, k, {_ONCE} AS p FROM r WHERE NOT done AND k < 11)))
+SELECT vec_id, list_transform(arg_max(p, k), lambda x: round(x, 6)) AS blurred FROM r GROUP BY vec_id"""
+)
+def blur_until_apart(spark, sf_dir):
+    """Vectors smoothed on the circle until their peaks are more than four places apart."""
+    return _vectors(spark, sf_dir).select("vec_id", F.transform(V.blur_apart(F.col("e")), lambda x: F.round(x, 6)).alias("blurred"))
+
+
+_WAYS = [(0, 150, 200, 180, 200), (1, 150, 200, 150, 260), (2, 10, 10, 20, 20), (3, 150, 200, 250, 200), (4, 151, 201, 150, 200), (5, 150, 200, 190, 240)]
+_WAY_SCHEMA = "qid INT, row INT, col INT, row2 INT, col2 INT"
+
+
+@query(
+    "WITH px AS (SELECT row, col FROM ("
+    + SQL["segment_dda_raster"]
+    + ")), "
+    + sql_values(_WAYS, _WAY_SCHEMA, "req")
+    + """, f AS (WITH RECURSIVE f(qid, row, col) AS (SELECT qid, px.row, px.col FROM req JOIN px ON abs(px.row - req.row) <= 1 AND abs(px.col - req.col) <= 1
+ UNION SELECT f.qid, px.row, px.col FROM f JOIN px ON abs(px.row - f.row) <= 1 AND abs(px.col - f.col) <= 1 JOIN req ON req.qid = f.qid WHERE (px.row - req.row) * (px.row - req.row) + (px.col - req.col) * (px.col - req.col) <= 6400) SELECT * FROM f)
+SELECT qid, EXISTS (SELECT 1 FROM f WHERE f.qid = req.qid AND (f.row - row2) * (f.row - row2) + (f.col - col2) * (f.col - col2) <= 144) AS linked FROM req"""
+)
+def pixel_links(spark, sf_dir):
+    """Whether the pixels that trips touch lead from one place to another."""
+    density = raster.region_density(samples(spark, sf_dir).withColumn("idx", F.expr("idx div 5")), _REGION, 300, 400)
+    return raster.pixels_linked(density, values(spark, _WAYS, _WAY_SCHEMA))
+
+
+_A, _B, _C, _D = _REGION
+
+
+@query(
+    W
+    + f"""placed AS (SELECT trip_id, idx, CASE WHEN lat BETWEEN {_A}e0 AND {_C}e0 AND lon BETWEEN {_B}e0 AND {_D}e0 THEN CAST(trunc((1e0 - (lat - {_A}e0) / ({_C}e0 - {_A}e0)) * 30e0) AS INT) * 40 + CAST(trunc((lon - ({_B}e0)) / ({_D}e0 - ({_B}e0)) * 40e0) AS INT) END AS place FROM samples)
+SELECT trip_id, idx, CAST(CASE WHEN place BETWEEN 0 AND 1199 THEN place * 7 % 5 ELSE 0 END AS INT) AS value FROM placed"""
+)
+def masked_samples(spark, sf_dir):
+    """What a mask says at each sample."""
+    mask = spark.range(1200).select(F.expr("id div 40").cast("int").alias("row"), (F.col("id") % 40).cast("int").alias("col"), (F.col("id") * 7 % 5).cast("int").alias("value"))
+    return raster.mask_values(samples(spark, sf_dir).select("trip_id", "idx", "lat", "lon"), mask, _REGION, 30, 40).select("trip_id", "idx", "value")
+
+
+@query(
+    G
+    + """, b AS (SELECT min(lat) AS a, max(lat) AS c, min(lon) AS b, max(lon) AS d FROM v),
+k AS (SELECT a - (c - a) * 0.1e0 AS la, b - (d - b) * 0.1e0 AS lo, 111111e0 / 100 AS ky, 111111e0 * cos(radians(a)) / 100 AS kx FROM b),
+p AS (SELECT DISTINCT CAST(trunc((lat - la) * ky) AS INT) AS row, CAST(trunc((lon - lo) * kx) AS INT) AS col FROM v, k),
+o AS (SELECT y, x FROM (SELECT unnest(range(-3, 4)) AS y), (SELECT unnest(range(-3, 4)) AS x) WHERE y * y + x * x <= 9)
+SELECT DISTINCT CAST(row + y AS INT) AS row, CAST(col + x AS INT) AS col FROM p, o"""
+)
+def vertex_discs(spark, sf_dir):
+    """The pixels of a drawing's vertices, 100 metres a pixel."""
+    v, _ = road_graph(spark, sf_dir)
+    return graphs.vertex_pixels(v, 100.0)

@@ -120,22 +120,41 @@ def png(raster: np.ndarray, bits: int = 16) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def graph_pixels(vertices: DataFrame, edges: DataFrame, metres: float = 1.0, margin: float = 0.1) -> tuple[DataFrame, int, int]:
-    """The graph's edges as pixels (row, col, cnt) of a raster with a margin, and its rows and columns."""
-    from ..operators.raster import meters_per_degree, rasterise
+def _frame(vertices: DataFrame, metres: float, margin: float) -> tuple[float, float, float, float, int, int] | None:
+    """The least latitude and longitude of a drawing, its pixels a degree, and its rows and columns; None without vertices."""
+    from ..operators.raster import meters_per_degree
 
     b = vertices.agg(F.min("lat").alias("a"), F.min("lon").alias("b"), F.max("lat").alias("c"), F.max("lon").alias("d")).first()
     if b["a"] is None:
-        return rasterise(vertices.limit(0).select(*(F.lit(0).alias(c) for c in ("row1", "col1", "row2", "col2"))), []).withColumn("cnt", F.lit(0)), 0, 0
+        return None
     pad_lat, pad_lon = (b["c"] - b["a"]) * margin, (b["d"] - b["b"]) * margin
     low_lat, low_lon = b["a"] - pad_lat, b["b"] - pad_lon
-    per = 111111.0 / metres, meters_per_degree(b["a"]) / metres
+    rows, cols = 111111.0 / metres, meters_per_degree(b["a"]) / metres
+    return low_lat, low_lon, rows, cols, int((b["c"] + pad_lat - low_lat) * rows) + 1, int((b["d"] + pad_lon - low_lon) * cols) + 1
+
+
+def graph_pixels(vertices: DataFrame, edges: DataFrame, metres: float = 1.0, margin: float = 0.1) -> tuple[DataFrame, int, int]:
+    """The graph's edges as pixels (row, col, cnt) of a raster with a margin, and its rows and columns."""
+    from ..operators.raster import rasterise
+
+    frame = _frame(vertices, metres, margin)
+    if frame is None:
+        return rasterise(vertices.limit(0).select(*(F.lit(0).alias(c) for c in ("row1", "col1", "row2", "col2"))), []).withColumn("cnt", F.lit(0)), 0, 0
+    low_lat, low_lon, rows, cols, *size = frame
     at = lambda c, low, k: ((F.col(c) - F.lit(low)) * F.lit(k)).cast("int")
-    seg = with_ends(edges, vertices).select(at("lat1", low_lat, per[0]).alias("row1"), at("lon1", low_lon, per[1]).alias("col1"), at("lat2", low_lat, per[0]).alias("row2"), at("lon2", low_lon, per[1]).alias("col2"))
-    size = int((b["c"] + pad_lat - low_lat) * per[0]) + 1, int((b["d"] + pad_lon - low_lon) * per[1]) + 1
+    seg = with_ends(edges, vertices).select(at("lat1", low_lat, rows).alias("row1"), at("lon1", low_lon, cols).alias("col1"), at("lat2", low_lat, rows).alias("row2"), at("lon2", low_lon, cols).alias("col2"))
     return rasterise(seg, []).groupBy("row", "col").agg(F.count("*").alias("cnt")), *size
 
 
+def vertex_pixels(vertices: DataFrame, metres: float = 1.0, margin: float = 0.1) -> DataFrame:
+    """The pixels (row, col) of a small disc at each vertex, in the raster of :func:`graph_pixels`."""
+    from ..operators.raster import discs
+
+    low_lat, low_lon, rows, cols, *_ = _frame(vertices, metres, margin) or (0.0, 0.0, 1.0, 1.0)
+    at = lambda c, low, k: ((F.col(c) - F.lit(low)) * F.lit(k)).cast("int")
+    return discs(vertices.select(at("lat", low_lat, rows).alias("row"), at("lon", low_lon, cols).alias("col")).distinct())
+
+
 def svg(edges: DataFrame, vertices: DataFrame, width: int = 1000) -> str:
     """A drawing of a graph of up to ``ONE_DOCUMENT`` edges."""
     rows = with_ends(edges, vertices).select("lat1", "lon1", "lat2", "lon2")
