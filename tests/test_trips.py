@@ -116,6 +116,11 @@ def test_components_both_ways(spark):
     one, two = (sorted(map(tuple, components.connected_components(edges, local=n).collect())) for n in (10**6, 0))
     assert one == two and dict(one)[22] == 1 and dict(one)[6] == 5 and 7 not in dict(one)
     assert components.connected_components(edges.limit(0)).collect() == []
+    rng = np.random.default_rng(7)
+    a, b = np.r_[np.full(300, 500), rng.integers(1000, 1600, 400)], np.r_[np.arange(501, 801), rng.integers(1000, 1600, 400)]  # a hub, and a sparse random graph
+    found = components.connected_components(spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long"), local=0)
+    apart = a != b
+    assert sorted(map(tuple, found.collect())) == sorted(zip(*(x.tolist() for x in components.label(a[apart], b[apart]))))
 
 
 def test_clusters(spark):

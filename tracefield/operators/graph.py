@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..plans.components import connected_components
+from ..plans.components import SHARES, connected_components
 from ..storage import save
 from .grid import segment_pairs
 
@@ -93,12 +93,14 @@ def remove_weak_edges(edges: DataFrame, vertices: DataFrame, threshold: float =
     return rows.filter(~F.coalesce(weak, F.lit(False))).select(*edges.columns)
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (the least id reachable in any direction) and its size."""
-    known = connected_components(edges.select("src", "dst"))
+def components(vertices: DataFrame, edges: DataFrame, **how) -> DataFrame:
+    """id, component (the least id reachable in any direction) and its size; one component may hold most vertices, so each is dealt over groups."""
+    known = connected_components(edges.select("src", "dst"), **how)
     labelled = vertices.select("id").join(known.withColumnRenamed("vertex", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    sizes = labelled.groupBy("component").agg(F.count("*").alias("size"))
-    return labelled.join(sizes, "component").select("id", "component", "size")
+    dealt = labelled.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
+    parts = dealt.groupBy("component", "share").agg(F.count("*").alias("n"))
+    sizes = parts.select("component", "share").join(parts.groupBy("component").agg(F.sum("n").alias("size")), "component")
+    return dealt.join(sizes, ["component", "share"]).select("id", "component", "size")
 
 
 def remove_small_components(vertices: DataFrame, edges: DataFrame, least: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,11 @@
 """Connected components.
 
 Up to ``LOCAL_EDGES`` edges are labelled in one task (their size is counted
-first). Beyond that, by alternating large and small stars: every step is a pair of aggregation and join over the edges; the edges are
-written to the shared folder after each round, so that lineage stays short and
-lost executors cost at most one round. Labels are the least vertex of a
+first). Beyond that, by alternating large and small stars: every step is a pair
+of aggregation and join over the edges, in which the edges of one vertex are
+dealt over ``SHARES`` groups, so that a hub's don't meet in one task. The edges
+are written to the shared folder after each step, so that lineage stays short
+and lost executors cost at most one step. Labels are the least vertex of a
 component. The number of rounds grows with the logarithm of the longest path.
 """
 
@@ -16,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import save
+from ..storage import discard, save
 
 #: Edges that one task takes (16 bytes each).
 LOCAL_EDGES = 1_000_000
+#: Groups that a vertex's edges are dealt over.
+SHARES = 64
 _OUT = "vertex long, component long"
 
 
@@ -58,8 +62,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(least, "a")
+    both = both.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(SHARES)))
+    parts = both.groupBy("a", "share").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m")).select("a", F.least("a", "m").alias("m"))
+    joined = both.join(parts.select("a", "share").join(least, "a"), ["a", "share"])
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -80,7 +86,10 @@ def connected_components(edges: DataFrame, limit: int = 60, local: int = LOCAL_E
         return _in_one_task(now.select(F.col("a").cast("long"), F.col("b").cast("long")))
     mark = None
     for _ in range(limit):
-        now = save(_star(_star(now, True), False), "edges")
+        half = save(_star(now, True), "edges")
+        after = save(_star(half, False), "edges")
+        discard(now, half)
+        now = after
         # The star edges are stable when neither their number nor their sum changes.
         seen = tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
         if seen == mark:
