@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from ..plans.components import connected_components
 from ..storage import save
 from . import bytesops as B
+from .skew import join_one
 
 WORDS = 5
 BANDS, ROWS = 25, 5
@@ -362,7 +363,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rows = reps.select("doc", "n_shingles", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key", "band").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("mass")).filter("size > 1")
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") / BLOCK_SHINGLES)).cast("long")
-    members = rows.join(sizes.select("key", "band", blocks.alias("blocks")), ["key", "band"])
+    members = join_one(rows, sizes.select("key", "band", blocks.alias("blocks")), ["key", "band"])
     members = save(members.select("key", "band", "doc", "blocks", F.pmod(F.xxhash64("doc", "band"), F.col("blocks")).alias("block")), "buckets")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
     texts = save(texts, "texts")
@@ -375,7 +376,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     for across in (False, True)[: 1 + wide]:
         now = save(_with_components(members, links), "members")
         open_ = now.groupBy("key", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "band")
-        now = now.join(open_, ["key", "band"]).withColumn("probe", F.lit(0))  # buckets of one component are done with
+        now = join_one(now, open_, ["key", "band"]).withColumn("probe", F.lit(0))  # buckets of one component are done with
         if across:
             now = _probes(now.filter("blocks > 1"))
         alive = save(survivors(now.join(signature, "doc"), threshold), "survivors")
@@ -383,7 +384,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     known = connected_components(links)
     of = classes.join(known, classes["doc"] == known["vertex"], "left").select("h1", "h2", "n_shingles", F.coalesce("component", "doc").alias("component"))
-    out = table.select("doc_id", "n_shingles", "h1", "h2").join(of, ["h1", "h2", "n_shingles"], "left")
+    out = join_one(table.select("doc_id", "n_shingles", "h1", "h2"), of, ["h1", "h2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
@@ -392,7 +393,7 @@ def _probes(members: DataFrame) -> DataFrame:
     """``members`` of wide buckets, and those outside a bucket's largest component once more in each of its other blocks."""
     sizes = members.groupBy("key", "band", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key", "band").agg(F.max_by("comp", "n").alias("main"))
-    stray = members.join(main, ["key", "band"]).filter("comp <> main").drop("main")
+    stray = join_one(members, main, ["key", "band"]).filter("comp <> main").drop("main")
     away = stray.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("to <> block")
     return members.unionByName(away.withColumn("block", F.col("to")).withColumn("probe", F.lit(1)).drop("to"))
 
