@@ -14,6 +14,11 @@ KERNEL = (0.214607, 0.189879, 0.131514, 0.071303)
 HALF, PLACE, RADIUS = 35, 0.000015, (0.00005, 0.000125)
 
 
+def named(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once however often ``f`` looks at it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def at(v: Column, i: Column) -> Column:
     """The value at a place on the circle."""
     n = F.size(v)
@@ -88,15 +93,14 @@ def peak_gap(v: Column, centre: Column | int = 0, reach: int = 24) -> Column:
         apart = F.transform(p, lambda x, i: F.abs(x - F.element_at(p, F.when(i == 0, F.size(p)).otherwise(i))))
         return F.when(F.size(p) > 1, F.array_min(F.transform(apart, lambda d: F.least(d, F.size(v) - d))))
 
-    return F.transform(F.array(places), gaps)[0]
+    return named(places, gaps)
 
 
 def blur_apart(v: Column, centre: Column | int = 0, reach: int = 24, gap: int = 4, extra: int = 11) -> Column:
     """Smoothed on the circle once, then again until all peaks are more than ``gap`` apart, ``extra`` times at most."""
 
     def again(state: Column, _: Column) -> Column:
-        # An array of one element names the new vector, so that it is made once.
-        smooth = F.transform(F.array(blur_circular(state["v"])), lambda x: F.struct(x.alias("v"), (F.coalesce(peak_gap(x, centre, reach), F.size(x)) > gap).alias("done")))[0]
+        smooth = named(blur_circular(state["v"]), lambda x: F.struct(x.alias("v"), (F.coalesce(peak_gap(x, centre, reach), F.size(x)) > gap).alias("done")))
         return F.when(state["done"], state).otherwise(smooth)
 
     first = F.struct(blur_circular(v).alias("v"), F.lit(False).alias("done"))
@@ -156,9 +160,14 @@ def three_in_row(v: Column) -> Column:
 
 def road_width(v: Column, half: int = HALF) -> Column:
     """Places around the centre of a lateral profile that stay above half its highest peak: outwards from the centre, and from beside it down to place 1."""
-    top = F.coalesce(F.array_max(F.transform(peaks_linear(v), lambda i: at(v, i))), F.lit(0.0)) / 2
-    run = lambda places: F.coalesce(F.array_min(F.filter(F.transform(places, lambda i, k: F.struct(k.alias("k"), (at(v, i) > top).alias("ok"))), lambda x: ~x["ok"])["k"]), F.size(places))
-    return run(F.sequence(F.lit(half), F.lit(2 * half))) + run(F.sequence(F.lit(half - 1), F.lit(1), F.lit(-1)))
+
+    def width(p: Column) -> Column:
+        top = F.coalesce(F.array_max(F.transform(peaks_linear(p), lambda i: at(p, i))), F.lit(0.0)) / 2
+        # The first place of each run that is not above the half marks its end.
+        run = lambda places, t: F.coalesce(F.array_min(F.filter(F.transform(places, lambda i, k: F.struct(k.alias("k"), (at(p, i) > t).alias("ok"))), lambda x: ~x["ok"])["k"]), F.size(places))
+        return named(top, lambda t: run(F.sequence(F.lit(half), F.lit(2 * half)), t) + run(F.sequence(F.lit(half - 1), F.lit(1), F.lit(-1)), t))
+
+    return named(v, width)
 
 
 def radius_of(v: Column, half: int = HALF) -> Column:
