@@ -90,3 +90,30 @@ def test_shared_folder_and_scratch(spark, tmp_path):
         path = kept._saved_at.removeprefix("file://")
         assert kept.count() == 5 and os.path.isdir(path)
     assert not os.path.exists(path)
+
+
+@pytest.fixture(scope="module")
+def tiny(spark, tmp_path_factory):
+    """Vectors with values below 0 that round to 0, and their table in DuckDB."""
+    folder = tmp_path_factory.mktemp("tiny")
+    value = lambda k, i: (-3e-7 if i % 3 else -0.0) if (i + k) % 4 else (k * 7 + i * 5) % 11 / 10 - 0.5
+    vectors = [(k, [value(k, i) for i in range(64)]) for k in range(16)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    return str(folder), con
+
+
+def signed(spark, tiny, name):
+    """A query's rows and those of its SQL by vec_id, with the signs of zeros."""
+    folder, con = tiny
+    got = queries.QUERIES[name](spark, folder)
+    expected = con.execute(queries.SQL[name])
+    columns = [c[0] for c in expected.description]
+    at = columns.index("vec_id")
+    return {r["vec_id"]: repr([r[c] for c in columns]) for r in got.collect()}, {r[at]: repr(list(r)) for r in expected.fetchall()}
+
+
+def test_direction_masks_keep_the_sign_of_zeros(spark, tiny):
+    got, expected = signed(spark, tiny, "direction_masks")
+    assert got == expected and "-0.0" in str(expected)

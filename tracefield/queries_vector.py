@@ -151,7 +151,7 @@ def _vectors(spark, sf_dir):
 
 
 def _rounded(v, digits=6):
-    return F.transform(v, lambda x: F.round(x, digits))
+    return V.rounded(v, digits)
 
 
 def _sql_at(i: str, circular: bool, v: str = "p") -> str:
