@@ -117,3 +117,8 @@ def signed(spark, tiny, name):
 def test_direction_masks_keep_the_sign_of_zeros(spark, tiny):
     got, expected = signed(spark, tiny, "direction_masks")
     assert got == expected and "-0.0" in str(expected)
+
+
+def test_entrance_mask_keeps_the_sign_of_zeros(spark, tiny):
+    got, expected = signed(spark, tiny, "entrance_mask")
+    assert got == expected and "-0.0" in str(expected)

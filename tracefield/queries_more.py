@@ -264,7 +264,7 @@ def entrance_mask(spark, sf_dir):
     """Scores limited to the heading of an entrance."""
     circle = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.element_at(F.col("e"), (F.pmod(i, F.size("e")) + 1).cast("int")))
     degrees = F.when(F.col("vec_id") % 5 == 0, F.lit(-1.0)).otherwise((F.col("vec_id") % 360).cast("double"))
-    return _vectors(spark, sf_dir).select("vec_id", F.transform(V.entrance(circle, degrees), lambda x: F.round(x, 6)).alias("kept"))
+    return _vectors(spark, sf_dir).select("vec_id", V.rounded(V.entrance(circle, degrees)).alias("kept"))
 
 
 _LP = "({x}) > ({a}) AND ({a}) > 0 AND ({x}) > ({b}) AND ({b}) > 0".format(x="e[j + 1]", a="e[j + 2]", b="e[j]")
