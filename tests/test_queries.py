@@ -122,3 +122,8 @@ def test_direction_masks_keep_the_sign_of_zeros(spark, tiny):
 def test_entrance_mask_keeps_the_sign_of_zeros(spark, tiny):
     got, expected = signed(spark, tiny, "entrance_mask")
     assert got == expected and "-0.0" in str(expected)
+
+
+def test_score_zip_max_keeps_the_sign_of_zeros(spark, tiny):
+    got, expected = signed(spark, tiny, "score_zip_max")
+    assert got == expected and "-0.0" in str(expected)
