@@ -127,3 +127,40 @@ def test_entrance_mask_keeps_the_sign_of_zeros(spark, tiny):
 def test_score_zip_max_keeps_the_sign_of_zeros(spark, tiny):
     got, expected = signed(spark, tiny, "score_zip_max")
     assert got == expected and "-0.0" in str(expected)
+
+
+def test_dead_end_links_lie_in_few_cells_whatever_the_reach(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tracefield.operators import graph, grid
+
+    rng = random.Random(5)
+    ends = [(k, 42 + rng.random() / 50, -71 - rng.random() / 50, rng.random() * 2 * math.pi) for k in range(120)]
+    v = spark.createDataFrame([r for k, a, b, d in ends for r in ((2 * k, a, b), (2 * k + 1, a - 1e-4 * math.cos(d), b - 1e-4 * math.sin(d)))], "id long, lat double, lon double")
+    e = spark.createDataFrame([(k, 2 * k, 2 * k + 1, 1.0) for k, *_ in ends], "id long, src long, dst long, score double")
+    laid = []
+
+    def spy(left, right, reach, size=None):
+        cells = lambda x: F.floor((F.col(f"{x}_max") + reach) / (size or reach)) - F.floor((F.col(f"{x}_min") - reach) / (size or reach)) + 1
+        laid.append(left.agg(F.max(cells("lat") * cells("lon"))).first()[0])
+        return grid.segment_pairs(left, right, reach, *([size] if size else []))
+
+    monkeypatch.setattr(graph, "segment_pairs", spy)
+    place = {r["id"]: (r["lat"], r["lon"]) for r in v.collect()}
+    unit = lambda a, b: (lambda y, x: (y / math.hypot(y, x * math.cos(math.radians(40))), x / math.hypot(y, x * math.cos(math.radians(40)))))(b[0] - a[0], b[1] - a[1])
+    for reach in (0.0005, 0.0035):
+        expected = {}
+        for a, p in place.items():
+            found = []
+            for b, q in place.items():
+                if a != b and abs(p[0] - q[0]) <= reach and abs(p[1] - q[1]) <= reach / math.cos(math.radians(p[0])):
+                    u, w = unit(place[a ^ 1], p), unit(q, place[b ^ 1])
+                    x = unit(p, q)
+                    if math.dist(u, x) < graph.CHORD and math.dist(x, w) < graph.CHORD:
+                        found.append((round(math.hypot(p[0] - q[0], (p[1] - q[1]) * math.cos(p[0] / 360 * 3.1415926 * 2)), 12), b))
+            if found:
+                expected[a] = min(found)[1]
+        assert {r["src"]: r["dst"] for r in graph.dead_end_links(v, e, reach).collect()} == expected and expected
+    assert max(laid) <= 9

@@ -19,6 +19,8 @@ from .grid import segment_pairs
 # Metres to both sides of a parallel pair's middle; bounds of angles; reach of dead ends and their chord test.
 WINDOW_METERS, SAME, OPPOSITE = 12.5, 0.1, 1.9
 DEAD_END_REACH, CHORD = 0.0005, 1.4
+#: Degrees by which boxes are widened, so that rounding loses no pair that the exact test admits.
+SLACK = 1e-9
 NEAR_ROAD = 0.00035
 MERGED_SCORE = 10.0
 #: Rounds of shortest paths after which outdated labels are dropped.
@@ -321,7 +323,8 @@ def dead_end_links(vertices: DataFrame, edges: DataFrame, reach: float = DEAD_EN
     k = F.cos(F.radians("lat"))
     box = lambda df, pad: df.withColumn("lat_min", F.col("lat") - pad).withColumn("lat_max", F.col("lat") + pad).withColumn("lon_min", F.col("lon") - F.lit(pad) / k).withColumn("lon_max", F.col("lon") + F.lit(pad) / k)
     other = box(ends, 0.0).select(F.col("id").alias("to"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("lat0").alias("lat3"), F.col("lon0").alias("lon3"), "lat_min", "lat_max", "lon_min", "lon_max")
-    pairs = segment_pairs(box(ends, reach).select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "lat0", "lon0", "lat_min", "lat_max", "lon_min", "lon_max"), other, 0.0005).filter("id <> to")
+    # Cells as wide as the box: an end lies in two or three cells each way, whatever the reach.
+    pairs = segment_pairs(box(ends, reach).select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "lat0", "lon0", "lat_min", "lat_max", "lon_min", "lon_max"), other, SLACK, 2 * reach).filter("id <> to")
     c = F.col
     unit = lambda a, b: geo.unit(c(f"lat{b}") - c(f"lat{a}"), c(f"lon{b}") - c(f"lon{a}"))
     pairs = pairs.withColumn("u", unit(0, 1)).withColumn("v", unit(1, 2)).withColumn("w", unit(2, 3))

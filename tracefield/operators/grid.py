@@ -65,13 +65,13 @@ def scan_rectangle(samples: DataFrame, lat_min: float, lon_min: float, lat_max:
     return samples.filter(F.col("clat").between(low, high) & F.col("clon").between(west, east))
 
 
-def segment_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """Pairs of rows whose points or boxes come within ``reach`` by cells of that size.
+def segment_pairs(left: DataFrame, right: DataFrame, reach: float, size: float | None = None) -> DataFrame:
+    """Pairs of rows whose points or boxes come within ``reach`` by cells of that size, or of ``size`` where the boxes are wider than that.
 
     ``left`` and ``right`` have lat_min, lat_max, lon_min and lon_max (under
     these names) and otherwise different columns. The pair is found once.
     """
-    size = F.lit(float(reach))
+    size = F.lit(float(size or reach))
     span = lambda low, high, pad: F.sequence(F.floor((low - pad) / size).cast("long"), F.floor((high + pad) / size).cast("long"))
 
     def laid(df: DataFrame, mark: str, pad: float) -> DataFrame:
