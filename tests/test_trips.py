@@ -235,3 +235,32 @@ def test_links_between_roads(spark, straight):
     got = {r["qid"]: r for r in trace.connected_roads(fast, asked).collect()}
     assert not got[0]["slow"] and got[0]["connected"] and got[0]["n_trips"] >= 3
     assert got[1]["connected"] == got[1]["slow"]
+
+
+def test_counts_trip_by_trip_equal_those_of_joins(spark, sf):
+    """The requests of an exploration, asked of whole trips by each task, count what the joins of ``trace`` count."""
+    from tracefield import queries
+    from tracefield.operators import trip_match
+    from tracefield.operators.grid import with_cells
+
+    samples = with_cells(queries.dense(spark, sf)).cache()
+    trips = trip_match.by_trip(samples)
+    paths = [[r[2:] for r in queries.PATH if r[0] == q] for q in (0, 1)]
+    three = [r[1:] for r in queries.THREE]
+    asked = trip_match.Requests()
+    for p in paths:
+        shared = asked.share(trip_match.history_legs(p))
+        for legs in trip_match.probe_legs(p):
+            asked.ask(legs, shared)
+    for r in three:
+        asked.ask(trip_match.three_legs(r))
+    expected = {(r["qid"], r["bin"]): r["n_trips"] for r in trace.direction_scores(samples, queries.paths(spark)).collect()}
+    tripled = {r["qid"]: r["n_trips"] for r in trace.three_point(samples, queries.values(spark, queries.THREE, queries.THREE_SCHEMA)).collect()}
+    got = asked.counts(trips).tolist()
+    assert got == [expected[q, b] for q in (0, 1) for b in range(72)] + [tripled[q] for q in (0, 1, 2)] and any(got[:144]) and any(got[144:])
+    ways = [([(42.35 + s * i * 7.5e-5, -71.1) for i in range(8)], [(42.35 + s * (i * 7.5e-5 + 2e-5), -71.1 + off) for i in range(8)]) for s in (1, -1) for off in (0.0, 1e-5, 1e-3)]
+    place = lambda p: [{"lat": a, "lon": b} for a, b in p]
+    kind = "array<struct<lat:double,lon:double>>"
+    pairs = spark.createDataFrame([(k, place(a), place(b)) for k, (a, b) in enumerate(ways)], f"pid int, path_a {kind}, path_b {kind}")
+    same = {r["pid"]: r["same"] for r in trace.merge_check(samples, pairs).collect()}
+    assert trip_match.merge_check(trips, ways) == [same[k] for k in range(len(ways))]

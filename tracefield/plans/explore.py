@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import raster, similarity, trace
+from ..operators import raster, similarity, trace, trip_match
 from ..operators.cluster import lateral_peaks
 from ..sources.config import Config
 from ..sources.graphs import read_checkpoint, write_checkpoint
@@ -169,6 +169,13 @@ class Forest:
         self.rounds = 0
         self.cells: dict[tuple[int, int], list[Node]] = {}
         self.open: dict[int, list[tuple[int, int]]] = {}
+        self._trips: DataFrame | None = None
+
+    def _by_trip(self) -> DataFrame:
+        """The samples trip by trip, written once."""
+        if self._trips is None:
+            self._trips = trip_match.by_trip(self.data.samples)
+        return self._trips
 
     def _add(self, n: Node) -> None:
         """Enter a node in the index of places and among those that may grow."""
@@ -244,33 +251,27 @@ class Forest:
         All radii are asked in one job; each node takes the first that finds
         three neighbouring directions, or else the last.
         """
-        paths, roots = [], []
+        asked = trip_match.Requests()
+        paths, roots = {}, {}
         for k, n in enumerate(nodes):
             h = self.path(n, 2 * self.config.history_length + 1)
-            (paths if len(h) > 1 else roots).append((k, h))
-        counts: dict[int, list[int]] = {k: [0] * BINS for k in range(len(nodes))}
-        if paths:
-            rows = [(k * len(NOISE) + j, [dict(zip(("lat", "lon", "radius", "dist"), p)) for p in thinned(h, r)]) for k, h in paths for j, r in enumerate(NOISE)]
-            asked = self.spark.createDataFrame(rows, "qid int, path array<struct<lat:double,lon:double,radius:double,dist:double>>")
-            found: dict[int, list[int]] = {}
-            for r in self.data.direction_scores(asked).filter("n_trips > 0").toLocalIterator():
-                found.setdefault(r["qid"], [0] * BINS)[r["bin"]] = r["n_trips"]
-            for k, _ in paths:
-                for j in range(len(NOISE)):
-                    counts[k] = found.get(k * len(NOISE) + j, [0] * BINS)
-                    above = [c >= self.config.least_trips and c > 1 for c in counts[k]]
-                    if any(above[i] and above[i - 1] and above[i - 2] for i in range(BINS)):
-                        break
-        if roots:
-            rows = []
-            for k, h in roots:
-                lat, lon = h[0].lat, h[0].lon
-                for b in range(BINS):
-                    a = math.radians(b * geo.BIN_DEGREES)
-                    rows.append((k * BINS + b, lat, lon, NODE_RADIUS, lat + STEP * math.cos(a), lon + STEP * math.sin(a) / math.cos(math.radians(lat)), RANGE, -1.0))
-            legs = self.spark.createDataFrame(rows, "qid int, lat1 double, lon1 double, r1 double, lat2 double, lon2 double, r2 double, dist double")
-            for r in trace.match(self.data.samples, legs, ["qid"], self.data.metric).groupBy("qid").agg(F.count("*").alias("n")).toLocalIterator():
-                counts[r["qid"] // BINS][r["qid"] % BINS] = r["n"]
+            if len(h) > 1:
+                for j, r in enumerate(NOISE):
+                    p = thinned(h, r)
+                    shared = asked.share(trip_match.history_legs(p))
+                    paths[k, j] = [asked.ask(legs, shared) for legs in trip_match.probe_legs(p)]
+            else:
+                lat, lon = n.lat, n.lon
+                turns = [math.radians(b * geo.BIN_DEGREES) for b in range(BINS)]
+                roots[k] = [asked.ask([(lat, lon, NODE_RADIUS, lat + STEP * math.cos(a), lon + STEP * math.sin(a) / math.cos(math.radians(lat)), RANGE, -1.0)]) for a in turns]
+        found = asked.counts(self._by_trip(), self.data.metric)
+        counts: dict[int, list[int]] = {k: found[at].tolist() for k, at in roots.items()}
+        for k in {k for k, _ in paths}:
+            for j in range(len(NOISE)):
+                counts[k] = found[paths[k, j]].tolist()
+                above = [c >= self.config.least_trips and c > 1 for c in counts[k]]
+                if any(above[i] and above[i - 1] and above[i - 2] for i in range(BINS)):
+                    break
         least = self.config.least_trips
         for k, n in enumerate(nodes):
             raw = [math.log(c + geo.TINY) if c >= least else geo.LOW_SCORE for c in counts[k]]
@@ -301,7 +302,7 @@ class Forest:
 
     def _profiles(self, new: list[Node]) -> tuple[dict[int, list[float]], dict[tuple[int, int], tuple[float, float]]]:
         """Smoothed profiles across the way at new nodes far enough along, by their places in ``new``, and the points asked for; a profile sets its node's radius."""
-        asked, places = [], {}
+        asked, bins, places = trip_match.Requests(), [], {}
         for k, n in enumerate(new):
             up = self.path(n, LATERAL[-1][0] + 1)
             if len(up) <= LATERAL[-1][0]:
@@ -313,16 +314,16 @@ class Forest:
                     d = abs(i) * LATERAL_STEP
                     lat, lon = n.lat + d * math.cos(a), n.lon + d * math.sin(a) / math.cos(math.radians(n.lat))
                     places[k, i] = (lat, lon)
-                    asked.append(((k * len(LATERAL) + j) * 1000 + i + HALF, up[old].lat, up[old].lon, up[mid].lat, up[mid].lon, lat, lon, LATERAL_RADIUS, LATERAL_RADIUS, LATERAL_END, -1.0, -1.0))
-        if not asked:
+                    asked.ask(trip_match.three_legs((up[old].lat, up[old].lon, up[mid].lat, up[mid].lon, lat, lon, LATERAL_RADIUS, LATERAL_RADIUS, LATERAL_END, -1.0, -1.0)))
+                    bins.append((k, i + HALF))
+        if not bins:
             return {}, places
-        schema = "qid int, lat1 double, lon1 double, lat2 double, lon2 double, lat3 double, lon3 double, r1 double, r2 double, r3 double, d1 double, d2 double"
-        profiles: dict[int, list[float]] = {}
-        for r in self.data.three_point(self.spark.createDataFrame(asked, schema)).filter("n_trips > 0").toLocalIterator():
-            if r["n_trips"] >= self.config.least_trips_branch:
-                profiles.setdefault(r["qid"] // 1000 // len(LATERAL), [0.0] * (2 * HALF + 1))[r["qid"] % 1000] += r["n_trips"] / len(LATERAL)
-        for k in {q[0] // 1000 // len(LATERAL) for q in asked}:
-            profiles[k] = smoothed(profiles.get(k, [0.0] * (2 * HALF + 1)), circular=False)
+        profiles: dict[int, list[float]] = {k: [0.0] * (2 * HALF + 1) for k, _ in bins}
+        for (k, i), n_trips in zip(bins, asked.counts(self._by_trip(), self.data.metric).tolist()):
+            if n_trips >= self.config.least_trips_branch:
+                profiles[k][i] += n_trips / len(LATERAL)
+        for k in profiles:
+            profiles[k] = smoothed(profiles[k], circular=False)
             new[k].radius = half_width(profiles[k])
         return profiles, places
 
@@ -403,7 +404,8 @@ class Forest:
         kind = "array<struct<lat:double,lon:double>>"
         asked = save(self.spark.createDataFrame([(k, place(a), place(b)) for k, _, _, _, a, b in pairs], f"pid int, path_a {kind}, path_b {kind}"), "alike")
         close = {r["pid"]: r["similarity"] / similarity.WINDOW for r in similarity.window_similarities(asked).collect()}  # one row a pair of the frontier
-        agreed = {r["pid"]: r["same"] for r in trace.merge_check(self.data.samples, asked).collect()}
+        ways = [tuple([(x.lat, x.lon) for x in p] for p in pair[4:]) for pair in pairs]
+        agreed = dict(enumerate(trip_match.merge_check(self._by_trip(), ways)))
         unsure = [k for k, *_ in pairs if close[k] < ALIKE_FAR and not (close[k] < ALIKE and agreed.get(k))]
         overlap = {}
         if unsure and self.config.merge_detector == "kde_based":
