@@ -20,7 +20,7 @@ SIMILARITY = 0.8
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which the language can't be told."""
+    """Drop documents of which the language can't be told; ``lang`` becomes the language found, and goes on to the packed pieces."""
     return language_id.keep_identified(docs)
 
 
@@ -40,8 +40,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, limit=4096)
+    """Pack all documents into sequences; each piece has its document's language."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, limit=4096, keep=("lang",))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -48,3 +48,17 @@ def test_gibberish_goes_and_all_languages_stay(spark, tmp_path):
     rows = clean + [(1000 + i, t, None, "s", 1) for i, t in enumerate(junk)]
     out = dict(corpus_pipeline.STAGES)["language_id"](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
     assert sorted(r["doc_id"] for r in out.collect()) == [r[0] for r in clean]
+
+
+def test_the_language_found_goes_on_to_the_pieces(spark, tmp_path):
+    """Documents without a label are given the language of their text, and the last stage's pieces have it."""
+    rng = random.Random(6)
+    words = {"en": "the and of house river with from over".split(), "de": "der und von haus fluss mit aus über".split(), "fr": "le et de maison rivière avec depuis sous".split()}
+    langs = [k for k in words for _ in range(20)]
+    label = lambda i, k: None if i % 20 == 3 else k
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(60)), label(i, k), "s", 1) for i, k in enumerate(langs)]
+    stage = dict(corpus_pipeline.STAGES)
+    docs = stage["language_id"](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    assert {r["doc_id"]: r["lang"] for r in docs.collect()} == dict(enumerate(langs))
+    pieces = stage["best_fit_packing"](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["lang"] for r in pieces} == dict(enumerate(langs))

@@ -312,7 +312,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold no letter or whose n-grams are those of no labelled language; all columns stay.
+    """``docs`` without the rows that hold no letter or whose n-grams are those of no labelled language, and with the language found in ``lang``; all columns stay.
 
     The score is a share among the languages and can't tell junk; what decides
     is how familiar a text is by itself (:meth:`Model.strange`). The model is
@@ -320,16 +320,17 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     be told and only rows without a letter go.
     """
     model = fit(docs)
-    if model.profile is None:
-        return docs.filter(F.col("text").rlike(r"\p{L}"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             for a, b in B.slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                yield part.filter(pa.array(has_letter(part.column(at)) & ~model.strange(part.column(at))))
+                part = part.filter(pa.array(has_letter(part.column(at)) & ~model.strange(part.column(at))))
+                if model.families and part.num_rows:  # without labels there is nothing to tell languages by
+                    part = part.set_column(lang, batch.schema.field(lang), pa.array(model.predict(part.column(at))[0], batch.schema.field(lang).type))
+                yield part
 
     return docs.mapInArrow(run, docs.schema)

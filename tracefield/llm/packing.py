@@ -32,11 +32,17 @@ PLACED = PIECES + ", sequence_id long, offset long"
 RANKED = 1_000_000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFrame:
+def _kept(table: DataFrame, keep: tuple[str, ...]) -> str:
+    """The columns that go along, as the end of a schema."""
+    return "".join(f", `{c}` {table.schema[c].dataType.simpleString()}" for c in keep)
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode every text, append ``end_id`` and cut what is longer than ``limit`` into pieces of that length.
 
     A null or empty text is the end id alone. Repeated rows give repeated
-    pieces. Only ``doc_id`` and ``text`` are read, whatever else the table has.
+    pieces. Only ``doc_id``, ``text`` and the columns ``keep``, which every
+    piece repeats, are read, whatever else the table has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,21 +50,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> Da
         for batch in batches:
             for a, b in B.slices(batch.column(1)):
                 ids, off = encoder.encode(batch.column(1).slice(a, b - a))
-                doc, piece, start, length, crc = [], [], [], [], []
+                doc, piece, start, length, crc, of = [], [], [], [], [], []
                 raw, end = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
-                for row, (x, y) in zip(batch.column(0).slice(a, b - a).to_pylist(), zip(off[:-1].tolist(), off[1:].tolist())):
+                for r, (row, (x, y)) in enumerate(zip(batch.column(0).slice(a, b - a).to_pylist(), zip(off[:-1].tolist(), off[1:].tolist())), a):
                     n = y - x + 1
                     for k, at in enumerate(range(0, n, limit)):
                         to = min(at + limit, n)
                         c = zlib.crc32(raw[4 * (x + at) : 4 * (x + min(to, n - 1))])
                         doc.append(row)
+                        of.append(r)
                         piece.append(k)
                         start.append(at)
                         length.append(to - at)
                         crc.append(zlib.crc32(end, c) if to == n else c)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc)), *(batch.column(2 + k).take(pa.array(of, pa.int64())) for k in range(len(keep)))], names=["doc_id", "piece", "start", "length", "ids_crc32", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, PIECES + _kept(docs, keep))
 
 
 class CapacityTree:
@@ -140,8 +147,8 @@ def best_fit(counts: dict[int, int], limit: int) -> tuple[list[Run], int]:
     return runs, bins
 
 
-def pack(pieces: DataFrame, limit: int) -> DataFrame:
-    """Give each piece (columns of ``PIECES``) its sequence and its offset there.
+def pack(pieces: DataFrame, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Give each piece (columns of ``PIECES`` and ``keep``) its sequence and its offset there.
 
     Ties between equal lengths go by doc_id and piece; any order gives as many
     sequences. An empty table gives an empty result.
@@ -161,7 +168,7 @@ def pack(pieces: DataFrame, limit: int) -> DataFrame:
     parts = parts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(parts, ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"), *keep)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = table.value
@@ -172,14 +179,15 @@ def pack(pieces: DataFrame, limit: int) -> DataFrame:
             j = rank - runs[at, 1]
             seq = runs[at, 2] + j // runs[at, 3]
             offset = runs[at, 4] + (j % runs[at, 3]) * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(seq), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(seq), pa.array(offset), *batch.columns[6:]], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *keep])
 
-    return ranked.mapInArrow(place, PLACED)
+    return ranked.mapInArrow(place, PLACED + _kept(pieces, keep))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
     """Tokenise and pack whole documents into sequences of at most ``limit`` tokens; one row per piece.
 
     ``docs`` has doc_id and text; null texts count as empty (the end id alone).
+    Pieces repeat the columns ``keep`` of their documents.
     """
-    return pack(token_pieces(docs, tokenizer, end_id, limit), limit)
+    return pack(token_pieces(docs, tokenizer, end_id, limit, keep), limit, keep)
