@@ -129,6 +129,36 @@ def test_score_zip_max_keeps_the_sign_of_zeros(spark, tiny):
     assert got == expected and "-0.0" in str(expected)
 
 
+def vectors(spark, folder, rows, files=1):
+    """A table of (vec_id, vector) in so many files, and its view in DuckDB."""
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(files).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    return str(folder), con
+
+
+def test_score_zip_max_groups_ids_below_zero_as_sql(spark, tmp_path):
+    rows = [(k, [(k * 37 + i * 11) % 101 / 50 - 1 for i in range(64)]) for k in range(-40, 40)]
+    got, expected = signed(spark, vectors(spark, tmp_path, rows), "score_zip_max")
+    assert got == expected and len(got) == 80 - 13
+
+
+def test_score_zip_max_has_the_places_of_its_own_vector(spark, tmp_path):
+    rows = [(k, None if k % 13 == 6 else [None if (i + k) % 9 == 4 else (k * 37 + i * 11) % 101 / 50 - 1 for i in range(k * 5 % 8)]) for k in range(80)]
+    got, expected = signed(spark, vectors(spark, tmp_path, rows), "score_zip_max")
+    assert got == expected and any(v and w and len(v) < len(w) for (_, v), (_, w) in zip(rows, rows[7:])) and any(v and w and len(v) > len(w) for (_, v), (_, w) in zip(rows, rows[7:]))
+
+
+def test_score_zip_max_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Vectors with one id lie in an order that SQL leaves open; ours is one of those, and the same for any files."""
+    rows = [(k % 20, [(k * 37 + i * 11) % 101 / 50 - 1 for i in range(8)]) for k in range(100)]
+    fixed = queries.SQL["score_zip_max"].replace("ORDER BY vec_id)", "ORDER BY vec_id, e)")
+    for files, given in ((1, rows), (1, rows[::-1]), (5, rows)):
+        folder, con = vectors(spark, tmp_path / f"{files}{given[0][0]}", given, files)
+        got = [repr((r["vec_id"], r["greater"])) for r in queries.QUERIES["score_zip_max"](spark, folder).collect()]
+        assert sorted(got) == sorted(map(repr, con.execute(fixed).fetchall()))
+
+
 def test_dead_end_links_lie_in_few_cells_whatever_the_reach(spark, monkeypatch):
     import random
 

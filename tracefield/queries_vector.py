@@ -204,8 +204,8 @@ def next_nodes(spark, sf_dir):
 
 @query(f"WITH {_E}, b AS (SELECT vec_id, e, lead(e) OVER (PARTITION BY vec_id % 7 ORDER BY vec_id) AS o, n FROM v) SELECT vec_id, list_transform(range(0, n), lambda j: round(greatest(e[j + 1], o[j + 1]), 6)) AS greater FROM b WHERE o IS NOT NULL")
 def score_zip_max(spark, sf_dir):
-    """The greater values of a vector and the next one of its group."""
-    w = Window.partitionBy(F.pmod("vec_id", F.lit(7))).orderBy("vec_id")
+    """The greater values of a vector and the next one of its group; of vectors with one id, whose order SQL leaves open, the least is first."""
+    w = Window.partitionBy(F.col("vec_id") % 7).orderBy("vec_id", "e")
     rows = _vectors(spark, sf_dir).withColumn("o", F.lead("e").over(w)).filter("o is not null")
     return rows.select("vec_id", _rounded(V.greater_of(F.col("e"), F.col("o"))).alias("greater"))
 
